@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, rules, simhash, simple8b
+from . import linededup, packing, quality, rules, simhash, simple8b
 from .common import read_table, scratch_path
 
 
@@ -77,12 +77,44 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents")).report()
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, i - 1 AS line, ls[i] AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
+  WHERE strlen(ls[i]) >= 20 AND doc_id IS NOT NULL
+), c AS (
+  SELECT s, min(doc_id) AS doc, arg_min(line, (doc_id, line)) AS line FROM l GROUP BY s
+), k AS (
+  SELECT *, m, left(s, m // 2) AS part, 0 AS side FROM c, LATERAL (SELECT unnest([length(s), length(s) - 1]) AS m)
+  UNION ALL
+  SELECT *, m, right(s, m - m // 2) AS part, 1 AS side FROM c, LATERAL (SELECT unnest([length(s), length(s) - 1]) AS m)
+), p AS (
+  SELECT DISTINCT a.s AS sa, b.s AS sb, a.doc AS da, b.doc AS db, a.line AS la, b.line AS lb
+  FROM k AS a JOIN k AS b USING (m, part, side) WHERE a.s < b.s AND abs(strlen(a.s) - strlen(b.s)) <= 1 AND levenshtein(a.s, b.s) <= 1
+), n AS (
+  SELECT CASE WHEN (da, la) < (db, lb) THEN sb ELSE sa END AS s, count(*) AS n FROM p GROUP BY ALL
+), g AS (
+  SELECT l.doc_id, count(*) AS n_dropped, sum(CASE WHEN first THEN coalesce(n.n, 0) ELSE 0 END) AS n_links
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY line) = 1 AS first FROM l) AS l
+  JOIN c USING (s) LEFT JOIN n USING (s)
+  WHERE l.doc_id <> c.doc OR l.line <> c.line OR n.n IS NOT NULL GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op5_rule_ledger, op7_packing, op10_simhash)
+    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op5_rule_ledger, op7_packing, op8_line_dedup, op10_simhash)
 }
-ORACLES: dict[str, str] = {"op5_rule_ledger": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_rule_ledger": OP5_SQL, "op8_line_dedup": OP8_SQL}
