@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, quality, rules, simhash, simple8b
+from . import decontam, linededup, packing, quality, rules, simhash, simple8b
 from .common import read_table, scratch_path
 
 
@@ -31,6 +31,10 @@ def op2_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rules.ledger(read_table(spark, sf_dir, "documents"))
     base = rules.failed(F.col("fail_bits"), rules.POLICIES[1])
@@ -115,6 +119,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op5_rule_ledger, op7_packing, op8_line_dedup, op10_simhash)
+    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op3_template_decontamination, op5_rule_ledger, op7_packing, op8_line_dedup, op10_simhash)
 }
 ORACLES: dict[str, str] = {"op5_rule_ledger": OP5_SQL, "op8_line_dedup": OP8_SQL}
