@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, packing, quality, rules, simhash, simple8b
+from . import decontam, linededup, packing, quality, rules, simhash, simple8b, surrogates
 from .common import read_table, scratch_path
 
 
@@ -76,6 +76,12 @@ FROM f
 """
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secret = spark.conf.get("spark.barloom.surrogate.key", "a key of your own")
+    found = surrogates.pseudonymize(read_table(spark, sf_dir, "documents"), secret)
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -119,6 +125,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op3_template_decontamination, op5_rule_ledger, op7_packing, op8_line_dedup, op10_simhash)
+    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op3_template_decontamination, op5_rule_ledger, op6_surrogates, op7_packing, op8_line_dedup, op10_simhash)
 }
 ORACLES: dict[str, str] = {"op5_rule_ledger": OP5_SQL, "op8_line_dedup": OP8_SQL}
