@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, packing, quality, rules, simhash, simple8b, surrogates
+from . import decontam, licenses, linededup, packing, quality, rules, simhash, simple8b, surrogates
 from .common import read_table, scratch_path
 
 
@@ -119,12 +119,25 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file of its language's folder in its source's folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "licence", "origin", "score", "n_passages")
+
+
+OP9_SQL = "SELECT string_split(path, '/')[-1]::BIGINT AS doc_id, path, licence, origin, score, n_passages FROM (" + licenses.oracle(
+    "SELECT source || '/' || lang || '/' || doc_id AS path, text FROM documents"
+) + ")"
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op3_template_decontamination, op5_rule_ledger, op6_surrogates, op7_packing, op8_line_dedup, op10_simhash)
+    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op3_template_decontamination, op5_rule_ledger, op6_surrogates, op7_packing, op8_line_dedup, op9_license_scan, op10_simhash)
 }
-ORACLES: dict[str, str] = {"op5_rule_ledger": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_rule_ledger": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": OP9_SQL}
