@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, linededup, packing, quality, rules, simhash, simple8b, surrogates
+from . import decontam, licenses, linededup, packing, pseudo, quality, rules, simhash, simple8b, surrogates
 from .common import read_table, scratch_path
 
 
@@ -35,6 +35,10 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.pseudo_likelihood(read_table(spark, sf_dir, "documents"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rules.ledger(read_table(spark, sf_dir, "documents"))
     base = rules.failed(F.col("fail_bits"), rules.POLICIES[1])
@@ -138,6 +142,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op3_template_decontamination, op5_rule_ledger, op6_surrogates, op7_packing, op8_line_dedup, op9_license_scan, op10_simhash)
+    f.__name__: f for f in (op1_quality_attention, op2_simple8b_tokens, op3_template_decontamination, op4_pseudo_likelihood, op5_rule_ledger, op6_surrogates, op7_packing, op8_line_dedup, op9_license_scan, op10_simhash)
 }
 ORACLES: dict[str, str] = {"op5_rule_ledger": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": OP9_SQL}
