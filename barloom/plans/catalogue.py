@@ -1,6 +1,706 @@
-"""The registered queries over the driver's tables and the DuckDB SQL that checks them."""
+"""The registered queries over the driver's tables and the DuckDB SQL that checks them.
+
+events are ticks: the type is the symbol, the value the price, one and k the volume. orders by month and
+nation are a daily panel (a month is a day), lineitem rows stand for trades where only their money counts.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import costs as K
+from ..operators import asof as A
+from ..operators import bars as B
+from ..operators import daily as D
+from ..operators import features as X
+from ..operators import funding as FU
+from ..operators import pairs as P
+from ..operators import panel as N
+from ..operators import portfolio as PF
+from ..operators import simulate as S
+from ..operators import stats as T
+from ..operators import weights as WT
+from ..sources.readers import events_as_bars
+from ..sources.sinks import held_positions
+from ..streaming.engine import book_price
+from . import reports
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+HOUR, DAY = C.HOUR_MS, C.DAY_MS
+
+#: Named subqueries that oracles start from.
+TICKS = "ticks AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS ts_ms, value AS price, 1 + coalesce(try_cast(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS DOUBLE), 0) AS volume, event_id AS seq, user_id FROM events)"
+BARS = TICKS + ", bars AS (SELECT symbol, ts_ms - ts_ms % 3600000 AS ts_ms, arg_min(price, (ts_ms, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_ms, seq)) AS close, sum(volume) AS volume, count(*) AS n_ticks FROM ticks GROUP BY symbol, ts_ms - ts_ms % 3600000)"
+PAIRS = BARS + """, syms AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS s_idx FROM (SELECT DISTINCT symbol FROM bars)),
+prs AS (SELECT a.symbol || '__' || b.symbol AS pair, a.symbol AS asset1, b.symbol AS asset2 FROM syms a JOIN syms b ON a.s_idx < b.s_idx),
+legs AS (SELECT pair, x.ts_ms, x.open AS open1, x.close AS close1, x.volume AS volume1, y.open AS open2, y.close AS close2, y.volume AS volume2 FROM prs JOIN bars x ON x.symbol = asset1 JOIN bars y ON y.symbol = asset2 AND y.ts_ms = x.ts_ms),
+rows AS (SELECT *, ln(close1) - 0.5 * ln(close2) - 0.1 AS spread FROM legs)"""
+PANEL = """daily AS (SELECT n_name AS symbol, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::INTEGER AS d_idx, avg(o_totalprice) AS close, sum(o_totalprice) AS quote_volume,
+  max(o_totalprice) AS high, avg(CASE o_orderstatus WHEN 'F' THEN 0.001 WHEN 'O' THEN -0.001 ELSE 0.0 END) AS funding
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+names AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS s_idx FROM (SELECT DISTINCT symbol FROM daily)),
+panel AS (SELECT g.d_idx, g.symbol, s_idx, close, coalesce(funding, 0.0) AS funding, coalesce(quote_volume, 0.0) AS quote_volume, high
+  FROM (SELECT symbol, s_idx, unnest(range(0, 80))::INTEGER AS d_idx FROM names) g LEFT JOIN daily USING (symbol, d_idx))"""
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(x, name: str):
+    return F.round(x, 6).alias(name)
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.ticks_to_bars(events_as_bars(spark, sf_dir), HOUR)
+
+
+def event_pairs(bars: DataFrame) -> DataFrame:
+    return P.all_pairs(N.numbered_symbols(bars))
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = hourly(spark, sf_dir)
+    rows = B.align(bars.select("symbol", "ts_ms", "open", "high", "low", "close", "volume"), event_pairs(bars))
+    return rows.withColumn("spread", K.log_spread("close1", "close2", F.lit(0.1), F.lit(0.5)))
+
+
+def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    state = F.when(F.col("o_orderstatus") == "F", 0.001).when(F.col("o_orderstatus") == "O", -0.001).otherwise(0.0)
+    orders = read("orders").select("o_custkey", ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("m"), "o_totalprice", state.alias("state"))
+    rows = orders.join(read("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    daily = rows.groupBy(F.col("n_name").alias("symbol"), (F.col("m").cast("bigint") * DAY).alias("day_ms")).agg(F.avg("o_totalprice").alias("close"), F.sum("o_totalprice").alias("quote_volume"), F.max("o_totalprice").alias("high"), F.avg("state").alias("rate"))
+    panel = N.build_panel(daily.drop("rate"), None, 0, 80 * DAY).drop("funding")
+    return panel.join(daily.select("symbol", "day_ms", F.col("rate").alias("funding")), ["symbol", "day_ms"], "left").withColumn("funding", F.coalesce("funding", F.lit(0.0)))
+
+
+def as_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem rows as trades."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    net = F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")) / 100
+    return rows.select(
+        F.col("l_linestatus").alias("label"), F.col("l_returnflag").alias("exit_reason"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("exit_ts"),
+        net.alias("net_pnl"), (net + F.col("l_tax")).alias("gross_pnl"), F.col("l_tax").alias("execution_cost"), F.lit(0.0).alias("funding_cost"),
+        (F.col("l_discount") - F.col("l_tax")).alias("net_ret"), F.col("l_discount").alias("gross_ret"), F.col("l_quantity").alias("hold_minutes"), F.col("l_partkey").cast("string").alias("pair"),
+    )
+
+
+TRADES = "trades AS (SELECT l_linestatus AS label, l_returnflag AS exit_reason, l_orderkey * 10 + l_linenumber AS exit_ts, l_extendedprice * (l_discount - l_tax) / 100 AS net_pnl, l_extendedprice * (l_discount - l_tax) / 100 + l_tax AS gross_pnl, l_tax AS execution_cost, l_discount - l_tax AS net_ret, l_discount AS gross_ret, l_quantity AS hold_minutes, CAST(l_partkey AS VARCHAR) AS pair FROM lineitem)"
+
+# ---------------------------------------------------------------- bars
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms, open, high, low, close, volume, n_ticks FROM bars")
+def bars_1h(spark, sf_dir):
+    return hourly(spark, sf_dir)
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms - ts_ms % 14400000 AS ts_ms, arg_min(open, ts_ms) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts_ms) AS close, sum(volume) AS volume, sum(volume) / 2 AS taker_buy_volume, count(*) AS n_minutes FROM bars GROUP BY symbol, ts_ms - ts_ms % 14400000")
+def resample_4h(spark, sf_dir):
+    return B.resample(hourly(spark, sf_dir).withColumn("taker_buy_volume", F.col("volume") / 2), 240)
+
+
+@query(f"WITH {TICKS} SELECT symbol, ts_ms - ts_ms % 3600000 AS slot, ts_ms, price, seq FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, ts_ms - ts_ms % 3600000 ORDER BY seq DESC) = 1")
+def dedupe_keep_last(spark, sf_dir):
+    ticks = events_as_bars(spark, sf_dir).select("symbol", C.bucket("ts_ms", HOUR).alias("slot"), "ts_ms", "price", "seq")
+    return B.keep_last(ticks, ["symbol", "slot"], "seq")
+
+
+@query(f"WITH {TICKS} SELECT symbol, count(*) AS n, round(sum(price), 6) AS total FROM ticks WHERE ts_ms >= 1704672000000 AND ts_ms < 1705276800000 AND volume > 1 GROUP BY symbol")
+def time_slice_traded(spark, sf_dir):
+    own = B.traded(B.time_slice(events_as_bars(spark, sf_dir).withColumn("volume", F.col("volume") - 1), 1_704_672_000_000, 1_705_276_800_000))
+    return own.groupBy("symbol").agg(F.count("*").alias("n"), r6(F.sum("price"), "total"))
+
+
+@query(f"""WITH {BARS}, g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms) AS gap FROM bars)
+SELECT symbol, count(*) AS n_rows, count(*) FILTER (gap = 0) AS duplicates, 0 AS unsorted, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high)) AS bad_ohlc,
+count(*) FILTER (least(open, high, low, close) <= 0) AS non_positive, count(*) FILTER (gap > 3600000) AS gaps, coalesce(max(gap) / 60000.0, 0) AS largest_gap_min, true AS ok FROM g GROUP BY symbol""")
+def validate_bars(spark, sf_dir):
+    return B.validate(hourly(spark, sf_dir), 60)
+
+
+@query(f"WITH {PAIRS} SELECT pair, ts_ms, open1, close1, open2, close2 FROM legs")
+def align_pair(spark, sf_dir):
+    return aligned(spark, sf_dir).select("pair", "ts_ms", "open1", "close1", "open2", "close2")
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms - ts_ms % 86400000 AS day_ms, arg_max(close, ts_ms) AS close FROM bars GROUP BY symbol, ts_ms - ts_ms % 86400000 HAVING max(ts_ms) >= ts_ms - ts_ms % 86400000 + 82800000")
+def daily_closes(spark, sf_dir):
+    return B.daily_closes(hourly(spark, sf_dir))
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms - ts_ms % 21600000 AS ts_ms, arg_max(close, ts_ms) AS close FROM bars WHERE ts_ms >= 1704672000000 AND ts_ms < 1705276800000 GROUP BY symbol, ts_ms - ts_ms % 21600000")
+def selection_closes(spark, sf_dir):
+    return B.selection_closes(hourly(spark, sf_dir), 1_704_672_000_000, 1_705_276_800_000, 360)
+
+
+@query(f"""WITH {BARS}, j AS (SELECT a.ts_ms, a.close, b.close AS other FROM bars a LEFT JOIN (SELECT * FROM bars WHERE symbol = 'error') b USING (ts_ms) WHERE a.symbol = 'purchase')
+SELECT 'purchase' AS symbol, ts_ms, close, last_value(other IGNORE NULLS) OVER (ORDER BY ts_ms) AS btc_close FROM j""")
+def ffill_left_join(spark, sf_dir):
+    bars = hourly(spark, sf_dir).select("symbol", "ts_ms", "close")
+    return B.forward_fill_onto(bars.where("symbol = 'purchase'"), bars.where("symbol = 'error'"), ["symbol"], "ts_ms", "close", "btc_close")
+
+
+@query(f"WITH {TICKS} SELECT 0 AS index, symbol FROM ticks GROUP BY symbol HAVING min(ts_ms) <= 1704067200000 + 604800000 AND max(ts_ms) >= 1706400000000")
+def eligible_symbols(spark, sf_dir):
+    from .walkforward import windows_frame
+
+    spans = windows_frame(spark, [(0, 1_704_067_200_000, 1_706_400_000_000, 1_706_400_000_000, 1_706_600_000_000)])
+    return B.eligible_symbols(events_as_bars(spark, sf_dir), spans)
+
+
+@query(f"WITH {TICKS} SELECT least(1800000000000, min(last)) AS end_ms FROM (SELECT symbol, max(ts_ms) AS last FROM ticks GROUP BY symbol)")
+def covered_until(spark, sf_dir):
+    return B.covered_until(events_as_bars(spark, sf_dir), 1_800_000_000_000)
+
+
+@query(f"""WITH {BARS}, h AS (SELECT * FROM bars WHERE n_ticks > 2), o AS (SELECT * FROM bars WHERE n_ticks <= 2),
+f AS (SELECT symbol, min(ts_ms) AS f FROM o GROUP BY symbol)
+SELECT symbol, ts_ms, close FROM h LEFT JOIN f USING (symbol) WHERE f IS NULL OR ts_ms < f UNION ALL SELECT symbol, ts_ms, close FROM o""")
+def prepend_history(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return B.prepend(bars.where("n_ticks > 2").select("symbol", "ts_ms", "close"), bars.where("n_ticks <= 2").select("symbol", "ts_ms", "close"))
+
+
+@query(f"""WITH {BARS}, u AS (SELECT symbol, ts_ms, close, 0 AS k FROM bars UNION ALL SELECT symbol, ts_ms, close * 2, 1 FROM bars WHERE n_ticks > 2)
+SELECT symbol, ts_ms, arg_max(close, k) AS close FROM u GROUP BY symbol, ts_ms""")
+def merge_sources(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return B.merge_sources(bars.select("symbol", "ts_ms", "close"), bars.where("n_ticks > 2").select("symbol", "ts_ms", (F.col("close") * 2).alias("close")))
+
+
+# ---------------------------------------------------------------- as-of and intervals
+
+_ASOF = "WITH {t} SELECT l.user_id, l.ts_ms, l.seq, r.price AS rate FROM (SELECT * FROM ticks WHERE symbol = 'purchase') l ASOF LEFT JOIN (SELECT user_id, ts_ms, arg_max(price, seq) AS price FROM ticks WHERE symbol = 'view' GROUP BY user_id, ts_ms) r ON l.user_id = r.user_id AND l.ts_ms {op} r.ts_ms"
+
+
+def _asof(spark, sf_dir, strict: bool) -> DataFrame:
+    ticks = events_as_bars(spark, sf_dir)
+    left = ticks.where("symbol = 'purchase'").select("user_id", "ts_ms", "seq")
+    right = ticks.where("symbol = 'view'").select("user_id", "ts_ms", F.col("price").alias("rate"), F.col("seq").alias("rank"))
+    return A.asof(left, right, ["user_id"], ["rate"], strict=strict, order=F.col("rank"), slice_ms=7 * DAY)
+
+
+@query(_ASOF.format(t=TICKS, op=">"))
+def asof_strict(spark, sf_dir):
+    return _asof(spark, sf_dir, True)
+
+
+@query(_ASOF.format(t=TICKS, op=">="))
+def asof_inclusive(spark, sf_dir):
+    return _asof(spark, sf_dir, False)
+
+
+@query(f"""WITH {TICKS}, spans AS (SELECT user_id, seq, ts_ms AS entry_ts, lead(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms, seq) AS exit_ts FROM ticks WHERE symbol = 'signup'),
+v AS (SELECT * FROM ticks WHERE symbol = 'error')
+SELECT s.user_id, s.seq, round(coalesce(sum(v.price), 0), 4) AS rates FROM spans s LEFT JOIN v ON v.user_id = s.user_id AND v.ts_ms > entry_ts AND v.ts_ms <= exit_ts WHERE exit_ts IS NOT NULL GROUP BY ALL""")
+def interval_sum(spark, sf_dir):
+    ticks = events_as_bars(spark, sf_dir)
+    by = W.partitionBy("user_id").orderBy("ts_ms", "seq")
+    spans = ticks.where("symbol = 'signup'").select("user_id", "seq", F.col("ts_ms").alias("entry_ts"), F.lead("ts_ms").over(by).alias("exit_ts")).where("exit_ts IS NOT NULL")
+    events = ticks.where("symbol = 'error'").select("user_id", "ts_ms", "price")
+    out = A.interval_sum(spans, events, ["user_id"], "entry_ts", "exit_ts", "ts_ms", "price", "rates")
+    return out.select("user_id", "seq", F.round("rates", 4).alias("rates"))
+
+
+@query(f"WITH {TICKS} SELECT symbol, CAST((ceil(ts_ms / 86400000.0) - 1) * 86400000 AS BIGINT) AS day_ms, round(sum(price), 6) AS funding, count(*) AS n FROM ticks GROUP BY ALL")
+def funding_day_map(spark, sf_dir):
+    days = FU.by_day(events_as_bars(spark, sf_dir).withColumn("funding_rate", F.col("price")))
+    return days.select("symbol", "day_ms", r6(F.col("funding"), "funding"), "n")
+
+
+@query(f"""WITH {BARS}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms DESC) AS k, lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms DESC) - ts_ms AS gap FROM bars),
+m AS (SELECT symbol, count(*) AS n, CAST(round_even(median(gap) / 3600000.0, 0) AS INTEGER) AS h FROM t WHERE k <= 10 GROUP BY symbol)
+SELECT symbol, CASE WHEN n >= 4 AND h IN (1, 2, 4, 8) THEN h END AS hours FROM m""")
+def interval_hours(spark, sf_dir):
+    return FU.interval_hours(hourly(spark, sf_dir))
+
+
+_CUT = "CASE WHEN n >= 0.9 * 480 THEN p + greatest(-0.0005, least(0.0005, 0.0001 - p)) END"
+
+
+@query(f"""WITH m AS (SELECT l_returnflag AS symbol, (l_orderkey * 8 + l_linenumber) * 60000 AS t, l_discount / 100 AS x FROM lineitem),
+w AS (SELECT *, t - t % 28800000 + 28800000 AS ts_ms, row_number() OVER (PARTITION BY symbol, t - t % 28800000 ORDER BY t, x) AS w FROM m),
+g AS (SELECT symbol, ts_ms, count(*) AS n, sum(w * x) / sum(w) AS p FROM w GROUP BY ALL) SELECT symbol, ts_ms, round({_CUT.replace("0.9 * 480", "0.045 * 480")}, 9) AS funding_rate, n FROM g""")
+def funding_reconstruct(spark, sf_dir):
+    """Lines of orders as minutes; a twentieth of the minutes is enough here, so hours are scaled by it."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    premium = rows.select(F.col("l_returnflag").alias("symbol"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 60_000).cast("bigint").alias("open_time"), (F.col("l_discount") / 100).alias("premium_close"))
+    return FU.reconstruct(premium, 8, least=0.9 / 20).select("symbol", "ts_ms", F.round("funding_rate", 9).alias("funding_rate"), "n")
+
+
+@query(f"""WITH {BARS}, a AS (SELECT symbol, ts_ms FROM bars WHERE close > 60), b AS (SELECT symbol, ts_ms FROM bars WHERE n_ticks > 2)
+SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS n_both,
+(SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS jaccard""")
+def signal_jaccard(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return FU.jaccard(bars.where("close > 60").select("symbol", "ts_ms"), bars.where("n_ticks > 2").select("symbol", "ts_ms"))
+
+
+@query(f"""WITH {PANEL}, w AS (SELECT symbol, d_idx, d_idx::BIGINT * 86400000 AS day_ms, sum(funding) OVER q AS s, d_idx - lag(d_idx, 6) OVER (PARTITION BY symbol ORDER BY d_idx) AS span
+FROM daily WINDOW q AS (PARTITION BY symbol ORDER BY d_idx ROWS 6 PRECEDING)) SELECT symbol, CAST(day_ms AS BIGINT) AS day_ms FROM w WHERE span = 6 AND s >= 0.0005""")
+def entry_days(spark, sf_dir):
+    return FU.entry_days(nation_panel(spark, sf_dir).where("close IS NOT NULL"), "funding", 0.0005)
+
+
+# ---------------------------------------------------------------- rolling features
+
+_Z = "CASE WHEN count(spread) OVER w >= 24 AND stddev_samp(spread) OVER w > 0 THEN (spread - avg(spread) OVER w) / stddev_samp(spread) OVER w END"
+_W24 = "WINDOW w AS (PARTITION BY pair ORDER BY ts_ms ROWS 23 PRECEDING)"
+
+
+@query(f"WITH {PAIRS} SELECT pair, ts_ms, round({_Z}, 6) AS z FROM rows {_W24}")
+def rolling_zscore(spark, sf_dir):
+    return aligned(spark, sf_dir).select("pair", "ts_ms", r6(X.zscore("spread", ["pair"], "ts_ms", 24), "z"))
+
+
+_BARS_Z = BARS + """, q AS (SELECT symbol, ts_ms, close, ln(close) AS x FROM bars), zs AS (SELECT symbol, ts_ms, close, CASE WHEN count(x) OVER w >= 24 AND stddev_samp(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w END AS z
+FROM q WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms ROWS 23 PRECEDING)), ls AS (SELECT *, lag(z) OVER (PARTITION BY symbol ORDER BY ts_ms) AS zp FROM zs)"""
+
+
+@query(f"WITH {_BARS_Z} SELECT symbol, ts_ms, close, round(z, 6) AS z, CASE WHEN z < -1.5 AND zp >= -1.5 THEN 1 WHEN z > 1.5 AND zp <= 1.5 THEN -1 ELSE 0 END AS signal FROM ls")
+def cross_signal(spark, sf_dir):
+    """The flagship: ticks to hourly bars to a causal z-score of the log close to fresh crosses; one aggregate, one sort."""
+    bars = hourly(spark, sf_dir).select("symbol", "ts_ms", "close").withColumn("x", C.log("close"))
+    rows = bars.withColumn("z", X.zscore("x", ["symbol"], "ts_ms", 24))
+    return rows.withColumn("signal", X.crossing("z", ["symbol"], "ts_ms", 1.5)).select("symbol", "ts_ms", "close", r6(F.col("z"), "z"), "signal")
+
+
+_R12 = "r AS (SELECT *, ln(close1) - lag(ln(close1)) OVER p AS r1, ln(close2) - lag(ln(close2)) OVER p AS r2 FROM rows WINDOW p AS (PARTITION BY pair ORDER BY ts_ms))"
+
+
+@query(f"WITH {PAIRS}, {_R12} SELECT pair, ts_ms, CASE WHEN count(CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 1 END) OVER w >= 12 THEN round(corr(r1, r2) OVER w, 6) END AS corr FROM r WINDOW w AS (PARTITION BY pair ORDER BY ts_ms ROWS 11 PRECEDING)")
+def rolling_corr(spark, sf_dir):
+    by = W.partitionBy("pair").orderBy("ts_ms")
+    rows = aligned(spark, sf_dir).withColumns({f"r{n}": C.log(f"close{n}") - F.lag(C.log(f"close{n}")).over(by) for n in (1, 2)})
+    return rows.select("pair", "ts_ms", r6(X.rolling_corr("r1", "r2", ["pair"], "ts_ms", 12), "corr"))
+
+
+@query(f"""WITH {PAIRS}, u AS (SELECT *, (spread - lag(spread) OVER (PARTITION BY pair ORDER BY ts_ms)) / 1.5 AS unit FROM rows)
+SELECT pair, ts_ms, round(CASE WHEN count(*) OVER w >= 24 THEN close1 / avg(close1) OVER w - 1 END, 6) AS trend1, round(CASE WHEN count(unit) OVER s >= 4 THEN stddev_samp(unit) OVER s END / CASE WHEN count(unit) OVER w >= 24 THEN stddev_samp(unit) OVER w END, 6) AS vol_ratio,
+round(CASE WHEN count(*) OVER s >= 4 THEN ln(sum(volume1 * close1) OVER s / (sum(volume2 * close2) OVER s + 1e-12)) END, 6) AS dollar_ratio
+FROM u WINDOW w AS (PARTITION BY pair ORDER BY ts_ms ROWS 23 PRECEDING), s AS (PARTITION BY pair ORDER BY ts_ms ROWS 3 PRECEDING)""")
+def rolling_trend_vol_volume(spark, sf_dir):
+    keys, ts = ["pair"], "ts_ms"
+    rows = aligned(spark, sf_dir)
+    rows = rows.withColumn("unit", (F.col("spread") - F.lag("spread").over(W.partitionBy(*keys).orderBy(ts))) / 1.5)
+    roll = lambda x, n, f: X.rolling(x, keys, ts, n, f)
+    dollars = lambda n: roll(F.col(f"volume{n}") * F.col(f"close{n}"), 4, F.sum)
+    return rows.select(
+        "pair", "ts_ms", r6(C.ratio("close1", roll(F.col("close1"), 24, F.avg)) - 1, "trend1"),
+        r6(C.ratio(roll(F.col("unit"), 4, F.stddev_samp), roll(F.col("unit"), 24, F.stddev_samp)), "vol_ratio"), r6(C.log(dollars(1) / (dollars(2) + 1e-12)), "dollar_ratio"),
+    )
+
+
+@query(f"WITH {PAIRS} SELECT pair, ts_ms, round((lead(spread, 6) OVER (PARTITION BY pair ORDER BY ts_ms) - spread) / 1.5, 6) AS y FROM rows")
+def forward_target(spark, sf_dir):
+    return aligned(spark, sf_dir).select("pair", "ts_ms", r6(X.forward_return("spread", F.lit(0.5), ["pair"], "ts_ms", 6), "y"))
+
+
+@query(f"WITH {PAIRS}, g AS (SELECT pair, ts_ms - lag(ts_ms) OVER (PARTITION BY pair ORDER BY ts_ms) AS gap FROM rows) SELECT pair, CAST(floor(median(gap)) AS BIGINT) AS bar_ms FROM g GROUP BY pair")
+def bar_interval(spark, sf_dir):
+    return X.bar_interval(aligned(spark, sf_dir), ["pair"])
+
+
+def _feature_rows(spark, sf_dir) -> DataFrame:
+    rows = aligned(spark, sf_dir).withColumns({"alpha": F.lit(0.1), "beta": F.lit(0.5), "taker_buy_volume1": F.col("volume1") * 0.4, "taker_buy_volume2": F.col("volume2") * 0.6, "btc_close": F.col("close2")})
+    return X.pair_features(rows, 60, btc=True, adf=True)
+
+
+@query()
+def pair_features(spark, sf_dir):
+    return _feature_rows(spark, sf_dir).select("pair", "ts_ms", *[r6(F.col(c), c) for c in X.FEATURES])
+
+
+# ---------------------------------------------------------------- pairs
+
+
+def _log_pairs(spark, sf_dir) -> DataFrame:
+    bars = hourly(spark, sf_dir)
+    return P.log_pairs(bars, event_pairs(bars))
+
+
+_LP = PAIRS + ", lp AS (SELECT pair, ts_ms, ln(close1) AS x1, ln(close2) AS x2 FROM legs), fit AS (SELECT pair, count(*) AS n, regr_intercept(x1, x2) AS alpha, regr_slope(x1, x2) AS beta FROM lp GROUP BY pair)"
+
+
+@query(f"WITH {_LP} SELECT pair, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM fit")
+def ols_pairs(spark, sf_dir):
+    return P.hedges(_log_pairs(spark, sf_dir)).select("pair", "n", r6(F.col("alpha"), "alpha"), r6(F.col("beta"), "beta"))
+
+
+@query(f"""WITH {_LP}, e AS (SELECT pair, ts_ms, x1 - beta * x2 - alpha AS e FROM lp JOIN fit USING (pair)), d AS (SELECT pair, e - lag(e) OVER w AS d, lag(e) OVER w AS e0 FROM e WINDOW w AS (PARTITION BY pair ORDER BY ts_ms)),
+s AS (SELECT pair, regr_slope(d, e0) AS s FROM d WHERE e0 IS NOT NULL GROUP BY pair) SELECT pair, round(-ln(2) / s * 60, 6) AS half_life_minutes FROM s""")
+def half_life(spark, sf_dir):
+    rows = _log_pairs(spark, sf_dir)
+    return P.half_life(rows, P.hedges(rows), 60).select("pair", r6(F.col("half_life_minutes"), "half_life_minutes"))
+
+
+@query(f"WITH {_LP}, r AS (SELECT pair, x1 - lag(x1) OVER w AS r1, x2 - lag(x2) OVER w AS r2 FROM lp WINDOW w AS (PARTITION BY pair ORDER BY ts_ms)) SELECT pair, round(corr(r1, r2), 6) AS return_corr FROM r GROUP BY pair")
+def return_corr(spark, sf_dir):
+    return P.return_corr(_log_pairs(spark, sf_dir)).select("pair", r6(F.col("return_corr"), "return_corr"))
+
+
+@query()
+def pair_statistics(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return P.pair_statistics(bars, event_pairs(bars), 60, least=30)
+
+
+@query()
+def choose_pairs(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return P.choose_pairs(P.pair_statistics(bars, event_pairs(bars), 60, least=30).withColumn("beta", F.abs("beta") + 0.01), top_k=4, min_half_life=0.0, min_corr=-1.0)
+
+
+# ---------------------------------------------------------------- costs and trades
+
+_FILL = "({n}) * (0.00065 + CASE WHEN v > 0 AND {n} > 0 THEN 0.001 * sqrt(({n}) / v) ELSE 0 END)"
+
+
+@query("WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS g, 1 / (1 + l_discount) AS w1, l_discount / (1 + l_discount) AS w2, 1 + l_tax AS x1, l_quantity * 1000 AS v FROM lineitem) SELECT l_orderkey, l_linenumber, round("
+       + " + ".join(_FILL.format(n=n) for n in ("g * w1", "g * w2", "g * w1 * x1", "g * w2")) + ", 6) AS cost, round(x1 * w1 - w1, 6) AS ret FROM t")
+def trade_costs(spark, sf_dir):
+    w1, w2 = K.leg_weights("l_discount")
+    volume = F.col("l_quantity") * 1000
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("gross"), w1.alias("w1"), w2.alias("w2"), F.lit(1).alias("side"),
+        F.lit(1.0).alias("entry_p1"), F.lit(1.0).alias("entry_p2"), (1 + F.col("l_tax")).alias("exit_p1"), F.lit(1.0).alias("exit_p2"),
+        *[volume.alias(f"{s}_vol{n}_usd") for s in ("entry", "exit") for n in (1, 2)],
+    )
+    ret = K.unit_return("side", "w1", "w2", "entry_p1", "entry_p2", "exit_p1", "exit_p2")
+    return rows.select("l_orderkey", "l_linenumber", r6(K.trade_costs(K.CostModel(), "gross"), "cost"), r6(ret, "ret"))
+
+
+@query(f"""WITH {BARS}, i AS (SELECT symbol AS pair, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) AS i, high, low, close FROM bars),
+o AS (SELECT pair, i, close AS l, pair || i AS order_id FROM i WHERE i % 5 = 0)
+SELECT o.order_id, min(CASE WHEN i.low < l * 0.9999 THEN i.i END)::INTEGER AS fill_i FROM o LEFT JOIN i ON i.pair = o.pair AND i.i > o.i AND i.i <= o.i + 3 GROUP BY o.order_id""")
+def maker_fill(spark, sf_dir):
+    number = F.row_number().over(W.partitionBy("symbol").orderBy("ts_ms"))
+    bars = hourly(spark, sf_dir).select(F.col("symbol").alias("pair"), F.lit(1).alias("leg"), number.alias("i"), "high", "low", "close")
+    orders = bars.where("i % 5 = 0").select(F.concat("pair", F.col("i").cast("string")).alias("order_id"), "pair", "leg", F.lit(True).alias("buy"), F.col("close").alias("limit"), "i")
+    return S.first_through(orders, bars)
+
+
+def _signals(spark, sf_dir) -> DataFrame:
+    rows = aligned(spark, sf_dir).withColumns({"beta": F.lit(0.5), "z": X.zscore("spread", ["pair"], "ts_ms", 24)})
+    return rows.withColumn("signal", X.crossing("z", ["pair"], "ts_ms", 1.5))
+
+
+@query()
+def simulate_taker(spark, sf_dir):
+    return S.simulate(_signals(spark, sf_dir), S.ExitRules(max_hold_bars=24)).drop("info")
+
+
+@query()
+def simulate_maker(spark, sf_dir):
+    return S.simulate(_signals(spark, sf_dir), S.ExitRules(max_hold_bars=24), execution=S.Execution("maker")).drop("info")
+
+
+def _portfolio(spark, sf_dir) -> DataFrame:
+    bars = hourly(spark, sf_dir)
+    trades = S.simulate(_signals(spark, sf_dir), S.ExitRules(max_hold_bars=24)).drop("info")
+    funding = bars.select("symbol", "ts_ms", (F.col("n_ticks") * 1e-5).alias("funding_rate"))
+    return PF.run_portfolio(PF.with_funding(trades, event_pairs(bars), funding).withColumn("label", F.lit("taker")))
+
+
+@query()
+def run_portfolio(spark, sf_dir):
+    return _portfolio(spark, sf_dir)
+
+
+@query()
+def random_entry_benchmark(spark, sf_dir):
+    rows = _signals(spark, sf_dir)
+    trades = S.simulate(rows, S.ExitRules(max_hold_bars=24)).drop("info")
+    sims = S.random_entries(trades, rows, 20).drop("info").withColumn("label", F.col("sim").cast("string"))
+    done = lambda t: PF.run_portfolio(t).where("accepted").groupBy("label").agg(F.sum("net_pnl").alias("net_pnl"))
+    key = lambda f: f.withColumn("run", F.lit("taker"))
+    return T.permutation_p(key(done(sims)), key(done(trades.withColumn("label", F.lit("real")))), ("run",))
+
+
+# ---------------------------------------------------------------- panel and weights
+
+
+@query(f"""WITH {PANEL}, l AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY d_idx) AS r FROM panel)
+SELECT d_idx, symbol, count(close) OVER w = 4 AS live, round(sum(funding) OVER w, 6) AS f, round(avg(quote_volume) OVER w, 4) AS adv, round(stddev_samp(r) OVER w, 6) AS vol FROM l WINDOW w AS (PARTITION BY symbol ORDER BY d_idx ROWS 3 PRECEDING)""")
+def panel_windows(spark, sf_dir):
+    rows = nation_panel(spark, sf_dir).withColumn("r", N.daily_return())
+    return rows.select("d_idx", "symbol", N.live(4).alias("live"), r6(N.trailing_funding(4), "f"), F.round(N.average_volume(4), 4).alias("adv"), r6(N.trailing_vol("r", 4), "vol"))
+
+
+_LIVE = "u AS (SELECT *, count(close) OVER w = {h} AS live, avg(quote_volume) OVER w AS adv FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY d_idx ROWS {h1} PRECEDING))"
+
+
+@query(f"WITH {PANEL}, {_LIVE.format(h=4, h1=3, src='panel')} SELECT d_idx, symbol, rank::INTEGER AS rank FROM (SELECT d_idx, symbol, row_number() OVER (PARTITION BY d_idx ORDER BY adv DESC, s_idx) AS rank FROM u WHERE live AND d_idx >= 3) WHERE rank <= 12")
+def liquid_universe(spark, sf_dir):
+    return N.liquid_universe(nation_panel(spark, sf_dir), 12, 4).select("d_idx", "symbol", F.col("adv_rank").alias("rank"))
+
+
+@query(f"""WITH {PANEL}, u AS (SELECT *, sum(funding) OVER w AS f, count(close) OVER w = 3 AS live FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY d_idx ROWS 2 PRECEDING)),
+r AS (SELECT *, count(*) OVER (PARTITION BY d_idx) AS n, row_number() OVER (PARTITION BY d_idx ORDER BY round(f, 9), s_idx) AS rank FROM u WHERE live AND d_idx >= 3 AND (d_idx + 4) % 7 = 0),
+k AS (SELECT *, greatest(1, CAST(floor(n * CAST(1.0 / 3 AS DOUBLE)) AS INTEGER)) AS k FROM r WHERE n >= 6)
+SELECT d_idx, symbol, round(CASE WHEN rank > n - k THEN -0.5 / k ELSE 0.5 / k END, 9) AS w FROM k WHERE rank <= k OR rank > n - k""")
+def carry_weights(spark, sf_dir):
+    w, _ = WT.carry(nation_panel(spark, sf_dir).withColumn("funding", F.col("funding")), 3)
+    return w.select("d_idx", "symbol", F.round("w", 9).alias("w"))
+
+
+def _legs_sql(extra: str, order: str, high: int, least: str) -> str:
+    return f"""WITH {PANEL}, l AS (SELECT *, ln(close) - lag(ln(close)) OVER p AS r, ln(close) - lag(ln(close), 3) OVER p AS mom FROM panel WINDOW p AS (PARTITION BY symbol ORDER BY d_idx)),
+v AS (SELECT *, stddev_samp(r) OVER (PARTITION BY symbol ORDER BY d_idx ROWS 5 PRECEDING) AS vol, {extra} FROM l), {_LIVE.format(h=4, h1=3, src='v')},
+c AS (SELECT *, count(*) OVER (PARTITION BY d_idx) AS n_live, row_number() OVER (PARTITION BY d_idx ORDER BY adv DESC, s_idx) AS adv_rank FROM u WHERE live AND d_idx >= 6),
+t AS (SELECT * FROM c WHERE adv_rank <= 12 AND {least} AND (d_idx + 4) % 7 = 0),
+q AS (SELECT *, count(*) OVER (PARTITION BY d_idx) AS n, row_number() OVER (PARTITION BY d_idx ORDER BY {order}, adv_rank) AS rank FROM t),
+k AS (SELECT *, greatest(1, CAST(floor(n * 0.25::DOUBLE) AS INTEGER)) AS k FROM q), g AS (SELECT *, CASE WHEN rank > n - k THEN {high} WHEN rank <= k THEN {-high} END AS leg, CASE WHEN vol > 0 THEN 1 / vol ELSE 0 END AS iv FROM k)
+SELECT d_idx, symbol, round(coalesce(leg * 0.5 * iv / nullif(sum(iv) OVER (PARTITION BY d_idx, leg), 0), 0), 6) AS w FROM g WHERE leg IS NOT NULL"""
+
+
+@query(_legs_sql("sum(funding) OVER (PARTITION BY symbol ORDER BY d_idx ROWS 2 PRECEDING) AS f", "f", -1, "n_live >= 6"))
+def broad_carry_weights(spark, sf_dir):
+    w, _, _ = WT.broad_carry(nation_panel(spark, sf_dir), 12, 3, 6, 4, 0.25)
+    return w.select("d_idx", "symbol", r6(F.col("w"), "w"))
+
+
+@query(_legs_sql("0 AS f", "mom", 1, "least(n_live, 12) >= 10"))
+def xs_momentum(spark, sf_dir):
+    w, _, _ = WT.momentum(nation_panel(spark, sf_dir), 12, 3, 6, 4, 0.25)
+    return w.select("d_idx", "symbol", r6(F.col("w"), "w"))
+
+
+def _trend(spark, sf_dir) -> DataFrame:
+    return WT.trend(nation_panel(spark, sf_dir), (1, 2, 4), 6, 0.5, 1.0)
+
+
+_TREND = PANEL + """, l AS (SELECT *, ln(close) - lag(ln(close)) OVER p AS r, (CAST(close > lag(close, 1) OVER p AS INTEGER) + CAST(close > lag(close, 2) OVER p AS INTEGER) + CAST(close > lag(close, 4) OVER p AS INTEGER)) / 3.0::DOUBLE AS score FROM panel WINDOW p AS (PARTITION BY symbol ORDER BY d_idx)),
+v AS (SELECT *, stddev_samp(r) OVER w * sqrt(365.0) AS vol, count(r) OVER w AS n FROM l WINDOW w AS (PARTITION BY symbol ORDER BY d_idx ROWS 5 PRECEDING)),
+s AS (SELECT *, score * 0.5 / vol / count(*) OVER (PARTITION BY d_idx) AS raw FROM v WHERE d_idx >= 4 AND score IS NOT NULL AND n >= 0.8 * 6 AND vol > 0),
+tw AS (SELECT d_idx, symbol, raw * CASE WHEN sum(abs(raw)) OVER (PARTITION BY d_idx) > 1 THEN 1 / sum(abs(raw)) OVER (PARTITION BY d_idx) ELSE 1 END AS w FROM s)"""
+
+
+@query(f"WITH {_TREND} SELECT d_idx, symbol, round(w, 6) AS w FROM tw")
+def trend_weights(spark, sf_dir):
+    return _trend(spark, sf_dir).select("d_idx", "symbol", r6(F.col("w"), "w"))
+
+
+@query(f"SELECT d_idx, string_agg(printf('%s:%+.4f', symbol, w), ';' ORDER BY symbol) AS held FROM (WITH {_TREND} SELECT d_idx, symbol, round(w, 4) AS w FROM tw) WHERE w <> 0 GROUP BY d_idx")
+def held_positions_line(spark, sf_dir):
+    rows = _trend(spark, sf_dir).select("d_idx", "symbol", F.round("w", 4).alias("w")).where("w <> 0")
+    return rows.groupBy("d_idx").agg(F.collect_list(F.struct("symbol", "w")).alias("weights")).select("d_idx", held_positions().alias("held"))
+
+
+@query(f"""WITH {_TREND}, x AS (SELECT p.d_idx, p.symbol, p.funding, p.close, coalesce(tw.w, 0) AS w, CASE WHEN p.close IS NOT NULL THEN lead(p.close) OVER q / p.close - 1 END AS r, lead(p.funding) OVER q AS f FROM panel p LEFT JOIN tw USING (d_idx, symbol) WINDOW q AS (PARTITION BY symbol ORDER BY d_idx)),
+y AS (SELECT *, CASE WHEN close IS NOT NULL THEN w ELSE 0 END AS target, coalesce(r, 0) AS rr FROM x), g AS (SELECT *, sum(target * rr) OVER (PARTITION BY d_idx) AS gross FROM y),
+h AS (SELECT *, coalesce(lag(target * (1 + rr) / (1 + gross)) OVER (PARTITION BY symbol ORDER BY d_idx), 0) AS held FROM g)
+SELECT (d_idx + 1)::INTEGER AS d_idx, round(sum(target * rr), 6) AS gross, round(sum(abs(target - held)) * 0.00065, 6) AS cost, round(sum(target * f), 6) AS funding, round(sum(abs(target - held)), 6) AS turnover, round(sum(abs(target)), 6) AS exposure FROM h WHERE d_idx < 79 GROUP BY d_idx""")
+def run_daily_every_day(spark, sf_dir):
+    out = D.run_daily(nation_panel(spark, sf_dir), _trend(spark, sf_dir).withColumn("label", F.lit("trend")))
+    return out.select("d_idx", *[r6(F.col(c), c) for c in ("gross", "cost", "funding", "turnover", "exposure")])
+
+
+@query()
+def run_daily_weekly(spark, sf_dir):
+    panel = nation_panel(spark, sf_dir)
+    w, reb, _ = WT.momentum(panel, 12, 3, 6, 4, 0.25)
+    return D.run_daily(panel, w.withColumn("label", F.lit("momentum")), reb.withColumn("label", F.lit("momentum")))
+
+
+@query()
+def permuted_weights(spark, sf_dir):
+    w, _, eligible = WT.momentum(nation_panel(spark, sf_dir), 12, 3, 6, 4, 0.25)
+    return WT.permuted(w, eligible.join(w.select("d_idx").distinct(), "d_idx", "left_semi"), 7)
+
+
+def _with_spot(spark, sf_dir) -> DataFrame:
+    panel = nation_panel(spark, sf_dir)
+    spot = panel.where("close IS NOT NULL AND s_idx % 2 = 0").select("symbol", F.col("day_ms").alias("ts_ms"), (F.col("close") * 0.99).alias("close"), "quote_volume")
+    return N.add_spot(panel, spot)
+
+
+@query(f"""WITH {PANEL}, sp AS (SELECT symbol, s_idx FROM names WHERE s_idx % 2 = 0) SELECT d_idx, symbol, round(close, 3) AS close FROM panel
+UNION ALL SELECT d_idx, 'SPOT:' || symbol, round(close * 0.99, 3) FROM panel JOIN sp USING (symbol)""")
+def spot_columns(spark, sf_dir):
+    return _with_spot(spark, sf_dir).select("d_idx", "symbol", F.round("close", 3).alias("close"))
+
+
+@query()
+def harvest_positions(spark, sf_dir):
+    rows = D.harvest_candidates(_with_spot(spark, sf_dir), top_n=20, lookback=3, min_history=4)
+    return D.harvest(rows, 79, enter=0.0004, leave=0.0001, slots=5)
+
+
+@query()
+def sized_harvest(spark, sf_dir):
+    panel = _with_spot(spark, sf_dir)
+    made = D.harvest(D.harvest_candidates(panel, top_n=20, lookback=3, min_history=4), 80, enter=0.0004, leave=0.0001, slots=5)
+    held = made.where("kind = 'weight' AND w < 0").select("d_idx", "symbol").join(panel.select("d_idx", "symbol", "s_idx", "close"), ["d_idx", "symbol"])
+    days = spark.range(80).select(F.col("id").cast("int").alias("d_idx")).join(made.where("kind = 'rebalance'").select("d_idx", F.lit(True).alias("changed")), "d_idx", "left")
+    rows = days.join(held, "d_idx", "left").withColumns({"label": F.lit("sized"), "changed": F.coalesce("changed", F.lit(False))})
+    return D.sized_harvest(rows.select("label", "d_idx", "symbol", "s_idx", "close", "changed"))
+
+
+@query()
+def listing_short(spark, sf_dir):
+    panel = nation_panel(spark, sf_dir)
+    first = panel.where("close IS NOT NULL").groupBy("symbol").agg(F.min("d_idx").alias("d_idx")).where("symbol <> 'NATION_0'")
+    return D.listing_shorts(panel, first, "NATION_0", hold_days=5, most=4)[0]
+
+
+# ---------------------------------------------------------------- statistics
+
+
+def _months(spark, sf_dir) -> DataFrame:
+    by = W.partitionBy("symbol").orderBy("d_idx")
+    return nation_panel(spark, sf_dir).where("close IS NOT NULL").withColumn("ret", C.ratio("close", F.lag("close").over(by)) - 1)
+
+
+_MONTHS = PANEL + ", m AS (SELECT symbol, d_idx, d_idx::BIGINT * 86400000 AS day_ms, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY d_idx) - 1 AS ret FROM daily)"
+
+
+@query(f"""WITH {_MONTHS} SELECT symbol, round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(365) ELSE 0 END, 6) AS sharpe,
+round(CASE WHEN count(ret) >= 2 AND avg(least(ret, 0) ** 2) FILTER (ret IS NOT NULL) > 0 THEN avg(ret) / sqrt(avg(least(ret, 0) ** 2) FILTER (ret IS NOT NULL)) * sqrt(365) ELSE 0 END, 6) AS sortino FROM m GROUP BY symbol""")
+def sharpe_sortino(spark, sf_dir):
+    rows = _months(spark, sf_dir).where("ret IS NOT NULL")
+    return rows.groupBy("symbol").agg(r6(T.sharpe(), "sharpe"), r6(T.sortino(), "sortino"))
+
+
+@query(f"WITH {_MONTHS}, p AS (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY d_idx) AS peak FROM m) SELECT symbol, round(max((peak - close) / peak), 6) AS max_drawdown FROM p GROUP BY symbol")
+def max_drawdown(spark, sf_dir):
+    return T.drawdowns(_months(spark, sf_dir), ("symbol",), "d_idx", "close").select("symbol", r6(F.col("max_drawdown"), "max_drawdown"))
+
+
+@query(f"""WITH {_MONTHS}, c AS (SELECT symbol, ret, avg(ret) OVER (PARTITION BY symbol) AS mu FROM m WHERE ret IS NOT NULL), d AS (SELECT symbol, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, avg((ret - mu) ** 2) AS m2, avg((ret - mu) ** 3) AS m3, avg((ret - mu) ** 4) AS m4 FROM c GROUP BY symbol)
+SELECT symbol, n, round(mean, 6) AS mean, round(std, 6) AS std, round(m3 / m2 ** 1.5, 6) AS skew, round(m4 / (m2 * m2), 6) AS kurtosis FROM d""")
+def return_moments(spark, sf_dir):
+    m = T.moments(_months(spark, sf_dir), ("symbol",))
+    return m.select("symbol", "n", *[r6(F.col(c), c) for c in ("mean", "std", "skew", "kurtosis")])
+
+
+@query()
+def deflated_sharpe(spark, sf_dir):
+    return T.against_chance(_months(spark, sf_dir), ("symbol",), n_trials=9)
+
+
+@query()
+def bootstrap_intervals(spark, sf_dir):
+    rows = _months(spark, sf_dir)
+    plain, block = T.bootstrap_mean(rows, ("symbol",), n_boot=2000), T.block_bootstrap_mean(rows, ("symbol",), n_boot=2000)
+    return plain.withColumn("kind", F.lit("plain")).unionByName(block.withColumn("kind", F.lit("block")))
+
+
+@query(f"""WITH {_MONTHS}, e AS (SELECT symbol, ret, lag(symbol) OVER (ORDER BY symbol) AS x FROM m) SELECT symbol, round(CASE WHEN min(1 + ret) <= 0 THEN 0 ELSE exp(sum(ln(1 + ret))) END - 1, 6) AS total_return FROM m WHERE ret IS NOT NULL GROUP BY symbol""")
+def compounded_return(spark, sf_dir):
+    return _months(spark, sf_dir).where("ret IS NOT NULL").groupBy("symbol").agg(r6(C.product_of_growth("ret") - 1, "total_return"))
+
+
+@query(f"""WITH {_MONTHS} SELECT a.symbol AS a, b.symbol AS b, round(corr(a.ret, b.ret), 3) AS corr, count(*) AS n FROM m a JOIN m b ON a.d_idx = b.d_idx AND a.symbol < b.symbol AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL""")
+def return_correlations(spark, sf_dir):
+    return T.correlations(_months(spark, sf_dir).where("ret IS NOT NULL"), "symbol", "ret")
+
+
+@query(f"""WITH {TRADES}, c AS (SELECT label, exit_reason, count(*) AS n FROM trades GROUP BY ALL)
+SELECT t.label, count(*) AS n_trades, round(sum(net_pnl), 4) AS net_pnl, round(sum(gross_pnl), 4) AS gross_pnl, round(avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, round(avg(gross_ret) * 1e4, 6) AS mean_gross_ret_bp, round(avg(net_ret) * 1e4, 6) AS mean_net_ret_bp, median(hold_minutes) AS median_hold_minutes,
+(SELECT string_agg(exit_reason || '=' || n, ',' ORDER BY exit_reason) FROM c WHERE c.label = t.label) AS exit_reasons FROM trades t GROUP BY t.label""")
+def trade_summary(spark, sf_dir):
+    s = T.trade_summary(as_trades(spark, sf_dir), ("label",), 1000.0)
+    counts = F.array_join(F.transform(F.map_entries("exit_reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return s.select("label", "n_trades", F.round("net_pnl", 4).alias("net_pnl"), F.round("gross_pnl", 4).alias("gross_pnl"), *[r6(F.col(c), c) for c in ("win_rate", "mean_gross_ret_bp", "mean_net_ret_bp")], "median_hold_minutes", counts.alias("exit_reasons"))
+
+
+@query(f"WITH {TRADES} SELECT label, exit_reason, count(*) AS n FROM trades GROUP BY ALL")
+def exit_counts(spark, sf_dir):
+    return T.exit_counts(as_trades(spark, sf_dir), ("label",))
+
+
+@query(f"WITH {TRADES}, g AS (SELECT label, pair, sum(net_pnl) AS v FROM trades GROUP BY ALL) SELECT label, count(*) AS n, round(avg(v), 4) AS mean, round(min(v), 4) AS min, round(max(v), 4) AS max, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END), 6) AS share_positive FROM g GROUP BY label")
+def across_seeds(spark, sf_dir):
+    runs = as_trades(spark, sf_dir).groupBy("label", "pair").agg(F.sum("net_pnl").alias("v"))
+    return T.across_seeds(runs, "label", "v").select("label", "n", *[F.round(c, 4).alias(c) for c in ("mean", "min", "max")], r6(F.col("share_positive"), "share_positive"))
+
+
+@query(f"""WITH {TRADES}, g AS (SELECT label, pair, sum(net_pnl) AS v FROM trades GROUP BY ALL), r AS (SELECT label, avg(v) AS real FROM g GROUP BY label)
+SELECT label, count(*) AS n_sims, round((count(*) FILTER (v >= real) + 1) / (count(*) + 1), 6) AS p_value FROM g JOIN r USING (label) GROUP BY label""")
+def permutation_p(spark, sf_dir):
+    sims = as_trades(spark, sf_dir).groupBy("label", "pair").agg(F.sum("net_pnl").alias("net_pnl"))
+    real = sims.groupBy("label").agg(F.avg("net_pnl").alias("net_pnl"))
+    return T.permutation_p(sims, real, ("label",)).select("label", "n_sims", r6(F.col("p_value"), "p_value"))
+
+
+@query(f"""WITH {BARS}, e AS (SELECT symbol, ts_ms // 86400000 AS d, arg_max(close, ts_ms) AS equity FROM bars GROUP BY ALL), s AS (SELECT symbol, unnest(range(19723, 19753)) AS d FROM (SELECT DISTINCT symbol FROM bars)),
+f AS (SELECT symbol, d, coalesce(last_value(equity IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY d), 1000) AS equity FROM s LEFT JOIN e USING (symbol, d))
+SELECT symbol, d * 86400000 AS day_ms, equity, round(equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY d), 1000) - 1, 6) AS ret FROM f""")
+def equity_daily(spark, sf_dir):
+    points = hourly(spark, sf_dir).select("symbol", "ts_ms", F.col("close").alias("equity"))
+    out = N.equity_by_day(points, 1_704_067_200_000, 1_704_067_200_000 + 29 * DAY, 1000.0, ("symbol",))
+    return out.select("symbol", "day_ms", "equity", r6(F.col("ret"), "ret"))
+
+
+@query(f"WITH {TRADES}, r AS (SELECT label, 1000 + sum(net_pnl) OVER (PARTITION BY label ORDER BY exit_ts, pair) AS equity FROM trades) SELECT label, round(min(equity), 4) AS low, round(max(equity), 4) AS high FROM r GROUP BY label")
+def running_equity(spark, sf_dir):
+    rows = T.running_equity(as_trades(spark, sf_dir), ("label",), 1000.0)
+    return rows.groupBy("label").agg(F.round(F.min("equity"), 4).alias("low"), F.round(F.max("equity"), 4).alias("high"))
+
+
+@query(f"""WITH {TRADES}, s AS (SELECT label, count(*) AS n_trades, sum(net_pnl) AS net_pnl, avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM trades GROUP BY label)
+SELECT label, n_trades >= 100 AS go_trades, net_pnl > 0 AS go_net, win_rate > 0.5 AS go_wins, n_trades >= 100 AND net_pnl > 0 AND win_rate > 0.5 AS go,
+CASE WHEN n_trades >= 100 THEN '✓ ' ELSE '✗ ' END || 'trades ' || CASE WHEN net_pnl > 0 THEN '✓ ' ELSE '✗ ' END || 'net ' || CASE WHEN win_rate > 0.5 THEN '✓ ' ELSE '✗ ' END || 'wins' AS report FROM s""")
+def go_report(spark, sf_dir):
+    s = T.trade_summary(as_trades(spark, sf_dir), ("label",), 1000.0)
+    return reports.judged(s, reports.trade_criteria()).select("label", "go_trades", "go_net", "go_wins", "go", "report")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS p, l_quantity AS q FROM lineitem),
+c AS (SELECT *, sum(p * q) OVER w AS upto, sum(p * q) OVER w - p * q AS before FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY p, l_linenumber ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT l_orderkey, sum(greatest(0, least(p * q, 49999.37 - before))) AS paid, sum(greatest(0, least(p * q, 49999.37 - before)) / p) AS qty, max(upto) AS depth FROM c GROUP BY l_orderkey)
+SELECT l_orderkey, round(CASE WHEN depth >= 49999.37 - 1e-9 THEN paid / qty END, 2) AS price FROM f""")
+def book_walk(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"))
+    books = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("price", "l_linenumber", "qty"))).alias("levels"))
+    return books.select("l_orderkey", F.round(book_price("levels", F.lit(49_999.37)), 2).alias("price"))
+
+
+# ---------------------------------------------------------------- streaming
+
+
+def _drain(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote."""
+    import tempfile
+    import uuid
+
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='barloom-')}"
+    path = f"{root}/streams/{label}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    ts = F.unix_millis(F.col("ts").cast("timestamp"))
+    return rows.select(F.col("event_type").alias("symbol"), (ts - F.pmod(ts, F.lit(60_000))).alias("ts_ms"), F.col("value").alias("open"), F.col("value").alias("high"), F.col("value").alias("low"), F.col("value").alias("close"), F.lit(1.0).alias("volume"), F.lit(0.5).alias("taker_buy_volume"), F.col("event_id").alias("seq"))
+
+
+@query(f"""WITH {TICKS}, m AS (SELECT symbol, ts_ms - ts_ms % 60000 AS ts_ms, price, seq FROM ticks),
+p AS (SELECT *, max(ts_ms) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS top FROM m)
+SELECT symbol, ts_ms, arg_max(price, seq) AS close FROM p WHERE ts_ms = top GROUP BY symbol, ts_ms HAVING ts_ms < (SELECT max(ts_ms) FROM m WHERE m.symbol = p.symbol)""")
+def stream_closed_candles(spark, sf_dir):
+    from ..streaming.candles import closed_candles
+
+    return _drain(closed_candles(_event_stream(spark, sf_dir)), "candles").select("symbol", "ts_ms", "close")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_signal(spark, sf_dir)
