@@ -152,7 +152,7 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
     shared = materialize(shared, "buckets")
     near = 2 * edits
     bands, width = near + 1, -(-64 // (near + 1))
-    cut = F.explode(F.array(*[F.xxhash64("key", F.lit(k), F.shiftright(F.shiftleft("sig", max(0, 64 - width * (k + 1))), 64 - width).bitwiseAND(F.lit((1 << width) - 1))) for k in range(bands)]))
+    cut = F.explode(F.array(*[F.xxhash64("key", F.lit(k), F.shiftrightunsigned("sig", width * k).bitwiseAND(F.lit((1 << width) - 1))) for k in range(bands)]))
     crowded = shared.where(F.col("n") > BUCKET_MAX).withColumn("key", cut)
     own = shared.where(F.col("n") <= BUCKET_MAX).unionByName(crowded)
     a, b = own.where("own").alias("a"), own.alias("b")
