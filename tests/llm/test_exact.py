@@ -240,8 +240,9 @@ def test_templates_catch_new_parameters_and_refuse_inconsistent_slots(spark):
     docs = frame(spark, [f"Some words before. {item} and more after", f"x {other} y", f"x {broken} y", "clean words " * 30, None, item.upper()])
     items = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, items).collect()}
-    assert set(found) == {(0, 7), (1, 7)}
-    assert found[0, 7].covered == len(item.split()) and found[0, 7].n_slots == 3
+    assert set(found) == {(0, 7), (1, 7), (5, 7)}  # in capitals the name isn't one, but the words after it match
+    assert found[5, 7].covered < found[0, 7].covered
+    assert found[0, 7].covered == len(item.split()) and found[0, 7].n_slots == 4
 
 
 def test_leaks_against_brute_force(spark, sf):
@@ -396,7 +397,7 @@ def test_licences_are_inherited_from_the_nearest_folder(spark):
     rows = [
         ("a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"),
         ("a/b/x.py", "import os"), ("a/b/c/LICENSE", "Apache License Version 2.0, January 2004"), ("a/b/c/d/y.py", None),
-        ("a/b/z.py", "code\nLicensed under CC BY-NC 4.0.\nmore"), ("e/w.py", "no rights told"), (None, "Released under the MIT License."), ("top", ""),
+        ("a/b/z.py", "def main with many words of code that does something for its users\nLicensed under CC BY-NC 4.0.\nmore"), ("e/w.py", "no rights told"), (None, "Released under the MIT License."), ("top", ""),
     ]
     out = {r.path: (r.licence, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert out["a/b/x.py"] == ("MIT", "inherited") and out["a/b/c/d/y.py"] == ("Apache-2.0", "inherited")
