@@ -661,12 +661,12 @@ def go_report(spark, sf_dir):
     return reports.judged(s, reports.trade_criteria()).select("label", "go_trades", "go_net", "go_wins", "go", "report")
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS p, l_quantity AS q FROM lineitem),
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity + 0.0003 AS p, l_quantity AS q FROM lineitem),
 c AS (SELECT *, sum(p * q) OVER w AS upto, sum(p * q) OVER w - p * q AS before FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY p, l_linenumber ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT l_orderkey, sum(greatest(0, least(p * q, 49999.37 - before))) AS paid, sum(greatest(0, least(p * q, 49999.37 - before)) / p) AS qty, max(upto) AS depth FROM c GROUP BY l_orderkey)
 SELECT l_orderkey, round(CASE WHEN depth >= 49999.37 - 1e-9 THEN paid / qty END, 2) AS price FROM f""")
 def book_walk(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity") + 0.0003).alias("price"), F.col("l_quantity").alias("qty"))
     books = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("price", "l_linenumber", "qty"))).alias("levels"))
     return books.select("l_orderkey", F.round(book_price("levels", F.lit(49_999.37)), 2).alias("price"))
 
