@@ -6,6 +6,8 @@ nation are a daily panel (a month is a day), lineitem rows stand for trades wher
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -674,14 +676,15 @@ def book_walk(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The folder that all executors share; an own one only where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='barloom-')}"
+
+
 def _drain(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over all that is there and return what it wrote."""
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-    path = f"{root}/streams/{label}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/streams/{label}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -702,5 +705,78 @@ def stream_closed_candles(spark, sf_dir):
     return _drain(closed_candles(_event_stream(spark, sf_dir)), "candles").select("symbol", "ts_ms", "close")
 
 
+def _stream_of(rows: DataFrame, label: str) -> DataFrame:
+    """A stream over a table that is written first."""
+    path = f"{_scratch(rows.sparkSession)}/streams/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
+@query()
+def stream_minute_bars(spark, sf_dir):
+    from ..streaming.candles import minute_bars
+
+    ticks = events_as_bars(spark, sf_dir)
+    minutes = ticks.groupBy("symbol", C.bucket("ts_ms", C.MINUTE_MS).alias("slot")).agg(F.max_by("price", "seq").alias("close"), F.sum("volume").alias("volume"))
+    rows = minutes.select("symbol", F.col("slot").alias("ts_ms"), *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], "volume", (F.col("volume") / 2).alias("taker_buy_volume"))
+    return _drain(minute_bars(_stream_of(rows, "minutes"), 5), "bars")
+
+
+@query()
+def stream_pair_decisions(spark, sf_dir):
+    from ..streaming.engine import LiveConfig, pair_decisions
+
+    rows = aligned(spark, sf_dir).select("pair", "ts_ms", "open1", "open2", "close1", "close2", F.lit(0.1).alias("alpha"), F.lit(0.5).alias("beta"))
+    return _drain(pair_decisions(_stream_of(rows, "pairs"), LiveConfig(24, 1.5, S.ExitRules(max_hold_bars=24))), "decisions")
+
+
+@query()
+def baseline_walk_forward(spark, sf_dir):
+    """Ten days of training, five of test, window by window over hourly bars of the events."""
+    from .walkforward import Baseline, baseline_trades, windows
+
+    ticks = events_as_bars(spark, sf_dir)
+    bars = B.ticks_to_bars(ticks, HOUR).withColumn("taker_buy_volume", F.col("volume") / 2)
+    out = None
+    for index, train, split, _, end in windows(1_704_067_200_000, 1_704_067_200_000 + 30 * DAY, 10, 5, 0):
+        rows = P.log_pairs(B.time_slice(bars, train, split), event_pairs(bars))
+        fits = P.hedges(rows)
+        pairs = event_pairs(bars).join(fits, "pair").join(P.half_life(rows, fits, 60), "pair").select("pair", "asset1", "asset2", "alpha", "beta", "half_life_minutes")
+        own = baseline_trades(bars, pairs, split, end, Baseline(60, 1440, 1.5)).drop("info").withColumn("window", F.lit(index))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query()
+def margin_breach_days(spark, sf_dir):
+    panel = nation_panel(spark, sf_dir)
+    shorts = panel.where("d_idx >= 5 AND s_idx < 3").select(F.lit("shorts").alias("label"), "d_idx", "symbol", F.lit(-0.25).alias("w"))
+    reb = shorts.where("d_idx % 6 = 5").select("label", "d_idx").distinct()
+    return D.margin_breaches(panel, shorts, reb, 0.5)
+
+
+@query()
+def random_episode_benchmark(spark, sf_dir):
+    cand = D.harvest_candidates(_with_spot(spark, sf_dir), top_n=20, lookback=3, min_history=4)
+    episodes = D.harvest(cand, 80, enter=0.0004, leave=0.0001, slots=5).where("kind = 'episode'").select("d_idx", "until", "symbol")
+    return D.random_episodes(episodes, cand, 10)
+
+
+@query()
+def learned_entries(spark, sf_dir):
+    """Boosted trees on the first two thirds, entries with an edge on the rest."""
+    from ..operators import learn as L
+
+    cfg = L.LearnConfig(horizon=3, min_rows=200, rounds=3, ensemble=2)
+    rows = L.dataset(_feature_rows(spark, sf_dir), cfg)
+    columns = ["z_4h", "z_12h", "z_mom_1", "trend1_24h"]
+    split = 1_704_067_200_000 + 20 * DAY
+    models = L.fit_ensemble(L.fit_slice(rows, 0, split, 3 * HOUR, cfg), columns, 1, cfg)
+    if models is None:
+        return rows.select("pair", "ts_ms", F.lit(None).cast("double").alias("pred_ret"), F.lit(None).cast("double").alias("unc"), F.lit(0).alias("signal")).limit(0)
+    scored = L.predict(rows, models, columns).withColumn("signal", L.entry_with_edge("z_12h", 1.0, F.lit(0.0), cfg.penalty))
+    return scored.where(F.col("ts_ms") >= split).select("pair", "ts_ms", "pred_ret", "unc", "signal")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_signal(spark, sf_dir)
