@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_owner: tuple | None = None
+
+
+def claim(name: str, forget=None) -> None:
+    """Called by an operator's function in a Python worker: memos that another operator left there are dropped."""
+    global _owner
+    if _owner is not None and _owner[0] != name and _owner[1] is not None:
+        _owner[1]()
+    if _owner is None or _owner[0] != name:
+        _owner = (name, forget)
+
+
+def texts_of(column, rows: int = 512):
+    """The texts of an Arrow column one after the other, a few rows in Python at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize
+from .common import broadcast_if, claim, materialize, texts_of
 from .textscan import Hasher, chunks, join, mix
 
 MAX_EDITS = 1
@@ -113,9 +113,10 @@ def occurrences(docs: DataFrame, key: str, text: str, edits: int, least: int) ->
     names = [f"k{i}" for i in range(len(_plan(edits)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         for batch in batches:
             owners = batch.column(0)
-            for first, raw in chunks(batch.column(1).to_pylist()):
+            for first, raw in chunks(texts_of(batch.column(1))):
                 buf, begins = join(raw)
                 breaks = np.flatnonzero(buf == 10)
                 ends, starts = breaks, np.concatenate([[0], breaks[:-1] + 1]) if len(breaks) else breaks

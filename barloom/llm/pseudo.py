@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import claim, materialize, texts_of
 from .textscan import Hasher, chunks, join, words
 
 SIDE = 2
@@ -48,9 +48,10 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(h, n): how often each word occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pseudo")
         for batch in batches:
             held = [np.zeros(0, _U)]
-            for _, raw in chunks(batch.column(0).to_pylist()):
+            for _, raw in chunks(texts_of(batch.column(0))):
                 held.append(word_hashes(raw)[1])
             h, n = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -146,7 +147,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> Network:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, net, own, texts = np.zeros(sum(SIZES)), 0, Network(), 0, 0
         for batch in batches:
-            for _, raw in chunks(batch.column(0).to_pylist()):
+            for _, raw in chunks(texts_of(batch.column(0))):
                 _, bucket, x = vocab.windows(raw)
                 for k in range(0, len(x), BATCH):
                     net.step(x[k : k + BATCH], vocab.kind[bucket[k : k + BATCH]])
@@ -173,9 +174,8 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Network(flat)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for first, raw in chunks(texts):
+            n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            for first, raw in chunks(texts_of(batch.column(1))):
                 doc, bucket, x = vocab.windows(raw)
                 own = vocab.share[bucket]
                 for k in range(0, len(x), BATCH):

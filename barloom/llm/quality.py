@@ -9,13 +9,14 @@ passages spread evenly; every document is scored over its whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, texts_of
 from .textscan import Hasher, chunks, join, words
 
 PASSAGE = 512
@@ -153,9 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key")  # sample: `most` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             names, marks = batch.column("key").to_pylist(), batch.column("label").to_pylist()
-            for first, raw in chunks(batch.column("text").to_pylist()):
+            for first, raw in chunks(texts_of(batch.column("text"))):
                 x, count = passages(raw)
                 bags = []
                 for k, n in zip(np.cumsum(count) - count, count):
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model().fit(bags, np.array([y for _, y, _ in rows], np.float32))
 
 
-def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
+def _scores(model: Model, texts: Iterable[str | None]) -> np.ndarray:
     return np.concatenate([np.zeros(0), *(model.score(*passages(raw)) for _, raw in chunks(texts))])
 
 
@@ -177,8 +179,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, score) of every row over its whole text; null texts score as empty ones, repeated rows alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1).to_pylist()))], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, texts_of(batch.column(1))))], names=["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
@@ -188,7 +191,8 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
     """The rows whose score is at least threshold, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
-            yield batch.filter(pa.array(_scores(model, batch.column(text).to_pylist()) >= threshold))
+            yield batch.filter(pa.array(_scores(model, texts_of(batch.column(text))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import claim, components, materialize
 
 MAX_BITS = 2
 SHINGLE = 3
@@ -61,12 +61,14 @@ def fingerprints(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def add_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def add_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
     """(key, fp long) of every row, in one narrow pass over the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
-            fps = fingerprints(batch.column(1).to_pylist())
+            column = batch.column(1)
+            fps = np.concatenate([np.zeros(0, np.uint64), *(fingerprints(column.slice(k, 1024).to_pylist(), width) for k in range(0, len(column), 1024))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, texts_of
+
 #: Given names by gender and script.
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Carla Clara Diana Elena Emma Eva Helen Irene Julia Laura Linda Lucy Maria Marie Nora Olivia Paula Rosa Sarah Sofia Susan Teresa Vera".split(),
@@ -209,9 +211,10 @@ def pseudonymize(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("surrogates")
         made = Surrogates(secret)
         for batch in batches:
-            own = [(None, []) if t is None else replace(t, made) for t in batch.column(1).to_pylist()]
+            own = [(None, []) if t is None else replace(t, made) for t in texts_of(batch.column(1))]
             spans = [[dict(zip(("start", "end", "kind", "surrogate"), s)) for s in x[1]] for x in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in own], pa.string()), pa.array(spans, _SPANS)], names=["key", "text", "entities"])
 

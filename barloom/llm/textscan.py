@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -18,13 +18,13 @@ _inverse = np.ones(1, _U)
 def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) < n:
-        n = max(n, 2 * len(_powers))
+        n = -(-n // (1 << 18)) << 18
         with np.errstate(over="ignore"):
             _powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(n - 1, _P)]))
             _inverse = np.cumprod(np.concatenate([np.ones(1, _U), np.full(n - 1, _P_INV)]))
 
 
-def chunks(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded texts) of about `most` bytes each."""
     own, size, first = [], 0, 0
     for k, text in enumerate(texts):

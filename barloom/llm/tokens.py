@@ -9,29 +9,32 @@ pre-tokens go to the library's model; any other piece goes through the library w
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
+from .common import claim
+
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[ \n!-~{LATIN}]*")
 #: The pre-token patterns of the two public vocabularies, for plain Latin text.
 _BYTE_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 _WORD_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
-MEMO = 300_000
+MEMO = 300_000  # pieces in a generation; half as many pre-tokens
 
 
 class _Pieces(dict):
-    """Piece to its ids as little-endian 16-bit words; two generations of at most MEMO pieces each."""
+    """Piece to its ids as little-endian 16-bit words; two generations of at most `most` pieces each."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.encode(piece)
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
@@ -54,17 +57,21 @@ class TextEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         plain = [chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c))]
         self.bytes_as = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
-        self.parts = _Pieces(self._model)
-        self.pieces = _Pieces(self._piece)
-        self.spaced = _Pieces(lambda piece: self._piece(" " + piece))
+        self.parts = _Pieces(self._model, MEMO // 2)
+        self.pieces = _Pieces(self._piece, MEMO)
+        self.spaced = _Pieces(lambda piece: self._piece(" " + piece), MEMO)
 
     def _model(self, part: str) -> bytes:
-        return np.array([t.id for t in self.tok.model.tokenize(part.translate(self.bytes_as))], "<u2").tobytes()
+        if part.isascii():  # all its bytes but space and newline stand for themselves
+            spelt = part.replace(" ", self.bytes_as[32]).replace("\n", self.bytes_as[10])
+        else:
+            spelt = part.translate(self.bytes_as)
+        return array("H", [t.id for t in self.tok.model.tokenize(spelt)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if _PLAIN.fullmatch(piece):
             return b"".join(map(self.parts.__getitem__, self.cut.findall(piece.lower() if self.lower else piece)))
-        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -81,7 +88,8 @@ _made: dict[str, TextEncoder] = {}
 
 
 def encoder(path: str) -> TextEncoder:
-    """One encoder for each vocabulary and worker process, so that its memo outlives a task."""
+    """One encoder for each vocabulary and worker process: its memo outlives a task, until another operator claims the worker."""
+    claim("tokens", _made.clear)
     if path not in _made:
         _made[path] = TextEncoder(path)
     return _made[path]
