@@ -31,31 +31,47 @@ _HEAD = struct.Struct("<4sIQI")
 _U = np.uint64
 
 
+_SMALL = np.array([sum(x >> w != 0 for w in WIDTHS) for x in range(1 << 16)], np.uint8)
+_STEPS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2), 7: (4, 3), 8: (4, 4), 10: (8, 2), 12: (8, 4), 15: (8, 7), 20: (12, 8), 30: (15, 15), 60: (30, 30)}
+
+
+def _selectors(need: np.ndarray, block: int) -> np.ndarray:
+    """The selector that packs most ids from each place on, without leaving its block.
+
+    The most demanding of c ids is the maximum of two shorter runs; rows are padded with 255, which fits nothing.
+    """
+    if not len(need):
+        return np.zeros(0, np.int64)
+    rows = -(-len(need) // block)
+    grid = np.full((rows, block + max(COUNTS)), 255, np.uint8)
+    whole = len(need) // block
+    grid[:whole, :block] = need[: whole * block].reshape(whole, block)
+    if whole < rows:
+        grid[whole, : len(need) - whole * block] = need[whole * block :]
+    flat = grid.reshape(-1)
+    runs = {1: flat}
+    sel = np.where(flat < len(WIDTHS), np.uint8(len(WIDTHS) - 1), np.uint8(0))
+    for count, (a, b) in _STEPS.items():
+        most = np.full(len(flat), 255, np.uint8)
+        np.maximum(runs[a][:-a], runs[b][a:], out=most[:-a])
+        runs[count] = most
+        fits = most <= COUNTS.index(count, 1)
+        np.copyto(sel, np.uint8(COUNTS.index(count, 1)), where=fits)
+    return sel.reshape(rows, -1)[:, :block].reshape(-1)[: len(need)].astype(np.int64)
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The payload of any unsigned ids of up to 64 bits."""
     n = len(ids)
     v = np.ascontiguousarray(ids, dtype=_U)
-    where = np.arange(n)
-    left = block - where % block
-    left = np.minimum(left, n - where)
-    take, sel = np.ones(n, np.int64), np.zeros(n, np.int64)
-    done = np.zeros(n, bool)
-    top = int(v.max()).bit_length() if n else 0
-    for s in range(1, len(WIDTHS)):
-        width, count = WIDTHS[s], COUNTS[s]
-        fits = np.zeros(n, bool)
-        if width >= top:
-            fits[:] = True
-        else:
-            over = np.zeros(n + 1, np.int32)
-            np.cumsum(v >> _U(width) != 0, out=over[1:])
-            if count <= n:
-                fits[: n - count + 1] = over[count:] == over[: n - count + 1]
-        fits &= (left >= count) & ~done
-        take[fits], sel[fits] = count, s
-        done |= fits
-        if width >= top and count == 1:
-            break
+    need = np.zeros(n, np.uint8)  # the first selector wide enough for an id, len(WIDTHS) if it must be escaped
+    if n and int(v.max()) < len(_SMALL):
+        need = _SMALL[v.astype(np.int64)]
+    else:
+        for width in WIDTHS:
+            need += v >> _U(width) != 0
+    sel = _selectors(need, block)
+    take = np.array(COUNTS)[sel]
     at = np.arange(0, n, block)
     ends = np.minimum(at + block, n)
     steps = []
