@@ -17,10 +17,11 @@ from .common import claim
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[ \n!-~{LATIN}]*")
-#: The pre-token patterns of the two public vocabularies, for plain Latin text.
+#: Letters, and the pre-token patterns of the two public vocabularies, for plain Latin text.
+_LETTERS = re.compile(rf"[{LATIN}]+").fullmatch
 _BYTE_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 _WORD_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
-MEMO = 300_000  # pieces in a generation; half as many pre-tokens
+MEMO = 400_000
 
 
 class _Pieces(dict):
@@ -53,13 +54,11 @@ class TextEncoder:
         if self.tok.get_vocab_size() > 65536:
             raise ValueError("ids must fit 16 bits")
         self.lower = self.tok.normalizer is not None
-        self.cut = _WORD_CUT if self.lower else _BYTE_CUT
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         plain = [chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c))]
         self.bytes_as = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
-        self.parts = _Pieces(self._model, MEMO // 2)
-        self.pieces = _Pieces(self._piece, MEMO)
-        self.spaced = _Pieces(lambda piece: self._piece(" " + piece), MEMO)
+        self.pieces = _Pieces(self._lowered if self.lower else self._spaced, MEMO)
+        self.parts = _Pieces(self._model, MEMO // 8)
 
     def _model(self, part: str) -> bytes:
         if part.isascii():  # all its bytes but space and newline stand for themselves
@@ -68,20 +67,36 @@ class TextEncoder:
             spelt = part.translate(self.bytes_as)
         return array("H", [t.id for t in self.tok.model.tokenize(spelt)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece):
-            return b"".join(map(self.parts.__getitem__, self.cut.findall(piece.lower() if self.lower else piece)))
+    def _whole(self, piece: str) -> bytes:
         return array("H", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def _spaced(self, word: str) -> bytes:
+        """Of a piece that follows a space, the space included; words inside longer pieces share the memo."""
+        if _LETTERS(word):
+            return self._model(" " + word)
+        if not _PLAIN.fullmatch(word):
+            return self._whole(" " + word)
+        first, *rest = _BYTE_CUT.findall(" " + word)
+        ids = self.pieces[first[1:]] if _LETTERS(first[1:]) else self.parts[first]
+        return ids + b"".join(map(self.parts.__getitem__, rest))
+
+    def _lowered(self, piece: str) -> bytes:
+        if not _PLAIN.fullmatch(piece):
+            return self._whole(piece)
+        low = piece.lower()
+        if _LETTERS(low):
+            return self._model(low) if low == piece else self.pieces[low]
+        return b"".join(self.pieces[p] if _LETTERS(p) else self.parts[p] for p in _WORD_CUT.findall(low))
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u2")
         if self.lower:
             return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.split(" "))), "<u2")
         if "  " in text:  # a run of spaces is cut by what stands around it
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2")
+            return np.frombuffer(self._whole(text), "<u2")
         first, *rest = text.split(" ")
-        return np.frombuffer(self._piece(first) + b"".join(map(self.spaced.__getitem__, rest)), "<u2")
+        return np.frombuffer(self._whole(first) + b"".join(map(self.pieces.__getitem__, rest)), "<u2")
 
 
 _made: dict[str, TextEncoder] = {}
