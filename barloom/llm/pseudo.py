@@ -1,13 +1,15 @@
 """Language-model scores by masked pseudo-likelihood.
 
 Every word is predicted from the SIDE words before it and the SIDE words after it by a window network in
-numpy: a vector for each context word and place, summed, tanh, and a softmax over word classes; a word's
-share of its class comes from the corpus counts. A document's score is the sum of the conditional log
-probabilities of all its words.
+numpy: a vector for each context word and place, summed, tanh, and a softmax over word classes. A class
+consists of hash buckets and a bucket of words: a word's probability is that of its class, times the
+bucket's share of the class, times the word's own share of the bucket. A document's score is the sum of the
+conditional log probabilities of all its words.
 
 Counts of all words of the corpus give the vocabulary, the classes (of equal mass, by frequency) and the
-shares. The network is trained on every window of the corpus: each task passes once over its documents in
-rounds of ROUND texts from the same start, and the tasks' parameters are averaged by their words.
+shares. Every word's count is used: those of the HOT most frequent words go to every task, all others are
+joined to the distinct words of each document, by hash. The network is trained on every window of the
+corpus: each task passes once over all its documents, and the tasks' parameters are averaged by their words.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ KNOWN = 767
 BUCKETS = 1 << 16
 CLASSES = 32
 HIDDEN = 16
-ROUND = 4096
+HOT = 1 << 16
 BATCH = 8192
 RATE = 0.08
 _U = np.uint64
@@ -60,10 +63,11 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """Context ids, classes and shares from the corpus counts; its size doesn't grow with them."""
+    """Context ids, classes, buckets' shares and the hot words' own; those of all other words stay in the table of counts."""
 
-    def __init__(self, top: list[int], buckets: np.ndarray):
-        known = np.array(top, np.int64).view(_U)
+    def __init__(self, top: np.ndarray, counts: np.ndarray, buckets: np.ndarray):
+        """top: the HOT most frequent words, in order."""
+        known = top[:KNOWN]
         order = np.argsort(known)
         self.known, self.rank = known[order], order.astype(np.int64)
         by_count = np.argsort(-buckets, kind="stable")
@@ -72,6 +76,18 @@ class Vocabulary:
         self.kind[by_count] = np.minimum(CLASSES - 1, CLASSES * mass // max(1, buckets.sum()))
         total = np.bincount(self.kind, weights=buckets, minlength=CLASSES) + np.bincount(self.kind, minlength=CLASSES)
         self.share = np.log((buckets + 1) / total[self.kind])
+        self.buckets = buckets
+        place = np.argsort(top)
+        self.hot = top[place]
+        self.hot_own = np.log(counts[place] / buckets[(self.hot & _U(BUCKETS - 1)).astype(np.int64)])
+
+    def own_shares(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log of the word's share of its bucket, 0 where the word isn't hot; is hot)."""
+        if not len(self.hot):
+            return np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
+        hot = self.hot[at] == h
+        return np.where(hot, self.hot_own[at], 0), hot
 
     def contexts(self, h: np.ndarray) -> np.ndarray:
         """The last id is the boundary of a text; words beyond the known share the ids between."""
@@ -83,8 +99,10 @@ class Vocabulary:
 
     def windows(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, bucket, context ids of shape words x PLACES)."""
-        doc, h = word_hashes(raw)
-        line = np.full(len(h) + SIDE * (len(raw) + 1), INPUTS - 1)
+        return self.windows_of(*word_hashes(raw), len(raw))
+
+    def windows_of(self, doc: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        line = np.full(len(h) + SIDE * (texts + 1), INPUTS - 1)
         at = np.arange(len(h)) + SIDE * (doc + 1)
         line[at] = self.contexts(h)
         around = [k for k in range(-SIDE, SIDE + 1) if k]
@@ -92,11 +110,11 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    top = [r.h for r in counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()]
+    top = counts.orderBy(F.desc("n"), "h").limit(HOT).collect()  # HOT rows at most
     buckets = np.zeros(BUCKETS, np.int64)
     for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         buckets[r.b] = r.n
-    return Vocabulary(top, buckets)
+    return Vocabulary(np.array([r.h for r in top], np.int64).view(_U), np.array([r.n for r in top], np.int64), buckets)
 
 
 class Network:
@@ -145,18 +163,15 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> Network:
     """One pass of every task over all its documents, averaged; without any word the start network."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, net, own, texts = np.zeros(sum(SIZES)), 0, Network(), 0, 0
+        n, net = 0, Network()
         for batch in batches:
             for _, raw in chunks(texts_of(batch.column(0))):
                 _, bucket, x = vocab.windows(raw)
                 for k in range(0, len(x), BATCH):
                     net.step(x[k : k + BATCH], vocab.kind[bucket[k : k + BATCH]])
-                own, texts = own + len(x), texts + len(raw)
-                if texts >= ROUND:
-                    total, n = total + own * net.flat, n + own
-                    net, own, texts = Network(), 0, 0
-        total, n = total + own * net.flat, n + own
+                n += len(x)
         if n:
+            total = n * net.flat.astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["n", "total"])
 
     tasks = docs.select(F.col(text).alias("text")).mapInArrow(run, "n long, total array<double>")
@@ -167,27 +182,48 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> Network:
     return Network(flat)
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, log_likelihood, per_word) of every row over its whole text."""
+def score(docs: DataFrame, vocab: Vocabulary, net: Network, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(key, n_words, log_likelihood, per_word) of every row over its whole text.
+
+    counts: those of count_words(), by default of docs; a word that they lack counts as one of its bucket.
+    """
     flat = net.flat
+    counts = materialize(count_words(docs, text), "words") if counts is None else counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Network(flat)
+        model, row = Network(flat), TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for first, raw in chunks(texts_of(batch.column(1))):
-                doc, bucket, x = vocab.windows(raw)
-                own = vocab.share[bucket]
+                doc, h = word_hashes(raw)
+                _, bucket, x = vocab.windows_of(doc, h, len(raw))
+                own, hot = vocab.own_shares(h)
+                own += vocab.share[bucket]
                 for k in range(0, len(x), BATCH):
                     own[k : k + BATCH] += model.log_probabilities(x[k : k + BATCH], vocab.kind[bucket[k : k + BATCH]])
-                at = slice(first, first + len(raw))
-                n[at], total[at] = np.bincount(doc, minlength=len(raw)), np.bincount(doc, weights=own, minlength=len(raw))
-            per = pa.array(total / np.maximum(1, n), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), per], names=["key", "n_words", "log_likelihood", "per_word"])
+                n, total = np.bincount(doc, minlength=len(raw)), np.bincount(doc, weights=own, minlength=len(raw))
+                rare = np.flatnonzero(~hot)
+                rare = rare[np.lexsort((h[rare], doc[rare]))]
+                new = np.ones(len(rare), bool)
+                new[1:] = (doc[rare][1:] != doc[rare][:-1]) | (h[rare][1:] != h[rare][:-1])
+                begin = np.flatnonzero(new)
+                times, rare = np.diff(np.append(begin, len(rare))), rare[begin]
+                cuts = pa.array(np.searchsorted(doc[rare], np.arange(len(raw) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (h[rare].view(np.int64), times.astype(np.int32))]
+                rows = pa.array(row + np.arange(len(raw)))
+                row += len(raw)
+                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(first, len(raw)), pa.array(n), pa.array(total), *lists], names=["row", "key", "n_words", "total", "rare", "times"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n_words long, log_likelihood double, per_word double").withColumnRenamed("key", key)
+    scored = materialize(rows.mapInArrow(run, f"row long, key {kind}, n_words long, total double, rare array<long>, times array<int>"), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("h"), F.col("e.times").alias("times"))
+    cell = F.col("h").bitwiseAND(F.lit(BUCKETS - 1))
+    sums = counts.groupBy(cell.alias("cell")).agg(F.sum("n").alias("mass"))  # BUCKETS rows at most
+    own = rare.join(counts.select("h", "n"), "h", "left").join(F.broadcast(sums), cell == F.col("cell"), "left")
+    share = F.coalesce(F.ln(F.col("n") / F.col("mass")), -F.log1p(F.coalesce("mass", F.lit(0))))
+    added = own.groupBy("row").agg(F.sum(F.col("times") * share).alias("added"))
+    total = F.col("total") + F.coalesce("added", F.lit(0.0))
+    return scored.join(added, "row", "left").select(F.col("key").alias(key), "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"))
 
 
 def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,5 +232,6 @@ def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Null and empty texts have no words, log_likelihood 0 and a null per_word; null keys and repeated rows
     are scored like any other; an empty table gives no rows.
     """
-    vocab = vocabulary(materialize(count_words(docs, text), "words"))
-    return score(docs, vocab, train(docs, vocab, text), key, text)
+    counts = materialize(count_words(docs, text), "words")
+    vocab = vocabulary(counts)
+    return score(docs, vocab, train(docs, vocab, text), key, text, counts)

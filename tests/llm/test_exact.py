@@ -297,6 +297,40 @@ def test_training_lowers_the_loss(spark, sf):
     assert mean(pseudo.train(docs, vocab)) > mean(pseudo.Network()) + 0.05
 
 
+@pytest.mark.parametrize("hot", [1, 1 << 16])
+def test_words_of_one_bucket_have_their_own_shares(spark, monkeypatch, hot):
+    """hot 1 sends all words but one through the join."""
+    monkeypatch.setattr(pseudo, "HOT", hot)
+    code = lambda w: int(pseudo.word_hashes([w.encode()])[1][0])
+    held = {}
+    for w in (f"w{k}" for k in range(2000)):
+        held.setdefault(code(w) % pseudo.BUCKETS, []).append(w)
+    often, rare = next(ws for ws in held.values() if len(ws) == 2)
+    texts = [f"{often} " * 40 + rare, f"the {rare} the", f"the {often} the", "the", ""]
+    docs = frame(spark, texts)
+    vocab, net = pseudo.vocabulary(pseudo.count_words(docs)), pseudo.Network()
+    rows = {r.doc_id: r for r in pseudo.score(docs, vocab, net).collect()}
+    own = {often: 41 / 43, rare: 2 / 43, "the": 1.0}
+    for k, t in enumerate(texts[:4]):
+        _, bucket, x = vocab.windows([t.encode()])
+        want = net.log_probabilities(x, vocab.kind[bucket]) + vocab.share[bucket] + np.log([own[w] for w in t.split()])
+        assert abs(rows[k].log_likelihood - want.sum()) < 1e-3
+    assert rows[4].log_likelihood == 0
+
+
+def test_training_goes_on_without_restart(spark):
+    """One task over more texts than a round had: the same parameters as one pass by hand."""
+    texts = [f"a w{k % 7} b" for k in range(12_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    vocab = pseudo.vocabulary(pseudo.count_words(docs))
+    net = pseudo.Network()
+    for first in range(0, len(texts), 10_000):
+        _, bucket, x = vocab.windows([t.encode() for t in texts[first : first + 10_000]])
+        for k in range(0, len(x), pseudo.BATCH):
+            net.step(x[k : k + pseudo.BATCH], vocab.kind[bucket[k : k + pseudo.BATCH]])
+    assert np.allclose(pseudo.train(docs, vocab).flat, net.flat, atol=1e-4)
+
+
 # ---------------------------------------------------------------- rules
 
 
