@@ -245,6 +245,23 @@ def test_templates_catch_new_parameters_and_refuse_inconsistent_slots(spark):
     assert found[0, 7].covered == len(item.split()) and found[0, 7].n_slots == 4
 
 
+def leaked(spark, item, *texts):
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    return {r.doc_id for r in decontam.leaks(frame(spark, texts), items).collect()}
+
+
+def test_items_made_of_numbers_are_caught_verbatim(spark):
+    item = "Compute 12 + 7 * 9 - 4 / 2 + 8 * 3"
+    assert leaked(spark, item, f"x y. {item} end", item.replace("7", "6"), "1 2 3 4 5 6 7 8 9 10 11 12") == {0}
+
+
+def test_two_item_values_may_become_one(spark):
+    item = "A crate holds 3 red balls and 5 blue balls so how many balls are there in it now"
+    assert leaked(spark, item, item.replace("3", "4").replace("5", "4"), item.replace("3", "6")) == {0, 1}
+    same = item.replace("5", "3")
+    assert leaked(spark, same, same.replace("3", "4"), same.replace("3", "4", 1)) == {0}
+
+
 def test_leaks_against_brute_force(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     own = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if i.text in d.text}
