@@ -262,6 +262,15 @@ def test_two_item_values_may_become_one(spark):
     assert leaked(spark, same, same.replace("3", "4"), same.replace("3", "4", 1)) == {0}
 
 
+def test_short_items_are_caught_in_mid_sentence(spark):
+    item = "Which large river crosses the old stone town"
+    assert leaked(spark, item, f"inly to {item} As", f"Reou en. {item} x", item, "much else " * 9) == {0, 1, 2}
+    item = "Tom has 5 apples and buys more apples today"
+    other = item.replace("Tom", "Ann").replace("5", "7")
+    assert leaked(spark, item, f"so {other} x", f"So. {other} x", f"so {item} x", other.replace("apples", "pears", 1)) == {0, 1, 2}
+    assert leaked(spark, "Tom sold nine old cars", "inly to Tom sold nine old cars As") == {0}
+
+
 def test_leaks_against_brute_force(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     own = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if i.text in d.text}
