@@ -6,12 +6,16 @@ itself: with f a Feistel network over the M values of the format, x goes to f'(f
 over all values. Separators, letter case, country codes and check digits stay as they were. Given names of
 the lists go to names of the same list (one gender, one script); other names change vowels for vowels and
 consonants for consonants, keep their last letter, and step over the listed names.
+
+A person is found by a title before the name or by a listed given name before another name. Where a text
+has one, each further whole word that equals a part of the name has the part's surrogate. Other names stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +53,9 @@ _NUMERIC = re.compile(
     r"|(?<!\w)(?P<card>\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\w)"
 )
 _PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?P<after>{_NAME}(?: {_NAME})?)|(?P<given>{'|'.join(x for _, n in _KNOWN.values() for x in (n, n.upper()))}) (?P<family>{_NAME}))(?!\w)")
+_BARE = re.compile(rf"(?<!\w){_NAME}")
+#: Words that are no part of a name though they may stand after one.
+_COMMON = set("and are as at but by for from had has have if in is it its not of on or our that the their then there these they this to was were what when where which who why with would you your".split())
 _DIGIT = re.compile(r"[0-9@]")
 
 
@@ -182,11 +189,35 @@ def find(text: str) -> list[tuple[int, int, str]]:
     out = []
     if _DIGIT.search(text):
         out = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup) for m in _NUMERIC.finditer(text)]
+    taken, persons = out[:], []
     for m in _PERSON.finditer(text):
         s, e = m.span("after") if m["title"] else m.span()
-        if all(e <= a or s >= b for a, b, _ in out):
-            out.append((s, e, "person"))
-    return sorted(out)
+        if text[e - 2 : e] in ("'s", "’s"):
+            e -= 2
+        if not _overlaps(taken, s, e):
+            persons.append((s, e, "person"))
+    if persons:
+        parts = {_plain(w) for s, e, _ in persons for w in text[s:e].split()} - _COMMON
+        taken = sorted(out + persons)
+        for m in _BARE.finditer(text):
+            s, e = m.span()
+            if text[e - 2 : e] in ("'s", "’s"):
+                e -= 2
+            for a, b in [(s, e)] if _plain(text[s:e]) in parts else [(s + k.start(), s + k.end()) for k in re.finditer(r"\w+", text[s:e])]:
+                if text[a].isupper() and _plain(text[a:b]) in parts and not _overlaps(taken, a, b):
+                    persons.append((a, b, "person"))
+    return sorted(out + persons)
+
+
+def _plain(word: str) -> str:
+    """The part of a name that a word stands for: without a possessive, in lower case."""
+    return re.sub("['’]s$", "", word, flags=re.I).lower()
+
+
+def _overlaps(spans: list[tuple[int, int, str]], s: int, e: int) -> bool:
+    """Whether one of these spans, in order and without overlap, meets s to e."""
+    k = bisect_left(spans, (e,))
+    return k > 0 and spans[k - 1][1] > s
 
 
 def replace(text: str, made: Surrogates) -> tuple[str, list[tuple[int, int, str, str]]]:

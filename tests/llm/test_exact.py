@@ -437,6 +437,18 @@ def test_surrogates_are_distinct(emails):
     assert len({made.of("email", x) for x in emails}) == len(emails)
 
 
+def test_later_mentions_of_a_person_have_the_same_surrogate():
+    made = surrogates.Surrogates("secret")
+    text = "John Smith came. Smith left; John paid Mr. O'Hara's bill, SMITH's and Smith-Jones, not Smithson. O'Hara and Anna Weber's dog; Weber."
+    new, spans = surrogates.replace(text, made)
+    assert [text[s:e] for s, e, _, _ in spans] == ["John Smith", "Smith", "John", "O'Hara", "SMITH", "Smith", "O'Hara", "Anna Weber", "Weber"]
+    of = {text[s:e]: x for s, e, _, x in spans}
+    assert of["John Smith"] == of["John"] + " " + of["Smith"] and of["SMITH"] == of["Smith"].upper() and of["Anna Weber"].split()[1] == of["Weber"]
+    assert new.count(of["Smith"]) == 3 and "not Smithson" in new
+    assert surrogates.find("Smith left; John paid") == []
+    assert "The end" in surrogates.replace("Mr. The came. The end.", made)[0]
+
+
 def test_no_entity_of_the_table_is_left(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = surrogates.pseudonymize(docs, "k")
