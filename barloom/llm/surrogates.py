@@ -57,6 +57,7 @@ _BARE = re.compile(rf"(?<!\w){_NAME}")
 #: Words that are no part of a name though they may stand after one.
 _COMMON = set("and are as at but by for from had has have if in is it its not of on or our that the their then there these they this to was were what when where which who why with would you your".split())
 _DIGIT = re.compile(r"[0-9@]")
+_NO_DIGIT = re.compile(r"(?i:token|key|secret|passw)|[a-f]{32}|[A-F]{32}")
 
 
 def _feistel(key: bytes, tweak: str, x: int, size: int, back: bool = False) -> int:
@@ -187,7 +188,7 @@ class Surrogates:
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order and without overlap."""
     out = []
-    if _DIGIT.search(text):
+    if _DIGIT.search(text) or _NO_DIGIT.search(text):
         out = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup) for m in _NUMERIC.finditer(text)]
     taken, persons = out[:], []
     for m in _PERSON.finditer(text):

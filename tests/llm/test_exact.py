@@ -449,6 +449,11 @@ def test_later_mentions_of_a_person_have_the_same_surrogate():
     assert "The end" in surrogates.replace("Mr. The came. The end.", made)[0]
 
 
+@pytest.mark.parametrize("text", ["password = correcthorsebattery", "API_TOKEN: 'abcdefghijklmnop'", "Secret=abcdefghijklmnop", "x " + "deadbeef".replace("b", "c") * 4])
+def test_secrets_need_no_digit_elsewhere(text):
+    assert surrogates.find(text) and surrogates.find(text) == surrogates.find(text + " and 7")
+
+
 def test_no_entity_of_the_table_is_left(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = surrogates.pseudonymize(docs, "k")
