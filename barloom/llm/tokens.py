@@ -3,11 +3,13 @@
 A text is cut at its single spaces. No pre-token of the two byte-pair vocabularies reaches from one such
 piece into the next, so a piece's ids don't depend on its neighbours and a bounded memo of pieces stands
 for the library. A new piece of plain Latin text is cut by the vocabulary's own pre-token pattern and its
-pre-tokens go to the library's model; any other piece goes through the library whole.
+pre-tokens go to the library's model; any other piece goes through the library whole. So does a text that
+may hold the string of one of the vocabulary's special tokens, which the library takes for the token.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
@@ -50,7 +52,9 @@ class TextEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        named = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.named = re.compile("|".join(map(re.escape, named)) if named else r"(?!)", re.IGNORECASE)
+        self.mark = os.path.commonprefix(named)
         if self.tok.get_vocab_size() > 65536:
             raise ValueError("ids must fit 16 bits")
         self.lower = self.tok.normalizer is not None
@@ -91,6 +95,8 @@ class TextEncoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u2")
+        if self.mark in text and self.named.search(text):
+            return np.frombuffer(self._whole(text), "<u2")
         if self.lower:
             return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.split(" "))), "<u2")
         if "  " in text:  # a run of spaces is cut by what stands around it
