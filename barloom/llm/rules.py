@@ -81,13 +81,14 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict
 
 
 def mask(names: tuple[str, ...], rules: dict[str, str] = RULES) -> int:
+    """The bits of the named rules; a name that the rules lack is an error, a repeated one counts once."""
     order = list(rules)
     return sum(1 << order.index(n) for n in set(names))
 
 
-def failed(bits: Column, names: tuple[str, ...]) -> Column:
-    """Whether any of the named rules fails in a ledger's fail_bits."""
-    return bits.bitwiseAND(F.lit(mask(names)).cast("long")) != 0
+def failed(bits: Column, names: tuple[str, ...], rules: dict[str, str] = RULES) -> Column:
+    """Whether any of the named rules fails in the fail_bits of a ledger of these rules; null for null bits, false without names."""
+    return bits.bitwiseAND(F.lit(mask(names, rules)).cast("long")) != 0
 
 
 def ablations(entries: DataFrame, names: tuple[str, ...], rules: dict[str, str] = RULES) -> DataFrame:
