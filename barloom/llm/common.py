@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_swept: set[str] = set()
 _owner: tuple | None = None
 
 
@@ -31,18 +34,35 @@ def texts_of(column, rows: int = 512):
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset an own one, in local mode only."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="barloom-")
     return f"file://{_own_dir}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/barloom/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's folder, which goes when the driver's Python ends."""
+    root = f"{scratch_root(spark)}/barloom/{spark.sparkContext.applicationId}"
+    if root not in _swept:
+        _swept.add(root)
+        atexit.register(_sweep, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -59,9 +79,7 @@ def discard(df: DataFrame | None) -> None:
     """Delete a table of materialize() that nothing will read again."""
     path = getattr(df, "scratch", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,16 +91,19 @@ def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): one row (id, component) per node.
 
     component is the smallest id that can be reached. Each round takes the smallest label among a
-    node's neighbours and then the label of that label, so labels travel twice as far every round.
-    Both aggregations combine before they shuffle, and no neighbour list is ever gathered.
+    node's neighbours and then the label of that label, so labels travel twice as far every round; rounds
+    end when none moves. Both aggregations combine before they shuffle, and no neighbour list is ever
+    gathered. Repeated edges and loops don't matter; edges with a null end are left out; without edges there
+    are no rows.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    edges = edges.where("a <> b")
+    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("new"), F.col("component").alias("old"))
         jump = step.select(F.col("id").alias("via"), F.col("new").alias("far"))
@@ -92,5 +113,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new.select("id", "component")
         labels.scratch = new.scratch
         if not moved:
+            discard(both)
             return labels
-    raise RuntimeError(f"labels still move after {max_rounds} rounds")
