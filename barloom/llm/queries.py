@@ -100,16 +100,19 @@ WITH d AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
 ), l AS (
   SELECT doc_id, i - 1 AS line, ls[i] AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
-  WHERE strlen(ls[i]) >= 20 AND doc_id IS NOT NULL
+  WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]') AND doc_id IS NOT NULL
 ), c AS (
   SELECT s, min(doc_id) AS doc, arg_min(line, (doc_id, line)) AS line FROM l GROUP BY s
 ), k AS (
-  SELECT *, m, left(s, m // 2) AS part, 0 AS side FROM c, LATERAL (SELECT unnest([length(s), length(s) - 1]) AS m)
+  SELECT *, m, left(s, m // 2) AS part, 0 AS side FROM c, LATERAL (SELECT unnest([length(s), length(s) - 1]) AS m) WHERE m >= 20
   UNION ALL
-  SELECT *, m, right(s, m - m // 2) AS part, 1 AS side FROM c, LATERAL (SELECT unnest([length(s), length(s) - 1]) AS m)
+  SELECT *, m, right(s, m - m // 2) AS part, 1 AS side FROM c, LATERAL (SELECT unnest([length(s), length(s) - 1]) AS m) WHERE m >= 20
+), q AS (
+  SELECT DISTINCT a.s AS sa, b.s AS sb, a.doc AS da, b.doc AS db, a.line AS la, b.line AS lb, length(a.s) AS n, length(b.s) AS nb
+  FROM k AS a JOIN k AS b USING (m, part, side) WHERE a.s <> b.s AND length(b.s) - length(a.s) IN (0, 1) AND (length(b.s) > length(a.s) OR a.s < b.s)
 ), p AS (
-  SELECT DISTINCT a.s AS sa, b.s AS sb, a.doc AS da, b.doc AS db, a.line AS la, b.line AS lb
-  FROM k AS a JOIN k AS b USING (m, part, side) WHERE a.s < b.s AND abs(strlen(a.s) - strlen(b.s)) <= 1 AND levenshtein(a.s, b.s) <= 1
+  SELECT * FROM q WHERE CASE WHEN n = nb THEN len(list_filter(range(1, n + 1), lambda i: sa[i:i] <> sb[i:i])) = 1
+    ELSE len(list_filter(range(0, n + 1), lambda i: left(sa, i) = left(sb, i) AND sa[i + 1:] = sb[i + 2:])) > 0 END
 ), n AS (
   SELECT CASE WHEN (da, la) < (db, lb) THEN sb ELSE sa END AS s, count(*) AS n FROM p GROUP BY ALL
 ), g AS (

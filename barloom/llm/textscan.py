@@ -65,6 +65,12 @@ class Hasher:
         with np.errstate(over="ignore"):
             return mix((self.sums[ends] - self.sums[starts]) * _inverse[starts] + (ends - starts).astype(_U))
 
+    def without(self, starts: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hashes of the ranges without their element at `at`: those of the strings that are left."""
+        with np.errstate(over="ignore"):
+            left, right = (self.sums[at] - self.sums[starts]) * _inverse[starts], (self.sums[ends] - self.sums[at + 1]) * _inverse[starts + 1]
+            return mix(left + right + (ends - starts - 1).astype(_U))
+
 
 def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs without space, \\t, \\n, \\v, \\f and \\r."""

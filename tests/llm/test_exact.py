@@ -29,16 +29,16 @@ def encoders():
 
     out = {}
     for name in TOKENIZERS:
-        whole = Tokenizer.from_file(queries.tokenizer_path(name))
-        whole.encode_special_tokens = True
-        out[name] = (TextEncoder(queries.tokenizer_path(name)), whole)
+        out[name] = (TextEncoder(queries.tokenizer_path(name)), Tokenizer.from_file(queries.tokenizer_path(name)))
     return out
 
 
-TEXT = st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t.,'!#1290abcdeXYZéÉßñü  İσς")), st.characters(blacklist_categories=("Cs",))), max_size=60)
+PLAIN = st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t.,'!#1290abcdeXYZéÉßñü  İσς")), st.characters(blacklist_categories=("Cs",))), max_size=60)
+NAMED = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", " "])
+TEXT = st.one_of(PLAIN, st.lists(st.one_of(NAMED, PLAIN), max_size=6).map("".join))
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(TEXT)
 def test_piecewise_ids_are_the_librarys(encoders, text):
     for own, whole in encoders.values():
@@ -58,6 +58,19 @@ def test_simple8b_round_trip(values, block):
         assert simple8b.decode(payload, a, b).tolist() == values[a:b]
 
 
+def test_special_literals_in_queries(spark, tmp_path, encoders):
+    """op2 and op7 against an untouched tokenizer over texts that hold its special tokens."""
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "plain words", "<|ENDOFTEXT|> " * 3, "", None, "  two  <|endoftext|>"]
+    spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    own = lambda name, end: {k: [*encoders[name][1].encode(t or "", add_special_tokens=False).ids, end] for k, t in enumerate(texts)}
+    crc = {k: zlib.crc32(np.array(ids, "<u4").tobytes()) for k, ids in own(TOKENIZERS[0], 0).items()}
+    assert {r.doc_id: r.ids_crc32 for r in queries.op2_simple8b_tokens(spark, str(tmp_path)).collect()} == crc
+    got = {}
+    for r in sorted(packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), queries.tokenizer_path(TOKENIZERS[1]), 2).collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == own(TOKENIZERS[1], 2)
+
+
 def test_simple8b_packs_by_width():
     words = lambda ids: simple8b._HEAD.unpack_from(simple8b.encode(np.array(ids, np.uint64)))[3]
     assert words([1] * 60) == 1 and words([1000] * 12) == 2 and words([2**61]) == 2
@@ -190,7 +203,7 @@ def slow_distance(a, b):
 @settings(max_examples=500, deadline=None)
 @given(st.text("ab", max_size=12), st.text("ab", max_size=12), st.integers(1, 4))
 def test_banded_distance(a, b, k):
-    assert linededup.edit_distance(a.encode(), b.encode(), k) == min(k + 1, slow_distance(a, b))
+    assert linededup.edit_distance(a, b, k) == min(k + 1, slow_distance(a, b))
 
 
 def near_lines(r, n, edits):
@@ -218,10 +231,9 @@ def test_line_links_are_all_pairs_within_the_edits(spark, monkeypatch, edits, bu
     place = {}
     for d, t in enumerate(texts):
         for n, line in enumerate(t.split("\n")):
-            if len(line.encode()) >= linededup.MIN_BYTES:
-                place.setdefault(line, (d, n))
+            place.setdefault(line, (d, n))
     first = sorted(place.items(), key=lambda x: x[1])
-    pairs = {(a, b) for i, (a, _) in enumerate(first) for b, _ in first[i + 1 :] if slow_distance(a.encode(), b.encode()) <= edits}
+    pairs = {(a, b) for i, (a, _) in enumerate(first) for b, _ in first[i + 1 :] if min(len(a), len(b)) >= linededup.MIN_CHARS and slow_distance(a, b) <= edits}
     assert run.links.count() == len(pairs)
     later = {b for _, b in pairs}
     gone = {(d, n) for d, t in enumerate(texts) for n, line in enumerate(t.split("\n")) if line in place and (place[line] != (d, n) or line in later)}
@@ -230,6 +242,27 @@ def test_line_links_are_all_pairs_within_the_edits(spark, monkeypatch, edits, bu
     assert {x.doc_id: x.text for x in run.apply(None).collect()} == {d: t for d, t in kept.items() if t.strip()}
 
 
+def test_repeated_keys_with_different_texts_keep_their_unique_lines(spark):
+    rows = [(5, "a line that stands in doc one as well\nshort"), (5, "a unique line of the other row here\nshort"), (1, "a line that stands in doc one as well"), (9, "ж" * 30 + "\nshort"), (8, "ж" * 29 + "я")]
+    docs = spark.createDataFrame([(k, t, None, "g") for k, t in rows], "doc_id long, text string, _gone string, lines string").repartition(3)
+    out = sorted((r.doc_id, r.text) for r in linededup.dedup_lines(docs).apply().collect())
+    shorts = [t for k, t in out if k == 5]
+    assert sum("short" in t for t in shorts) == 1 and sum("unique line" in t for t in shorts) == 1
+    assert (8, "ж" * 29 + "я") in out and not any(k == 9 for k, _ in out)
+    named = docs.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    assert sorted(r.text for r in linededup.dedup_lines(named).apply().collect()) == sorted(t for _, t in out)
+
+
+def test_numbered_lines_end(spark):
+    """20,000 lines that agree on all but their number: links by brute force over the numbers."""
+    lines = [f"receipt number {k:06d} of the city's water works" for k in range(0, 60_000, 3)]
+    run = linededup.LineDedup(frame(spark, ["\n".join(lines[k : k + 500]) for k in range(0, len(lines), 500)]))
+    held, own = {f"{k:06d}" for k in range(0, 60_000, 3)}, 0
+    for x in held:
+        own += sum(x[:i] + d + x[i + 1 :] in held for i in range(6) for d in "0123456789" if d != x[i])
+    assert run.links.count() == own // 2
+
+
 # ---------------------------------------------------------------- decontamination
 
 
@@ -389,6 +422,8 @@ def test_ledger_policies_and_ablations(spark):
     assert [bits[k] for k in range(5)] == [1, 0, 4, 2, 5]
     kept = lambda v: {r.doc_id for r in entries.where(~rules.failed(F.col("fail_bits"), rules.POLICIES[v])).collect()}
     assert kept(1) == {1, 2} and kept(2) == {1}
+    odd = rules.ledger(docs, rules={"a": "n_words < 0", "too_short": "n_words < 50"})
+    assert {r.doc_id for r in odd.where(rules.failed(F.col("fail_bits"), ("too_short",), {"a": "", "too_short": ""})).collect()} == {0, 4}
     out = {r.rule: (r.n_failed, r.n_only_this) for r in rules.ablations(entries, rules.POLICIES[2]).collect()}
     assert out["too_short"] == (2, 1) and out["symbols"] == (2, 1) and out["repeated_words"] == (1, 1) and out["upper_case"] == (0, 0)
 

@@ -43,16 +43,17 @@ def test_lines(outputs):
     before, first = texts(outputs[1]), {}
     for d in sorted(before):
         for n, line in enumerate(before[d].split("\n")):
-            if len(line.encode()) >= linededup.MIN_BYTES:
+            if line.strip(" \t\v\f\r"):
                 first.setdefault(line, (d, n))
     order, later = sorted(first.items(), key=lambda x: x[1]), set()
     by_size = {}
     for line, _ in order:
-        raw = line.encode()
-        near = [x for size in (len(raw) - 1, len(raw), len(raw) + 1) for x in by_size.get(size, []) if x[:8] == raw[:8] or x[-8:] == raw[-8:]]
-        if any(slow_distance(x, raw) <= linededup.MAX_EDITS for x in near):
+        if len(line) < linededup.MIN_CHARS:
+            continue
+        near = [x for size in (len(line) - 1, len(line), len(line) + 1) for x in by_size.get(size, []) if x[:8] == line[:8] or x[-8:] == line[-8:]]
+        if any(slow_distance(x, line) <= linededup.MAX_EDITS for x in near):
             later.add(line)
-        by_size.setdefault(len(raw), []).append(raw)
+        by_size.setdefault(len(line), []).append(line)
     want = {}
     for d, t in before.items():
         kept = [line for n, line in enumerate(t.split("\n")) if line not in first or (first[line] == (d, n) and line not in later)]
