@@ -1,63 +1,64 @@
-"""Candle streams with state by symbol: closed candles from updates, and N-minute bars from closed minutes."""
+"""Candle streams with state by symbol: closed candles from updates, and N-minute bars from closed minutes.
+
+Arrow may hand a key's rows of one micro-batch over in pieces. Every processor gathers and sorts them before
+its state sees any, so results don't depend on the size of the pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.columns import MINUTE_MS
+from ..functions.columns import MINUTE_MS, bucket
 
 CANDLE = "symbol string, ts_ms long, open double, high double, low double, close double, volume double, taker_buy_volume double"
 BAR = CANDLE + ", n_minutes int"
 _CELLS = ["ts_ms", "open", "high", "low", "close", "volume", "taker_buy_volume"]
 
 
-class Tracker:
-    """The last update of a candle is final as soon as a later candle appears; each is told once."""
+def gathered(pieces: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """All rows of a key's micro-batch, in order; ties stay as they came."""
+    rows = pd.concat(list(pieces), ignore_index=True)
+    return rows.sort_values([c for c in order if c in rows], kind="stable", ignore_index=True)
 
-    def __init__(self, current: tuple | None = None, told: int = -1):
-        self.current, self.told = current, told
 
-    def add(self, row: tuple) -> tuple | None:
-        old = self.current
-        if old is not None and row[0] < old[0]:
-            return None
-        self.current = row
-        if old is None or row[0] == old[0] or old[0] <= self.told:
-            return None
-        self.told = old[0]
-        return old
+def final_candles(updates: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(final candles, the open one) of updates in order of arrival.
 
+    An update older than one seen before is stale; of each time the last update holds; a candle is final as
+    soon as a later one has begun.
+    """
+    fresh = updates[updates.ts_ms == updates.ts_ms.cummax()].drop_duplicates("ts_ms", keep="last")
+    return fresh.iloc[:-1], fresh.iloc[-1:]
 
-class Collector:
-    """Minutes of open bars; a bar is told when its last minute arrives, older incomplete bars vanish."""
 
-    def __init__(self, bar_ms: int, minutes: dict[int, tuple] | None = None, told: int = -1):
-        self.bar_ms, self.minutes, self.told = bar_ms, minutes or {}, told
+def complete_bars(minutes: pd.DataFrame, bar_ms: int, told: int) -> tuple[pd.DataFrame, pd.DataFrame, int]:
+    """(bars, minutes that still wait, start of the last bar told).
 
-    def add(self, row: tuple) -> tuple | None:
-        slot = row[0] - row[0] % self.bar_ms
-        if slot <= self.told:
-            return None
-        self.minutes[row[0]] = row
-        if row[0] + MINUTE_MS < slot + self.bar_ms:
-            return None
-        own = [self.minutes[t] for t in sorted(self.minutes) if slot <= t < slot + self.bar_ms]
-        self.minutes = {t: r for t, r in self.minutes.items() if t >= slot + self.bar_ms}
-        self.told = slot
-        taker = [r[6] for r in own]
-        whole = all(x is not None and x == x for x in taker)
-        return slot, own[0][1], max(r[2] for r in own), min(r[3] for r in own), own[-1][4], sum(r[5] for r in own), sum(taker) if whole else None, len(own)
+    A bar is complete with the last minute of its time, whatever else is missing; minutes of bars told before
+    and of older bars that never became complete are dropped. A bar has a taker volume if all its minutes do.
+    """
+    own = minutes.drop_duplicates("ts_ms", keep="last").sort_values("ts_ms")
+    own = own.assign(slot=own.ts_ms - own.ts_ms % bar_ms)
+    own = own[own.slot > told]
+    ends = own.slot[own.ts_ms == own.slot + bar_ms - MINUTE_MS]
+    if ends.empty:
+        return own.iloc[:0].drop(columns="slot").assign(n_minutes=0), own.drop(columns="slot"), told
+    by = own[own.slot.isin(ends)].groupby("slot")
+    bars = by.agg(open=("open", "first"), high=("high", "max"), low=("low", "min"), close=("close", "last"), volume=("volume", "sum"), n_minutes=("ts_ms", "size"))
+    bars.insert(5, "taker_buy_volume", by.taker_buy_volume.sum().where(by.taker_buy_volume.count() == bars.n_minutes))
+    last = int(ends.max())
+    return bars.rename_axis("ts_ms").reset_index(), own[own.slot > last].drop(columns="slot"), last
 
 
-def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> Iterator[tuple]:
-    for pdf in batches:
-        for t in pdf.sort_values([c for c in order if c in pdf], kind="stable")[_CELLS].itertuples(index=False, name=None):
-            yield (int(t[0]), *(None if x is None or x != x else float(x) for x in t[1:]))
+def _cells(rows: pd.DataFrame) -> list[tuple]:
+    """Rows as state values: NaN is None there."""
+    return [tuple(None if pd.isna(x) else int(x) if k == 0 else float(x) for k, x in enumerate(t)) for t in rows[_CELLS].itertuples(index=False, name=None)]
 
 
 _ROW = "ts_ms long, open double, high double, low double, close double, volume double, taker_buy_volume double"
@@ -66,15 +67,14 @@ _ROW = "ts_ms long, open double, high double, low double, close double, volume d
 class ClosedCandles(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.current = handle.getValueState("current", _ROW)
-        self.told = handle.getValueState("told", "ts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t = Tracker(tuple(self.current.get()) if self.current.exists() else None, self.told.get()[0] if self.told.exists() else -1)
-        out = [x for x in map(t.add, _rows(rows, ["seq"])) if x is not None]
-        if t.current is not None:
-            self.current.update(t.current)
-        self.told.update((t.told,))
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["symbol", *_CELLS])
+        new = gathered(rows, ["seq"])[_CELLS]
+        if self.current.exists():
+            new = pd.concat([pd.DataFrame([tuple(self.current.get())], columns=_CELLS).astype(new.dtypes.to_dict()), new], ignore_index=True)
+        final, still_open = final_candles(new)
+        self.current.update(_cells(still_open)[0])
+        yield final.assign(symbol=key[0])[["symbol", *_CELLS]]
 
     def close(self) -> None:
         pass
@@ -88,25 +88,50 @@ class MinuteBars(StatefulProcessor):
         self.minutes = handle.getMapState("minutes", "ts long", _ROW)
         self.told = handle.getValueState("told", "ts long")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """A row of open_minutes(): the minutes of the bar that was open, and the last bar before it."""
+        for r in initialState.itertuples():
+            for t in _cells(pd.DataFrame({c: getattr(r, c) for c in _CELLS})):
+                self.minutes.updateValue((t[0],), t)
+            self.told.update((int(r.told),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = gathered(rows, ["ts_ms"])[_CELLS].astype({c: float for c in _CELLS[1:]})
         before = {k[0]: tuple(v) for k, v in self.minutes.iterator()}
-        c = Collector(self.bar_ms, dict(before), self.told.get()[0] if self.told.exists() else -1)
-        out = [x for x in map(c.add, _rows(rows, ["ts_ms"])) if x is not None]
-        for t in before.keys() - c.minutes.keys():
+        held = pd.DataFrame(list(before.values()), columns=_CELLS).astype(new.dtypes.to_dict())
+        told = int(self.told.get()[0]) if self.told.exists() else -1
+        bars, rest, told = complete_bars(pd.concat([held, new], ignore_index=True) if len(held) else new, self.bar_ms, told)
+        after = {t[0]: t for t in _cells(rest)}
+        for t in before.keys() - after.keys():
             self.minutes.removeKey((t,))
-        for t, r in c.minutes.items():
+        for t, r in after.items():
             if before.get(t) != r:
                 self.minutes.updateValue((t,), r)
-        self.told.update((c.told,))
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["symbol", *_CELLS, "n_minutes"])
+        self.told.update((told,))
+        yield bars.assign(symbol=key[0])[["symbol", *_CELLS, "n_minutes"]].astype({"n_minutes": np.int32})
 
     def close(self) -> None:
         pass
 
 
-def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, key: str = "symbol") -> DataFrame:
+def open_minutes(history: DataFrame, bar_minutes: int) -> DataFrame:
+    """(symbol, told, an array for each cell): what a history of closed minutes leaves open, as an initial state.
+
+    Bars whose last minute the history holds are done; the minutes after them wait for the live ones.
+    """
+    bar_ms = bar_minutes * MINUTE_MS
+    last = history.groupBy("symbol").agg(F.max("ts_ms").alias("_last"))
+    slot = bucket(F.col("_last") + MINUTE_MS, bar_ms)
+    own = history.join(last.select("symbol", slot.alias("_open")), "symbol")
+    cells = F.array_sort(F.collect_list(F.when(F.col("ts_ms") >= F.col("_open"), F.struct(*_CELLS))))  # a bar's minutes at most
+    waits = own.groupBy("symbol").agg(cells.alias("m"), (F.max("_open") - bar_ms).alias("told"))
+    return waits.select("symbol", "told", *[F.col(f"m.{c}").alias(c) for c in _CELLS])
+
+
+def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, key: str = "symbol", initial: DataFrame | None = None) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    start = None if initial is None else initial.groupBy(key)
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None", initialState=start)
 
 
 def closed_candles(updates: DataFrame) -> DataFrame:
@@ -114,9 +139,9 @@ def closed_candles(updates: DataFrame) -> DataFrame:
     return _stateful(updates, ClosedCandles(), CANDLE)
 
 
-def minute_bars(candles: DataFrame, bar_minutes: int) -> DataFrame:
-    """A stream of closed minutes as a stream of bars."""
-    return _stateful(candles, MinuteBars(bar_minutes), BAR)
+def minute_bars(candles: DataFrame, bar_minutes: int, initial: DataFrame | None = None) -> DataFrame:
+    """A stream of closed minutes as a stream of bars; initial: open_minutes() of the history before it."""
+    return _stateful(candles, MinuteBars(bar_minutes), BAR, initial=initial)
 
 
 def windowed_bars(candles: DataFrame, bar_minutes: int, late: str = "10 minutes") -> DataFrame:
