@@ -44,26 +44,25 @@ class Dense:
 def walk(close: np.ndarray, funding: np.ndarray, weights: np.ndarray, rebalance: np.ndarray, rate: np.ndarray | float, cash: np.ndarray, tied: np.ndarray) -> np.ndarray:
     """Rows (net, gross, cost, funding, turnover, exposure, interest) for the days after the first.
 
-    A day that costs all the equity, or leaves positions above LIQUIDATION times it, is -100 %; then all is 0.
+    With R the day's returns (0 where either close is missing) and T what can be traded, the book after a close is
+    A = T (rebalance ? W : H), and the next one H = A (1 + R) / (1 + A R). A day whose net or gross return is -100 %
+    or worse, or that leaves |H| above LIQUIDATION, is -100 %; all days after it are 0.
     """
-    price = np.isfinite(close)
-    out = np.zeros((max(0, len(close) - 1), 7))
-    held = np.zeros(close.shape[1])
-    for d in range(len(close) - 1):
-        aim = np.where(price[d], np.nan_to_num(weights[d]) if rebalance[d] else held, 0.0)
-        moved = np.abs(aim - held)
-        move = np.zeros_like(held)
-        both = price[d] & price[d + 1]
-        move[both] = close[d + 1, both] / close[d, both] - 1
-        gross, paid = float(aim @ move), float(aim @ funding[d + 1])
-        cost = float((moved * rate).sum())
-        interest = max(1 - tied[d], 0.0) * cash[d + 1]
-        net = gross - paid - cost + interest
-        alive = gross > -1
-        held = aim * (1 + move) / (1 + gross) if alive else np.zeros_like(held)
-        ruined = net <= -1 or not alive or np.abs(held).sum() > LIQUIDATION
-        out[d] = (-1.0 if ruined else net, gross, cost, paid, moved.sum(), np.abs(aim).sum(), interest)
-        if ruined:
+    n = max(0, len(close) - 1)
+    out = np.zeros((n, 7))
+    can = np.isfinite(close)
+    returns = np.where(can[:-1] & can[1:], np.nan_to_num(close[1:]) / np.where(can[:-1], close[:-1], 1.0) - 1, 0.0)
+    wanted, idle = np.nan_to_num(weights) * can, np.maximum(1 - tied, 0.0)
+    book = np.zeros(close.shape[1])
+    for d, r in enumerate(returns):
+        target = wanted[d] if rebalance[d] else book * can[d]
+        trades = np.abs(target - book)
+        won, paid, cost, earned = target @ r, target @ funding[d + 1], (trades * rate).sum(), idle[d] * cash[d + 1]
+        net = won - paid - cost + earned
+        book = target * (1 + r) / (1 + won) if won > -1 else target * np.inf
+        over = not (net > -1 and np.abs(book).sum() <= LIQUIDATION)
+        out[d] = -1.0 if over else net, won, cost, paid, trades.sum(), np.abs(target).sum(), earned
+        if over:
             break
     return out
 

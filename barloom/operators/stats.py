@@ -96,12 +96,13 @@ def block_bootstrap_mean(rows: DataFrame, keys: tuple[str, ...], r: str = "ret",
         n = len(x)
         if n < 2 * block:
             return (x.mean() if n else 0.0), None, None
-        blocks = -(-n // block)
-        starts = np.random.default_rng(seed).integers(0, n - block + 1, size=(n_boot, blocks))
-        sums = np.concatenate([[0.0], np.cumsum(x)])
-        rest = n - (blocks - 1) * block
-        total = (sums[starts[:, :-1] + block] - sums[starts[:, :-1]]).sum(axis=1) + sums[starts[:, -1] + rest] - sums[starts[:, -1]]
-        return (x.mean(), *np.quantile(total / n, [alpha / 2, 1 - alpha / 2]))
+        blocks, g, means = -(-n // block), np.random.default_rng(seed), []
+        sums, rest = np.concatenate([[0.0], np.cumsum(x)]), n - (-(-n // block) - 1) * block
+        piece = max(1, 2_000_000 // blocks)
+        for k in range(0, n_boot, piece):
+            starts = g.integers(0, n - block + 1, size=(min(piece, n_boot - k), blocks))
+            means.append(((sums[starts[:, :-1] + block] - sums[starts[:, :-1]]).sum(axis=1) + sums[starts[:, -1] + rest] - sums[starts[:, -1]]) / n)
+        return (x.mean(), *np.quantile(np.concatenate(means), [alpha / 2, 1 - alpha / 2]))
 
     return _bootstrap(rows, keys, r, draw)
 
@@ -127,21 +128,53 @@ def maker_shares(trades: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return trades.groupBy(*keys).agg(*[v.alias(k) for k, v in out.items()])
 
 
-def daily_summary(days: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame:
-    """Totals of daily results: compounded return, CAGR, Sharpe, Sortino, turnover a year, exposure, costs."""
+def run_summary(trades: DataFrame, daily: DataFrame, keys: tuple[str, ...], start_equity: float, n_trials: int = 1, n_boot: int = 10_000, order: tuple[str, ...] = ("exit_ts", "pair")) -> DataFrame:
+    """A run's whole summary: trade_summary() with the interval of the mean net return in bp, drawdown, and the ratios of its days.
+
+    daily: (keys, day_ms, ret) of every day of the run. A run without trades has zeros.
+    """
+    own = trade_summary(trades, keys, start_equity)
+    fall = drawdowns(running_equity(trades, keys, start_equity, order).withColumn("_at", F.struct(*order)), keys, "_at", start=start_equity)
+    ci = bootstrap_mean(trades, keys, "net_ret", n_boot).select(*keys, (F.col("lower") * 1e4).alias("ci_lower_bp"), (F.col("upper") * 1e4).alias("ci_upper_bp"))
+    chance = against_chance(daily, keys, n_trials).select(*keys, F.col("n").alias("n_days"), "psr", "dsr")
+    ratios = daily.where("ret IS NOT NULL").groupBy(*keys).agg(sharpe().alias("sharpe"), sortino().alias("sortino"))
+    out = chance.join(ratios, list(keys))
+    for more in (own, fall, ci):
+        out = out.join(more, list(keys), "left")
+    return out.fillna(0).withColumn("n_trials_for_dsr", F.lit(n_trials))
+
+
+def running_product(keys: tuple[str, ...], order: str, r: str):
+    """The product of 1 + r up to each row; 0 from the first return of -100 % or less on."""
+    by = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    grown = 1 + F.col(r)
+    return F.when(F.min(grown).over(by) <= 0, 0.0).otherwise(F.exp(F.sum(F.when(grown > 0, F.ln(grown))).over(by)))
+
+
+def daily_summary(days: DataFrame, keys: tuple[str, ...] = ("label",), n_trials: int = 1, intervals: bool = True) -> DataFrame:
+    """Totals of daily results: compounded return, CAGR, ratios, drawdown, mean in bp with its block interval, turnover a year, exposure, costs."""
     total = product_of_growth("net")
-    return days.groupBy(*keys).agg(
+    own = days.groupBy(*keys).agg(
         F.count("*").alias("n_days"), (total - 1).alias("total_return"), F.when(total > 0, F.pow(total, YEAR / F.count("*")) - 1).otherwise(-1.0).alias("cagr"),
-        sharpe("net").alias("sharpe"), sortino("net").alias("sortino"), (F.avg("turnover") * YEAR).alias("turnover_per_year"), F.avg("exposure").alias("avg_exposure"),
+        sharpe("net").alias("sharpe"), sortino("net").alias("sortino"), (F.avg("net") * 1e4).alias("mean_daily_bp"), (F.avg("turnover") * YEAR).alias("turnover_per_year"), F.avg("exposure").alias("avg_exposure"),
         F.sum("gross").alias("gross"), F.sum("cost").alias("cost"), F.sum("funding").alias("funding"),
     )
+    fall = drawdowns(days.withColumn("equity", running_product(keys, "day_ms", "net")), keys, "day_ms", start=1.0)
+    out = own.join(fall, list(keys)).join(against_chance(days, keys, n_trials, "net").select(*keys, "dsr"), list(keys))
+    if intervals:
+        ci = block_bootstrap_mean(days, keys, "net").select(*keys, (F.col("lower") * 1e4).alias("ci_lower_bp"), (F.col("upper") * 1e4).alias("ci_upper_bp"))
+        out = out.join(ci, list(keys))
+    return out.withColumn("n_trials_for_dsr", F.lit(n_trials))
 
 
 def excess_return(days: DataFrame, bills: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame:
-    """(keys, total_return, bill_return, excess): compounded returns of days (day_ms, net) and of bills (day_ms, rate)."""
+    """(keys, total_return, bill_return, excess): compounded returns of days (day_ms, net) and of bills (day_ms, rate).
+
+    excess is what a unit held in the strategy is worth in units held in bills, less one.
+    """
     both = days.join(bills.select("day_ms", "rate"), "day_ms", "left").fillna(0.0, ["rate"])
     own = both.groupBy(*keys).agg((product_of_growth("net") - 1).alias("total_return"), (product_of_growth("rate") - 1).alias("bill_return"))
-    return own.withColumn("excess", F.col("total_return") - F.col("bill_return"))
+    return own.withColumn("excess", ratio(1 + F.col("total_return"), 1 + F.col("bill_return")) - 1)
 
 
 def across_seeds(runs: DataFrame, by: str, value: str) -> DataFrame:

@@ -91,13 +91,17 @@ def momentum(panel: DataFrame, top_n: int = 100, lookback: int = 28, vol_window:
     return _two_legs(week, "mom", frac, long_high=True), week.select("d_idx", "day_ms").distinct(), top.select("d_idx", "symbol", "s_idx")
 
 
-def permuted(weights: DataFrame, eligible: DataFrame, seed: int | Column) -> DataFrame:
-    """Each day's weights dealt anew among the eligible symbols: as many positions, the same exposure, random coins."""
+def permuted(weights: DataFrame, eligible: DataFrame, seed: int | Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each day's weights dealt anew among the eligible symbols: as many positions, the same exposure, random coins.
+
+    keys: columns of eligible that tell simulations apart, each of which is dealt on its own.
+    """
     seed = seed if isinstance(seed, Column) else F.lit(seed)
+    day = W.partitionBy(*keys, "d_idx")
     rows = eligible.join(weights.select("d_idx", "symbol", "w"), ["d_idx", "symbol"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    dealt = rows.select("d_idx", "symbol", "s_idx", F.row_number().over(_day().orderBy("s_idx")).alias("_k"))
-    values = rows.select("d_idx", "w", F.row_number().over(_day().orderBy(F.xxhash64("d_idx", "symbol", seed), "s_idx")).alias("_k"))
-    return dealt.join(values, ["d_idx", "_k"]).drop("_k").where("w <> 0")
+    dealt = rows.select(*keys, "d_idx", "symbol", "s_idx", F.row_number().over(day.orderBy("s_idx")).alias("_k"))
+    values = rows.select(*keys, "d_idx", "w", F.row_number().over(day.orderBy(F.xxhash64("d_idx", "symbol", seed), "s_idx")).alias("_k"))
+    return dealt.join(values, [*keys, "d_idx", "_k"]).drop("_k").where("w <> 0")
 
 
 def start_from(weights: DataFrame, rebalance: DataFrame, lo: int) -> DataFrame:

@@ -6,6 +6,7 @@ nation are a daily panel (a month is a day), lineitem rows stand for trades wher
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import costs as K
+from ..functions import normal
 from ..operators import asof as A
 from ..operators import bars as B
 from ..operators import daily as D
@@ -30,7 +32,10 @@ from ..operators import weights as WT
 from ..sources.readers import events_as_bars
 from ..sources.sinks import held_positions
 from ..streaming.engine import book_price
+from . import dailyrun as DR
+from . import paths as Q
 from . import reports
+from . import walkforward as WF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +46,7 @@ TICKS = "ticks AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS ts_ms, v
 BARS = TICKS + ", bars AS (SELECT symbol, ts_ms - ts_ms % 3600000 AS ts_ms, arg_min(price, (ts_ms, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_ms, seq)) AS close, sum(volume) AS volume, count(*) AS n_ticks FROM ticks GROUP BY symbol, ts_ms - ts_ms % 3600000)"
 PAIRS = BARS + """, syms AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS s_idx FROM (SELECT DISTINCT symbol FROM bars)),
 prs AS (SELECT a.symbol || '__' || b.symbol AS pair, a.symbol AS asset1, b.symbol AS asset2 FROM syms a JOIN syms b ON a.s_idx < b.s_idx),
-legs AS (SELECT pair, x.ts_ms, x.open AS open1, x.close AS close1, x.volume AS volume1, y.open AS open2, y.close AS close2, y.volume AS volume2 FROM prs JOIN bars x ON x.symbol = asset1 JOIN bars y ON y.symbol = asset2 AND y.ts_ms = x.ts_ms),
+legs AS (SELECT pair, x.ts_ms, x.open AS open1, x.high AS high1, x.low AS low1, x.close AS close1, x.volume AS volume1, y.open AS open2, y.high AS high2, y.low AS low2, y.close AS close2, y.volume AS volume2 FROM prs JOIN bars x ON x.symbol = asset1 JOIN bars y ON y.symbol = asset2 AND y.ts_ms = x.ts_ms),
 rows AS (SELECT *, ln(close1) - 0.5 * ln(close2) - 0.1 AS spread FROM legs)"""
 PANEL = """daily AS (SELECT n_name AS symbol, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::INTEGER AS d_idx, avg(o_totalprice) AS close, sum(o_totalprice) AS quote_volume,
   max(o_totalprice) AS high, avg(CASE o_orderstatus WHEN 'F' THEN 0.001 WHEN 'O' THEN -0.001 ELSE 0.0 END) AS funding
@@ -65,6 +70,13 @@ def r6(x, name: str):
     return F.round(x, 6).alias(name)
 
 
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+_TRADE_DIGITS = ("w1", "w2", "entry_z", "gross_ret", "hold_minutes")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.ticks_to_bars(events_as_bars(spark, sf_dir), HOUR)
 
@@ -97,6 +109,7 @@ def as_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("label"), F.col("l_returnflag").alias("exit_reason"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("exit_ts"),
         net.alias("net_pnl"), (net + F.col("l_tax")).alias("gross_pnl"), F.col("l_tax").alias("execution_cost"), F.lit(0.0).alias("funding_cost"),
         (F.col("l_discount") - F.col("l_tax")).alias("net_ret"), F.col("l_discount").alias("gross_ret"), F.col("l_quantity").alias("hold_minutes"), F.col("l_partkey").cast("string").alias("pair"),
+        (F.unix_date(F.col("l_shipdate").cast("date")).cast("long") * DAY).alias("shipped"),
     )
 
 
@@ -158,9 +171,7 @@ def ffill_left_join(spark, sf_dir):
 
 @query(f"WITH {TICKS} SELECT 0 AS index, symbol FROM ticks GROUP BY symbol HAVING min(ts_ms) <= 1704067200000 + 604800000 AND max(ts_ms) >= 1706400000000")
 def eligible_symbols(spark, sf_dir):
-    from .walkforward import windows_frame
-
-    spans = windows_frame(spark, [(0, 1_704_067_200_000, 1_706_400_000_000, 1_706_400_000_000, 1_706_600_000_000)])
+    spans = WF.windows_frame(spark, [(0, 1_704_067_200_000, 1_706_400_000_000, 1_706_400_000_000, 1_706_600_000_000)])
     return B.eligible_symbols(events_as_bars(spark, sf_dir), spans)
 
 
@@ -317,14 +328,37 @@ def bar_interval(spark, sf_dir):
     return X.bar_interval(aligned(spark, sf_dir), ["pair"])
 
 
-def _feature_rows(spark, sf_dir) -> DataFrame:
-    rows = aligned(spark, sf_dir).withColumns({"alpha": F.lit(0.1), "beta": F.lit(0.5), "taker_buy_volume1": F.col("volume1") * 0.4, "taker_buy_volume2": F.col("volume2") * 0.6, "btc_close": F.col("close2")})
-    return X.pair_features(rows, 60, btc=True, adf=True)
+def _feature_rows(spark, sf_dir, adf: bool, minutes: int = 15) -> DataFrame:
+    bars = B.ticks_to_bars(events_as_bars(spark, sf_dir), minutes * C.MINUTE_MS)
+    rows = B.align(bars.select("symbol", "ts_ms", "open", "high", "low", "close", "volume"), event_pairs(bars))
+    taker = F.pmod(F.floor(F.col("ts_ms") / 900_000), F.lit(7)) / 7.0
+    rows = rows.withColumns({"alpha": F.lit(0.1), "beta": F.lit(0.5), "taker_buy_volume1": F.col("volume1") * taker, "taker_buy_volume2": F.col("volume2") * (1 - taker * taker), "btc_close": F.col("close2")})
+    return X.pair_features(rows, minutes, btc=True, adf=adf)
 
 
-@query()
+_F15 = PAIRS.replace("3600000", "900000") + """, tk AS (SELECT *, (ts_ms // 900000 % 7) / 7.0::DOUBLE AS k FROM rows),
+f1 AS (SELECT *, (spread - lag(spread) OVER p) / 1.5 AS u, ln(close1) - lag(ln(close1)) OVER p AS r1, ln(close2) - lag(ln(close2)) OVER p AS r2, volume1 * close1 AS d1, volume2 * close2 AS d2,
+  (2 * volume1 * k - volume1) / (volume1 + 1e-12) - (2 * volume2 * (1 - k * k) - volume2) / (volume2 + 1e-12) AS imb FROM tk WINDOW p AS (PARTITION BY pair ORDER BY ts_ms)),
+f2 AS (SELECT *, CASE WHEN count(*) OVER w4 >= 4 THEN avg(imb) OVER w4 END AS im, CASE WHEN count(u) OVER w4 >= 4 THEN stddev_samp(u) OVER w4 END AS sv1, CASE WHEN count(u) OVER w96 >= 96 THEN stddev_samp(u) OVER w96 END AS sv24,
+  CASE WHEN count(*) OVER w16 >= 16 THEN (spread - avg(spread) OVER w16) / nullif(stddev_samp(spread) OVER w16, 0) END AS z4, CASE WHEN count(*) OVER w48 >= 48 THEN (spread - avg(spread) OVER w48) / nullif(stddev_samp(spread) OVER w48, 0) END AS z12,
+  CASE WHEN count(*) OVER w96 >= 96 THEN (spread - avg(spread) OVER w96) / nullif(stddev_samp(spread) OVER w96, 0) END AS z24, CASE WHEN count(CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 1 END) OVER w20 >= 20 THEN corr(r1, r2) OVER w20 END AS rc,
+  CASE WHEN count(*) OVER w96 >= 96 THEN close1 / avg(close1) OVER w96 - 1 END AS t1, CASE WHEN count(*) OVER w96 >= 96 THEN close2 / avg(close2) OVER w96 - 1 END AS t2, CASE WHEN count(*) OVER w4 >= 4 THEN ln(sum(d1) OVER w4 / (sum(d2) OVER w4 + 1e-12)) END AS dv, CASE WHEN count(r2) OVER w96 >= 96 THEN stddev_samp(r2) OVER w96 END AS bv
+  FROM f1 WINDOW w4 AS (PARTITION BY pair ORDER BY ts_ms ROWS 3 PRECEDING), w16 AS (PARTITION BY pair ORDER BY ts_ms ROWS 15 PRECEDING), w20 AS (PARTITION BY pair ORDER BY ts_ms ROWS 19 PRECEDING), w48 AS (PARTITION BY pair ORDER BY ts_ms ROWS 47 PRECEDING), w96 AS (PARTITION BY pair ORDER BY ts_ms ROWS 95 PRECEDING))
+SELECT pair, ts_ms, round(z4, 6) + 0 AS z_4h, round(z12, 6) + 0 AS z_12h, round(z24, 6) + 0 AS z_24h, round(z24 - lag(z24) OVER p, 6) + 0 AS z_mom_1, round(z24 - lag(z24, 3) OVER p, 6) + 0 AS z_mom_3, round(sv1, 6) + 0 AS spread_vol_1h, round(sv1 / nullif(sv24, 0), 6) + 0 AS spread_vol_ratio, round(rc, 6) + 0 AS ret_corr_5h,
+  round(t1, 6) + 0 AS trend1_24h, round(t2, 6) + 0 AS trend2_24h, round(dv, 6) + 0 AS dollar_vol_ratio_log, round(im, 6) + 0 AS of_imb_spread_1h, round(CASE WHEN count(im) OVER w >= 96 THEN (im - avg(im) OVER w) / nullif(stddev_samp(im) OVER w, 0) END, 6) + 0 AS of_imb_spread_norm, round(t2, 6) + 0 AS btc_trend_24h, round(bv, 6) + 0 AS btc_vol_24h
+  FROM f2 WINDOW p AS (PARTITION BY pair ORDER BY ts_ms), w AS (PARTITION BY pair ORDER BY ts_ms ROWS 95 PRECEDING)"""
+
+
+@query(f"WITH {_F15}")
 def pair_features(spark, sf_dir):
-    return _feature_rows(spark, sf_dir).select("pair", "ts_ms", *[r6(F.col(c), c) for c in X.FEATURES])
+    """Every feature but the unit-root test over quarter-hour bars."""
+    return _feature_rows(spark, sf_dir, adf=False).select("pair", "ts_ms", *[r6(F.col(c), c) for c in X.FEATURES if c != "adf_pvalue_24h"])
+
+
+@query()
+def rolling_adf(spark, sf_dir):
+    """The unit-root p-value on the first bar of each hour, carried forward."""
+    return _feature_rows(spark, sf_dir, adf=True, minutes=60).select("pair", "ts_ms", r6(F.col("adf_pvalue_24h"), "adf_pvalue_24h"))
 
 
 # ---------------------------------------------------------------- pairs
@@ -355,16 +389,32 @@ def return_corr(spark, sf_dir):
     return P.return_corr(_log_pairs(spark, sf_dir)).select("pair", r6(F.col("return_corr"), "return_corr"))
 
 
-@query()
+_STATS = _LP + """, e AS (SELECT pair, ts_ms, x1 - beta * x2 - alpha AS e FROM lp JOIN fit USING (pair)), d AS (SELECT pair, e - lag(e) OVER w AS d, lag(e) OVER w AS e0 FROM e WINDOW w AS (PARTITION BY pair ORDER BY ts_ms)),
+hl AS (SELECT pair, CASE WHEN regr_slope(d, e0) < 0 THEN -ln(2) / regr_slope(d, e0) * 60 ELSE 'inf'::DOUBLE END AS half_life_minutes FROM d WHERE e0 IS NOT NULL GROUP BY pair),
+rr AS (SELECT pair, x1 - lag(x1) OVER w AS r1, x2 - lag(x2) OVER w AS r2 FROM lp WINDOW w AS (PARTITION BY pair ORDER BY ts_ms)), rc AS (SELECT pair, corr(r1, r2) AS return_corr FROM rr GROUP BY pair),
+ps AS (SELECT prs.pair, asset1, asset2, n, alpha, beta, half_life_minutes, return_corr FROM prs JOIN fit USING (pair) JOIN hl USING (pair) JOIN rc USING (pair) WHERE n >= 30)"""
+
+
+@query(f"WITH {_STATS} SELECT pair, asset1, asset2, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(half_life_minutes, 6) AS half_life_minutes, round(return_corr, 6) AS return_corr FROM ps")
 def pair_statistics(spark, sf_dir):
+    """The bundle of a pair's statistics; the test's p-value, which SQL lacks, is a query of its own."""
     bars = hourly(spark, sf_dir)
-    return P.pair_statistics(bars, event_pairs(bars), 60, least=30)
+    return rounded(P.pair_statistics(bars, event_pairs(bars), 60, least=30).drop("coint_pvalue"), 6, "alpha", "beta", "half_life_minutes", "return_corr")
 
 
 @query()
+def cointegration(spark, sf_dir):
+    return P.coint_p(_log_pairs(spark, sf_dir)).select("pair", r6(F.col("coint_pvalue"), "coint_pvalue"))
+
+
+@query(f"WITH RECURSIVE {_STATS}, st AS (SELECT pair, asset1, asset2, round(0.05 * (1 - abs(return_corr)), 6) AS p FROM ps WHERE half_life_minutes BETWEEN 0 AND 4320 AND abs(beta) + 0.01 > 0), {Q.GREEDY} SELECT rank::INTEGER AS rank, pair, p AS coint_pvalue FROM ch JOIN st USING (pair)")
 def choose_pairs(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return P.choose_pairs(P.pair_statistics(bars, event_pairs(bars), 60, least=30).withColumn("beta", F.abs("beta") + 0.01), top_k=4, min_half_life=0.0, min_corr=-1.0)
+    """The greedy choice, here by how strongly the returns correlate in place of the test's p-value."""
+    rows = _log_pairs(spark, sf_dir)
+    fits = P.hedges(rows).where("n >= 30")
+    stats = event_pairs(hourly(spark, sf_dir)).join(fits, "pair").join(P.half_life(rows, fits, 60), "pair").join(P.return_corr(rows), "pair")
+    stats = stats.withColumns({"beta": F.abs("beta") + 0.01, "coint_pvalue": F.round(0.05 * (1 - F.abs("return_corr")), 6)})
+    return P.choose_pairs(stats, top_k=4, min_half_life=0.0, min_corr=-1.0).select("rank", "pair", "coint_pvalue")
 
 
 # ---------------------------------------------------------------- costs and trades
@@ -401,14 +451,14 @@ def _signals(spark, sf_dir) -> DataFrame:
     return rows.withColumn("signal", X.crossing("z", ["pair"], "ts_ms", 1.5))
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIRS}, {Q.TAKER} {Q.TAKER_TRADES}")
 def simulate_taker(spark, sf_dir):
-    return S.simulate(_signals(spark, sf_dir), S.ExitRules(max_hold_bars=24)).drop("info")
+    return rounded(S.simulate(_signals(spark, sf_dir), S.ExitRules(max_hold_bars=24)).drop("info"), 6, *_TRADE_DIGITS)
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIRS}, {Q.MAKER} {Q.MAKER_TRADES}")
 def simulate_maker(spark, sf_dir):
-    return S.simulate(_signals(spark, sf_dir), S.ExitRules(max_hold_bars=24), execution=S.Execution("maker")).drop("info")
+    return rounded(S.simulate(_signals(spark, sf_dir), S.ExitRules(max_hold_bars=24), execution=S.Execution("maker")).drop("info"), 6, *_TRADE_DIGITS)
 
 
 def _portfolio(spark, sf_dir) -> DataFrame:
@@ -418,9 +468,12 @@ def _portfolio(spark, sf_dir) -> DataFrame:
     return PF.run_portfolio(PF.with_funding(trades, event_pairs(bars), funding).withColumn("label", F.lit("taker")))
 
 
-@query()
+_MONEY = ("gross_notional", "gross_pnl", "execution_cost", "funding_cost", "net_pnl", "equity_at_entry", "equity_after")
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {Q.PORTFOLIO}")
 def run_portfolio(spark, sf_dir):
-    return _portfolio(spark, sf_dir)
+    return rounded(_portfolio(spark, sf_dir).select("label", "pair", "entry_ts", "exit_ts", "accepted", *_MONEY, "seq"), 4, *_MONEY)
 
 
 @query()
@@ -460,14 +513,22 @@ def carry_weights(spark, sf_dir):
     return w.select("d_idx", "symbol", F.round("w", 9).alias("w"))
 
 
-def _legs_sql(extra: str, order: str, high: int, least: str) -> str:
-    return f"""WITH {PANEL}, l AS (SELECT *, ln(close) - lag(ln(close)) OVER p AS r, ln(close) - lag(ln(close), 3) OVER p AS mom FROM panel WINDOW p AS (PARTITION BY symbol ORDER BY d_idx)),
+def _legs_ctes(extra: str, order: str, high: int, least: str) -> str:
+    """Subqueries up to lw(d_idx, symbol, w); t has the eligible rows of the days that rebalance."""
+    return f"""{PANEL}, l AS (SELECT *, ln(close) - lag(ln(close)) OVER p AS r, ln(close) - lag(ln(close), 3) OVER p AS mom FROM panel WINDOW p AS (PARTITION BY symbol ORDER BY d_idx)),
 v AS (SELECT *, stddev_samp(r) OVER (PARTITION BY symbol ORDER BY d_idx ROWS 5 PRECEDING) AS vol, {extra} FROM l), {_LIVE.format(h=4, h1=3, src='v')},
 c AS (SELECT *, count(*) OVER (PARTITION BY d_idx) AS n_live, row_number() OVER (PARTITION BY d_idx ORDER BY adv DESC, s_idx) AS adv_rank FROM u WHERE live AND d_idx >= 6),
 t AS (SELECT * FROM c WHERE adv_rank <= 12 AND {least} AND (d_idx + 4) % 7 = 0),
 q AS (SELECT *, count(*) OVER (PARTITION BY d_idx) AS n, row_number() OVER (PARTITION BY d_idx ORDER BY {order}, adv_rank) AS rank FROM t),
-k AS (SELECT *, greatest(1, CAST(floor(n * 0.25::DOUBLE) AS INTEGER)) AS k FROM q), g AS (SELECT *, CASE WHEN rank > n - k THEN {high} WHEN rank <= k THEN {-high} END AS leg, CASE WHEN vol > 0 THEN 1 / vol ELSE 0 END AS iv FROM k)
-SELECT d_idx, symbol, round(coalesce(leg * 0.5 * iv / nullif(sum(iv) OVER (PARTITION BY d_idx, leg), 0), 0), 6) AS w FROM g WHERE leg IS NOT NULL"""
+k AS (SELECT *, greatest(1, CAST(floor(n * 0.25::DOUBLE) AS INTEGER)) AS k FROM q), g AS (SELECT *, CASE WHEN rank > n - k THEN {high} WHEN rank <= k THEN {-high} END AS leg, CASE WHEN vol > 0 THEN 1 / vol ELSE 0 END AS iv FROM k),
+lw AS (SELECT d_idx, symbol, coalesce(leg * 0.5 * iv / nullif(sum(iv) OVER (PARTITION BY d_idx, leg), 0), 0) AS w FROM g WHERE leg IS NOT NULL)"""
+
+
+def _legs_sql(extra: str, order: str, high: int, least: str) -> str:
+    return f"WITH {_legs_ctes(extra, order, high, least)} SELECT d_idx, symbol, round(w, 6) AS w FROM lw"
+
+
+_MOMENTUM = _legs_ctes("0 AS f", "mom", 1, "least(n_live, 12) >= 10")
 
 
 @query(_legs_sql("sum(funding) OVER (PARTITION BY symbol ORDER BY d_idx ROWS 2 PRECEDING) AS f", "f", -1, "n_live >= 6"))
@@ -506,23 +567,29 @@ def held_positions_line(spark, sf_dir):
 @query(f"""WITH {_TREND}, x AS (SELECT p.d_idx, p.symbol, p.funding, p.close, coalesce(tw.w, 0) AS w, CASE WHEN p.close IS NOT NULL THEN lead(p.close) OVER q / p.close - 1 END AS r, lead(p.funding) OVER q AS f FROM panel p LEFT JOIN tw USING (d_idx, symbol) WINDOW q AS (PARTITION BY symbol ORDER BY d_idx)),
 y AS (SELECT *, CASE WHEN close IS NOT NULL THEN w ELSE 0 END AS target, coalesce(r, 0) AS rr FROM x), g AS (SELECT *, sum(target * rr) OVER (PARTITION BY d_idx) AS gross FROM y),
 h AS (SELECT *, coalesce(lag(target * (1 + rr) / (1 + gross)) OVER (PARTITION BY symbol ORDER BY d_idx), 0) AS held FROM g)
-SELECT (d_idx + 1)::INTEGER AS d_idx, round(sum(target * rr), 6) AS gross, round(sum(abs(target - held)) * 0.00065, 6) AS cost, round(sum(target * f), 6) AS funding, round(sum(abs(target - held)), 6) AS turnover, round(sum(abs(target)), 6) AS exposure FROM h WHERE d_idx < 79 GROUP BY d_idx""")
+SELECT (d_idx + 1)::INTEGER AS d_idx, round(sum(target * rr), 6) + 0 AS gross, round(sum(abs(target - held)) * 0.00065, 6) + 0 AS cost, round(sum(target * f), 6) + 0 AS funding, round(sum(abs(target - held)), 6) + 0 AS turnover, round(sum(abs(target)), 6) + 0 AS exposure FROM h WHERE d_idx < 79 GROUP BY d_idx""")
 def run_daily_every_day(spark, sf_dir):
     out = D.run_daily(nation_panel(spark, sf_dir), _trend(spark, sf_dir).withColumn("label", F.lit("trend")))
     return out.select("d_idx", *[r6(F.col(c), c) for c in ("gross", "cost", "funding", "turnover", "exposure")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MOMENTUM}, w AS (SELECT * FROM lw), reb AS (SELECT DISTINCT d_idx FROM t), {Q.DAILY}
+SELECT 'momentum' AS label, x.d_idx, round(CASE WHEN ruined THEN -1 ELSE coalesce(gross - funding - turnover * 0.00065, 0) END, 6) AS net, round(coalesce(gross, 0), 6) AS gross, round(coalesce(turnover, 0) * 0.00065, 6) AS cost, round(coalesce(funding, 0), 6) AS funding,
+round(coalesce(turnover, 0), 6) AS turnover, round(coalesce(exposure, 0), 6) AS exposure FROM (SELECT unnest(range(1, 80))::INTEGER AS d_idx) x LEFT JOIN days USING (d_idx) WHERE EXISTS (SELECT 1 FROM t)""")
 def run_daily_weekly(spark, sf_dir):
     panel = nation_panel(spark, sf_dir)
     w, reb, _ = WT.momentum(panel, 12, 3, 6, 4, 0.25)
-    return D.run_daily(panel, w.withColumn("label", F.lit("momentum")), reb.withColumn("label", F.lit("momentum")))
+    out = D.run_daily(panel, w.withColumn("label", F.lit("momentum")), reb.withColumn("label", F.lit("momentum")))
+    return out.select("label", "d_idx", *[r6(F.col(c), c) for c in ("net", "gross", "cost", "funding", "turnover", "exposure")])
 
 
-@query()
+@query(f"WITH {_MOMENTUM} SELECT d_idx, count(*) AS n, round(sum(w), 6) + 0 AS total, round(sum(abs(w)), 6) AS exposure, round(min(w), 6) AS low, round(max(w), 6) AS high, count(*) AS n_eligible FROM lw WHERE w <> 0 GROUP BY d_idx")
 def permuted_weights(spark, sf_dir):
+    """What a random deal keeps of each day: the weights themselves, all on eligible symbols."""
     w, _, eligible = WT.momentum(nation_panel(spark, sf_dir), 12, 3, 6, 4, 0.25)
-    return WT.permuted(w, eligible.join(w.select("d_idx").distinct(), "d_idx", "left_semi"), 7)
+    eligible = eligible.join(w.select("d_idx").distinct(), "d_idx", "left_semi")
+    dealt = WT.permuted(w, eligible, 7).join(eligible.select("d_idx", "symbol", F.lit(1).alias("own")), ["d_idx", "symbol"], "left")
+    return dealt.groupBy("d_idx").agg(F.count("*").alias("n"), r6(F.sum("w"), "total"), r6(F.sum(F.abs("w")), "exposure"), r6(F.min("w"), "low"), r6(F.max("w"), "high"), F.count("own").alias("n_eligible"))
 
 
 def _with_spot(spark, sf_dir) -> DataFrame:
@@ -537,27 +604,70 @@ def spot_columns(spark, sf_dir):
     return _with_spot(spark, sf_dir).select("d_idx", "symbol", F.round("close", 3).alias("close"))
 
 
-@query()
+def _harvest_candidates(spark, sf_dir) -> DataFrame:
+    """With the trailing funding rounded: sums of small rates that meet a threshold exactly must do so in any order."""
+    return rounded(D.harvest_candidates(_with_spot(spark, sf_dir), top_n=20, lookback=3, min_history=4), 9, "f7")
+
+
+def _harvest_sql(days: int, rest: str) -> str:
+    return f"WITH RECURSIVE {PANEL}, {Q.HARVEST}{rest}".replace("{DAYS}", str(days))
+
+
+@query(f"SELECT label, kind, d_idx, symbol, round(w, 9) AS w, until FROM ({_harvest_sql(79, ' ' + Q.HARVEST_ROWS)})")
 def harvest_positions(spark, sf_dir):
-    rows = D.harvest_candidates(_with_spot(spark, sf_dir), top_n=20, lookback=3, min_history=4)
-    return D.harvest(rows, 79, enter=0.0004, leave=0.0001, slots=5)
+    return rounded(D.harvest(_harvest_candidates(spark, sf_dir), 79, enter=0.0004, leave=0.0001, slots=5), 9, "w")
 
 
-@query()
+@query(f"SELECT label, d_idx, symbol, round(w, 9) AS w, reb, round(tied, 9) AS tied FROM ({_harvest_sql(80, ', ' + Q.SIZED)})")
 def sized_harvest(spark, sf_dir):
     panel = _with_spot(spark, sf_dir)
-    made = D.harvest(D.harvest_candidates(panel, top_n=20, lookback=3, min_history=4), 80, enter=0.0004, leave=0.0001, slots=5)
+    made = D.harvest(_harvest_candidates(spark, sf_dir), 80, enter=0.0004, leave=0.0001, slots=5)
     held = made.where("kind = 'weight' AND w < 0").select("d_idx", "symbol").join(panel.select("d_idx", "symbol", "s_idx", "close"), ["d_idx", "symbol"])
     days = spark.range(80).select(F.col("id").cast("int").alias("d_idx")).join(made.where("kind = 'rebalance'").select("d_idx", F.lit(True).alias("changed")), "d_idx", "left")
     rows = days.join(held, "d_idx", "left").withColumns({"label": F.lit("sized"), "changed": F.coalesce("changed", F.lit(False))})
-    return D.sized_harvest(rows.select("label", "d_idx", "symbol", "s_idx", "close", "changed"))
+    return rounded(D.sized_harvest(rows.select("label", "d_idx", "symbol", "s_idx", "close", "changed")), 9, "w", "tied")
 
 
-@query()
+@query(f"WITH RECURSIVE {PANEL}, {Q.LISTINGS}".replace("{HEDGE}", "NATION_0"))
 def listing_short(spark, sf_dir):
     panel = nation_panel(spark, sf_dir)
     first = panel.where("close IS NOT NULL").groupBy("symbol").agg(F.min("d_idx").alias("d_idx")).where("symbol <> 'NATION_0'")
-    return D.listing_shorts(panel, first, "NATION_0", hold_days=5, most=4)[0]
+    return rounded(D.listing_shorts(panel, first, "NATION_0", hold_days=5, most=4)[0], 9, "w")
+
+
+_ALL_DAYS = """x AS (SELECT p.d_idx, p.symbol, lb.label, p.close, CASE lb.label WHEN 'trend' THEN coalesce(tw.w, 0) WHEN 'btc_long' THEN CASE WHEN p.symbol = 'NATION_0' THEN 1.0 ELSE 0 END ELSE CASE WHEN p.close IS NULL THEN 0 ELSE 1.0 / count(p.close) OVER (PARTITION BY lb.label, p.d_idx) END END AS w,
+  CASE WHEN p.close IS NOT NULL THEN lead(p.close) OVER q / p.close - 1 END AS r, lead(p.funding) OVER q AS f FROM panel p CROSS JOIN (VALUES ('trend'), ('btc_long'), ('equal_weight')) lb(label) LEFT JOIN tw USING (d_idx, symbol) WINDOW q AS (PARTITION BY lb.label, p.symbol ORDER BY p.d_idx)),
+y AS (SELECT *, CASE WHEN close IS NOT NULL THEN w ELSE 0 END AS target, coalesce(r, 0) AS rr FROM x), gg AS (SELECT *, sum(target * rr) OVER (PARTITION BY label, d_idx) AS gross FROM y),
+hh AS (SELECT *, coalesce(lag(target * (1 + rr) / (1 + gross)) OVER (PARTITION BY label, symbol ORDER BY d_idx), 0) AS held FROM gg),
+dd AS (SELECT label, d_idx + 1 AS d_idx, sum(target * rr) AS gross, sum(abs(target - held)) * 0.00065 AS cost, sum(target * f) AS funding, sum(abs(target - held)) AS turnover, sum(abs(target)) AS exposure FROM hh WHERE d_idx < 79 GROUP BY label, d_idx),
+dn AS (SELECT *, gross - funding - cost AS net FROM dd UNION ALL SELECT 'combo', d_idx, gross, cost, funding, turnover, exposure, net FROM (SELECT d_idx, avg(gross) AS gross, avg(cost) AS cost, avg(funding) AS funding, avg(turnover) AS turnover, avg(exposure) AS exposure, avg(gross - funding - cost) AS net FROM dd GROUP BY d_idx)),
+cu AS (SELECT label, d_idx, exp(sum(ln(1 + net)) OVER (PARTITION BY label ORDER BY d_idx)) AS eq FROM dn), pk AS (SELECT label, max((greatest(1, peak) - eq) / greatest(1, peak)) AS fall FROM (SELECT *, max(eq) OVER (PARTITION BY label ORDER BY d_idx) AS peak FROM cu) GROUP BY label)"""
+
+
+@query(f"""WITH {_TREND}, {_ALL_DAYS}, mo AS (SELECT *, avg(net) OVER (PARTITION BY label) AS mu FROM dn),
+sm AS (SELECT label, count(*) AS n, exp(sum(ln(1 + net))) AS total, avg(net) AS mean, stddev_samp(net) AS sd, avg(least(net, 0) ** 2) AS down, avg((net - mu) ** 2) AS m2, avg((net - mu) ** 3) AS m3, avg((net - mu) ** 4) AS m4,
+  avg(turnover) * 365 AS turnover, avg(exposure) AS exposure, sum(gross) AS gross, sum(cost) AS cost, sum(funding) AS funding, exp(sum(ln(1 + 0.0001 * (d_idx % 5)))) AS bills FROM mo GROUP BY label),
+z AS (SELECT label, (mean / sd - sqrt(1.0 / (n - 1)) * {normal.expected_max_sharpe(9, 1.0)}) * sqrt(n - 1) / sqrt(1 - m3 / m2 ** 1.5 * mean / sd + (m4 / (m2 * m2) - 1) / 4 * (mean / sd) ** 2) AS x FROM sm)
+SELECT label, n AS n_days, round(total - 1, 6) AS total_return, round(total ** (365.0 / n) - 1, 4) AS cagr, round(mean / sd * sqrt(365), 6) AS sharpe, round(mean / sqrt(down) * sqrt(365), 6) AS sortino, round(mean * 1e4, 4) AS mean_daily_bp, round(turnover, 4) AS turnover_per_year, round(exposure, 6) AS avg_exposure,
+round(gross, 6) AS gross, round(cost, 6) AS cost, round(funding, 6) AS funding, round(fall, 6) AS max_drawdown, round({Q.cdf('x')}, 5) AS dsr, round(bills - 1, 6) AS bill_return, round(total / bills - 1, 6) AS excess FROM sm JOIN pk USING (label) JOIN z USING (label)""")
+def daily_summary(spark, sf_dir):
+    """A daily strategy beside its two benchmarks and the mean of the three, each with its whole summary and the hurdle."""
+    panel = nation_panel(spark, sf_dir)
+    days = DR.with_benchmarks(panel, _trend(spark, sf_dir).withColumn("label", F.lit("trend")), None, "NATION_0")
+    cells = days.select("label", "d_idx", "day_ms", *DR._SUMS)
+    every = cells.unionByName(DR.combined(cells, ("trend", "btc_long", "equal_weight")))
+    bills = panel.select("d_idx", "day_ms").distinct().select("day_ms", (F.lit(0.0001) * F.pmod("d_idx", F.lit(5))).alias("rate"))
+    out = DR.summary(every, bills, n_trials=9, intervals=False).drop("n_trials_for_dsr")
+    out = rounded(out, 6, "total_return", "sharpe", "sortino", "avg_exposure", "gross", "cost", "funding", "max_drawdown", "bill_return", "excess")
+    return rounded(rounded(out, 4, "cagr", "mean_daily_bp", "turnover_per_year"), 5, "dsr")
+
+
+@query()
+def random_signal_benchmark(spark, sf_dir):
+    panel = nation_panel(spark, sf_dir)
+    w, reb, eligible = WT.momentum(panel, 12, 3, 6, 4, 0.25)
+    named = lambda f: f.withColumn("label", F.lit("momentum"))
+    return DR.random_signals(panel, named(w), named(reb), eligible, 10, "momentum")
 
 
 # ---------------------------------------------------------------- statistics
@@ -590,9 +700,14 @@ def return_moments(spark, sf_dir):
     return m.select("symbol", "n", *[r6(F.col(c), c) for c in ("mean", "std", "skew", "kurtosis")])
 
 
-@query()
+_CHANCE = f"""pz AS (SELECT *, mean / std * sqrt(n - 1) / sqrt(1 - skew * mean / std + (kurtosis - 1) / 4 * (mean / std) ** 2) AS xp, (mean / std - sqrt(1.0 / (n - 1)) * {normal.expected_max_sharpe(9, 1.0)}) * sqrt(n - 1) / sqrt(1 - skew * mean / std + (kurtosis - 1) / 4 * (mean / std) ** 2) AS xd FROM mm),
+ch AS (SELECT *, {Q.cdf('xp')} AS psr, {Q.cdf('xd')} AS dsr FROM pz)"""
+
+
+@query(f"""WITH {_MONTHS}, c AS (SELECT symbol, ret, avg(ret) OVER (PARTITION BY symbol) AS mu FROM m WHERE ret IS NOT NULL), d AS (SELECT symbol, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, avg((ret - mu) ** 2) AS m2, avg((ret - mu) ** 3) AS m3, avg((ret - mu) ** 4) AS m4 FROM c GROUP BY symbol),
+mm AS (SELECT symbol, n, mean, std, m3 / m2 ** 1.5 AS skew, m4 / (m2 * m2) AS kurtosis FROM d), {_CHANCE} SELECT symbol, n, round(psr, 5) AS psr, round(dsr, 5) AS dsr FROM ch""")
 def deflated_sharpe(spark, sf_dir):
-    return T.against_chance(_months(spark, sf_dir), ("symbol",), n_trials=9)
+    return rounded(T.against_chance(_months(spark, sf_dir), ("symbol",), n_trials=9).select("symbol", "n", "psr", "dsr"), 5, "psr", "dsr")
 
 
 @query()
@@ -655,12 +770,53 @@ def running_equity(spark, sf_dir):
     return rows.groupBy("label").agg(F.round(F.min("equity"), 4).alias("low"), F.round(F.max("equity"), 4).alias("high"))
 
 
-@query(f"""WITH {TRADES}, s AS (SELECT label, count(*) AS n_trades, sum(net_pnl) AS net_pnl, avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM trades GROUP BY label)
-SELECT label, n_trades >= 100 AS go_trades, net_pnl > 0 AS go_net, win_rate > 0.5 AS go_wins, n_trades >= 100 AND net_pnl > 0 AND win_rate > 0.5 AS go,
-CASE WHEN n_trades >= 100 THEN '✓ ' ELSE '✗ ' END || 'trades ' || CASE WHEN net_pnl > 0 THEN '✓ ' ELSE '✗ ' END || 'net ' || CASE WHEN win_rate > 0.5 THEN '✓ ' ELSE '✗ ' END || 'wins' AS report FROM s""")
+def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """lineitem rows as trades that end when they are shipped, and the returns of all days."""
+    trades = as_trades(spark, sf_dir).withColumn("seq", F.struct("exit_ts", "pair", "net_pnl")).withColumn("exit_ts", F.col("shipped"))
+    points = T.running_equity(trades, ("label",), 100_000.0, ("exit_ts", "seq")).select("label", F.col("exit_ts").alias("ts_ms"), "seq", "equity")
+    return trades, N.equity_by_day(points, 8035 * DAY, 10_591 * DAY, 100_000.0, ("label",))
+
+
+_RUN = TRADES.replace("l_orderkey * 10 + l_linenumber AS exit_ts", "(l_orderkey * 10 + l_linenumber, CAST(l_partkey AS VARCHAR), l_extendedprice * (l_discount - l_tax) / 100) AS seq, (l_shipdate::DATE - DATE '1970-01-01') AS d") + f""", re AS (SELECT label, d, seq, 100000 + sum(net_pnl) OVER (PARTITION BY label ORDER BY d, seq) AS equity FROM trades),
+fa AS (SELECT label, max((greatest(100000, peak) - equity) / greatest(100000, peak)) AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY label ORDER BY d, seq) AS peak FROM re) GROUP BY label),
+ed AS (SELECT label, d, arg_max(equity, seq) AS equity FROM re GROUP BY label, d), sp AS (SELECT label, unnest(range(8035, 10592)) AS d FROM (SELECT DISTINCT label FROM trades)),
+fi AS (SELECT label, d, coalesce(last_value(equity IGNORE NULLS) OVER (PARTITION BY label ORDER BY d), 100000) AS equity FROM sp LEFT JOIN ed USING (label, d)),
+dr AS (SELECT label, equity / coalesce(lag(equity) OVER (PARTITION BY label ORDER BY d), 100000) - 1 AS ret FROM fi), dm AS (SELECT *, avg(ret) OVER (PARTITION BY label) AS mu FROM dr),
+da AS (SELECT label, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, avg((ret - mu) ** 2) AS m2, avg((ret - mu) ** 3) AS m3, avg((ret - mu) ** 4) AS m4, avg(least(ret, 0) ** 2) AS down FROM dm GROUP BY label),
+mm AS (SELECT label, n, mean, std, down, m3 / m2 ** 1.5 AS skew, m4 / (m2 * m2) AS kurtosis FROM da), {_CHANCE},
+su AS (SELECT label, count(*) AS n_trades, sum(net_pnl) AS net_pnl, avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate, avg(net_ret) AS mean_ret, stddev_samp(net_ret) AS sd_ret FROM trades GROUP BY label),
+sm AS (SELECT su.*, ch.n AS n_days, mean / std * sqrt(365) AS sharpe, mean / sqrt(down) * sqrt(365) AS sortino, psr, dsr, max_drawdown FROM su JOIN ch USING (label) JOIN fa USING (label))"""
+
+
+@query(f"WITH {_RUN} SELECT label, n_trades, n_days, round(net_pnl, 2) AS net_pnl, round(net_pnl / 100000, 6) AS total_return, round(win_rate, 6) AS win_rate, round(mean_ret * 1e4, 4) AS mean_net_ret_bp, round(sharpe, 5) AS sharpe, round(sortino, 4) AS sortino, round(psr, 5) AS psr, round(dsr, 5) AS dsr, round(max_drawdown, 6) AS max_drawdown FROM sm")
+def run_summary(spark, sf_dir):
+    """The whole summary of a run but the seeded interval, which bootstrap_intervals has."""
+    trades, daily = _run(spark, sf_dir)
+    out = T.run_summary(trades, daily, ("label",), 100_000.0, n_trials=9, n_boot=100, order=("exit_ts", "seq"))
+    digits = {"net_pnl": 2, "total_return": 6, "win_rate": 6, "mean_net_ret_bp": 4, "sharpe": 5, "sortino": 4, "psr": 5, "dsr": 5, "max_drawdown": 6}
+    return out.select("label", "n_trades", "n_days", *[F.round(c, k).alias(c) for c, k in digits.items()])
+
+
+_MARK = "CASE WHEN {c} THEN '✓ ' ELSE '✗ ' END || '{n}'"
+_GO = {"trades": "n_trades >= 200", "interval": "mean_ret - 1.96 * sd_ret / sqrt(n_trades) > 0", "sharpe": "sharpe >= 1", "dsr": "dsr >= 0.95", "benchmark": "p_value < 0.05"}
+
+
+@query(f"""WITH {_RUN}, gp AS (SELECT label, pair, sum(net_pnl) AS v FROM trades GROUP BY ALL), gr AS (SELECT label, avg(v) AS real FROM gp GROUP BY label), pv AS (SELECT label, (count(*) FILTER (v >= real) + 1) / (count(*) + 1) AS p_value FROM gp JOIN gr USING (label) GROUP BY label)
+SELECT label, {', '.join(f'{c} AS go_{n}' for n, c in _GO.items())}, {' AND '.join(_GO.values())} AS go, {" || ' ' || ".join(_MARK.format(c=c, n=n) for n, c in _GO.items())} AS report FROM sm JOIN pv USING (label)""")
 def go_report(spark, sf_dir):
-    s = T.trade_summary(as_trades(spark, sf_dir), ("label",), 1000.0)
-    return reports.judged(s, reports.trade_criteria()).select("label", "go_trades", "go_net", "go_wins", "go", "report")
+    trades, daily = _run(spark, sf_dir)
+    s = T.run_summary(trades, daily, ("label",), 100_000.0, n_trials=9, n_boot=1000, order=("exit_ts", "seq"))
+    sims = trades.groupBy("label", "pair").agg(F.sum("net_pnl").alias("net_pnl"))
+    p = T.permutation_p(sims, sims.groupBy("label").agg(F.avg("net_pnl").alias("net_pnl")), ("label",)).select("label", "p_value")
+    criteria = reports.trade_criteria()
+    return reports.judged(s.join(p, "label"), criteria).select("label", *[f"go_{n}" for n in criteria], "go", "report")
+
+
+@query(f"WITH {_MONTHS} SELECT symbol AS label, round(exp(sum(ln(1 + ret))) - 1, 6) AS total_return, round(exp(sum(ln(1 + 0.001 * (d_idx % 5)))) - 1, 6) AS bill_return, round(exp(sum(ln(1 + ret))) / exp(sum(ln(1 + 0.001 * (d_idx % 5)))) - 1, 6) AS excess FROM m WHERE ret IS NOT NULL GROUP BY symbol")
+def excess_return(spark, sf_dir):
+    days = _months(spark, sf_dir).where("ret IS NOT NULL").select(F.col("symbol").alias("label"), "day_ms", F.col("ret").alias("net"))
+    bills = spark.range(80).select((F.col("id") * DAY).alias("day_ms"), (F.lit(0.001) * F.pmod("id", F.lit(5))).alias("rate"))
+    return rounded(T.excess_return(days, bills), 6, "total_return", "bill_return", "excess")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity + 0.0003 AS p, l_quantity AS q FROM lineitem),
@@ -677,8 +833,11 @@ def book_walk(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; an own one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='barloom-')}"
+    """The folder that all executors share; an own one only where none is set, in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"file://{tempfile.mkdtemp(prefix='barloom-')}"
 
 
 def _drain(stream: DataFrame, label: str) -> DataFrame:
@@ -712,7 +871,8 @@ def _stream_of(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
 
 
-@query()
+@query(f"""WITH {TICKS}, mi AS (SELECT symbol, ts_ms - ts_ms % 60000 AS t, arg_max(price, seq) AS close, sum(volume) AS volume FROM ticks GROUP BY ALL)
+SELECT symbol, t - t % 300000 AS ts_ms, arg_min(close, t) AS open, max(close) AS high, min(close) AS low, arg_max(close, t) AS close, sum(volume) AS volume, sum(volume / 2) AS taker_buy_volume, count(*)::INTEGER AS n_minutes FROM mi GROUP BY symbol, t - t % 300000 HAVING max(t) = t - t % 300000 + 240000""")
 def stream_minute_bars(spark, sf_dir):
     from ..streaming.candles import minute_bars
 
@@ -722,32 +882,26 @@ def stream_minute_bars(spark, sf_dir):
     return _drain(minute_bars(_stream_of(rows, "minutes"), 5), "bars")
 
 
-@query()
+@query(Q.DECISIONS.replace("{pairs}", PAIRS))
 def stream_pair_decisions(spark, sf_dir):
     from ..streaming.engine import LiveConfig, pair_decisions
 
     rows = aligned(spark, sf_dir).select("pair", "ts_ms", "open1", "open2", "close1", "close2", F.lit(0.1).alias("alpha"), F.lit(0.5).alias("beta"))
-    return _drain(pair_decisions(_stream_of(rows, "pairs"), LiveConfig(24, 1.5, S.ExitRules(max_hold_bars=24))), "decisions")
+    return _drain(pair_decisions(_stream_of(rows, "pairs"), LiveConfig(24, 1.5, S.ExitRules(max_hold_bars=24))), "decisions").withColumn("z", F.round("z", 6))
 
 
-@query()
-def baseline_walk_forward(spark, sf_dir):
-    """Ten days of training, five of test, window by window over hourly bars of the events."""
-    from .walkforward import Baseline, baseline_trades, windows
+_WINDOWS = WF.windows(1_704_067_200_000, 1_704_067_200_000 + 30 * DAY, 10, 5, 0)
 
-    ticks = events_as_bars(spark, sf_dir)
-    bars = B.ticks_to_bars(ticks, HOUR).withColumn("taker_buy_volume", F.col("volume") / 2)
-    out = None
-    for index, train, split, _, end in windows(1_704_067_200_000, 1_704_067_200_000 + 30 * DAY, 10, 5, 0):
-        rows = P.log_pairs(B.time_slice(bars, train, split), event_pairs(bars))
-        fits = P.hedges(rows)
-        pairs = event_pairs(bars).join(fits, "pair").join(P.half_life(rows, fits, 60), "pair").select("pair", "asset1", "asset2", "alpha", "beta", "half_life_minutes")
-        own = baseline_trades(bars, pairs, split, end, Baseline(60, 1440, 1.5)).drop("info").withColumn("window", F.lit(index))
-        out = own if out is None else out.unionByName(own)
-    return out
+
+@query(f"WITH RECURSIVE {PAIRS}, {Q.BASELINE}".replace("{WINDOWS}", ", ".join(f"({k}, {a}, {b}, {d})" for k, a, b, _, d in _WINDOWS)))
+def baseline_walk_forward(spark, sf_dir):
+    """Ten days of training, five of test, all windows in one plan over hourly bars of the events."""
+    bars = B.ticks_to_bars(events_as_bars(spark, sf_dir), HOUR).withColumn("taker_buy_volume", F.col("volume") / 2)
+    return rounded(WF.baseline_walk(bars, event_pairs(bars), _WINDOWS, WF.Baseline(60, 1440, 1.5)).drop("info"), 6, "beta", *_TRADE_DIGITS)
 
 
-@query()
+@query(f"""WITH {PANEL}, sh AS (SELECT d_idx, symbol FROM panel WHERE d_idx >= 5 AND s_idx < 3 AND d_idx < 79), j AS (SELECT sh.d_idx + 1 AS d_idx, r.close AS ref, coalesce(n.high, n.close, r.close) AS top FROM sh JOIN panel r ON r.symbol = sh.symbol AND r.d_idx = sh.d_idx - (sh.d_idx - 5) % 6 JOIN panel n ON n.symbol = sh.symbol AND n.d_idx = sh.d_idx + 1)
+SELECT 'shorts' AS label, d_idx FROM j GROUP BY d_idx HAVING count(ref) = count(*) AND sum(0.25 * (0.5 - (top / ref - 1))) < 0.05 * sum(0.25 * top / ref)""")
 def margin_breach_days(spark, sf_dir):
     panel = nation_panel(spark, sf_dir)
     shorts = panel.where("d_idx >= 5 AND s_idx < 3").select(F.lit("shorts").alias("label"), "d_idx", "symbol", F.lit(-0.25).alias("w"))
@@ -757,7 +911,7 @@ def margin_breach_days(spark, sf_dir):
 
 @query()
 def random_episode_benchmark(spark, sf_dir):
-    cand = D.harvest_candidates(_with_spot(spark, sf_dir), top_n=20, lookback=3, min_history=4)
+    cand = _harvest_candidates(spark, sf_dir)
     episodes = D.harvest(cand, 80, enter=0.0004, leave=0.0001, slots=5).where("kind = 'episode'").select("d_idx", "until", "symbol")
     return D.random_episodes(episodes, cand, 10)
 
@@ -768,7 +922,7 @@ def learned_entries(spark, sf_dir):
     from ..operators import learn as L
 
     cfg = L.LearnConfig(horizon=3, min_rows=200, rounds=3, ensemble=2)
-    rows = L.dataset(_feature_rows(spark, sf_dir), cfg)
+    rows = L.dataset(_feature_rows(spark, sf_dir, adf=False, minutes=60), cfg)
     columns = ["z_4h", "z_12h", "z_mom_1", "trend1_24h"]
     split = 1_704_067_200_000 + 20 * DAY
     models = L.fit_ensemble(L.fit_slice(rows, 0, split, 3 * HOUR, cfg), columns, 1, cfg)

@@ -18,8 +18,30 @@ def judged(summary: DataFrame, criteria: dict[str, Column]) -> DataFrame:
 
 
 def trade_criteria() -> dict[str, Column]:
-    return {"trades": F.col("n_trades") >= 100, "net": F.col("net_pnl") > 0, "wins": F.col("win_rate") > 0.5}
+    """The protocol's criteria over run_summary() with the p_value of the random-entry benchmark."""
+    return {
+        "trades": F.col("n_trades") >= 200, "interval": F.col("ci_lower_bp") > 0, "sharpe": F.col("sharpe") >= 1,
+        "dsr": F.col("dsr") >= 0.95, "benchmark": F.col("p_value") < 0.05,
+    }
 
 
-def daily_criteria() -> dict[str, Column]:
-    return {"return": F.col("total_return") > 0, "sharpe": F.col("sharpe") > 1, "days": F.col("n_days") >= 365}
+def _cells(*cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("nan")) for c in cells]), F.lit(" |"))
+
+
+def trade_row(run: Column, label: Column) -> Column:
+    """A run's markdown row: trades, money, mean returns with their interval, ratios, benchmark, and the marks of judged()."""
+    return _cells(
+        run, label, F.col("n_trades").cast("string"), F.format_string("%.2f", "net_pnl"), F.format_string("%.1f", "mean_gross_ret_bp"),
+        F.format_string("%.1f [%.1f, %.1f]", "mean_net_ret_bp", "ci_lower_bp", "ci_upper_bp"), F.format_string("%.2f", "sharpe"),
+        F.format_string("%.1f%%", F.col("max_drawdown") * 100), F.format_string("%.3f", "dsr"), F.format_string("%.3f", "p_value"), F.col("report"),
+    )
+
+
+def daily_row(run: Column) -> Column:
+    """A daily strategy's markdown row; it has no criteria, but its benchmarks' ratios."""
+    return _cells(
+        run, F.col("n_days").cast("string"), F.format_string("%.1f%%", F.col("total_return") * 100), F.format_string("%.1f%%", F.col("cagr") * 100), F.format_string("%.2f", "sharpe"),
+        F.format_string("%.1f%%", F.col("max_drawdown") * 100), F.format_string("%.2f [%.2f, %.2f]", "mean_daily_bp", "ci_lower_bp", "ci_upper_bp"),
+        F.format_string("%.3f", "dsr"), F.format_string("%.3f", "p_value"), F.format_string("%.2f", "btc_long_sharpe"), F.format_string("%.2f", "equal_weight_sharpe"),
+    )

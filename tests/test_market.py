@@ -226,7 +226,12 @@ def test_sharpe_family(spark):
     days = spark.createDataFrame([("a", 0, 0.1), ("a", DAY, -1.0)], "label string, day_ms long, net double").withColumns({c: F.lit(0.0) for c in ("turnover", "exposure", "gross", "cost", "funding")})
     assert T.daily_summary(days).first().total_return == -1.0
     bills = spark.createDataFrame([(0, 0.01)], "day_ms long, rate double")
-    assert T.excess_return(days, bills).first().excess == pytest.approx(-1.01)
+    assert T.excess_return(days, bills).first().excess == pytest.approx(-1.0)
+    steady = days.withColumn("net", F.lit(0.1))
+    assert T.excess_return(steady, bills).first().excess == pytest.approx(1.21 / 1.01 - 1)
+    one = T.daily_summary(rows.select("label", F.col("d_idx").cast("long").alias("day_ms"), F.col("ret").alias("net"), *[F.lit(0.0).alias(c) for c in ("turnover", "exposure", "gross", "cost", "funding")]).where("label = 'a'")).first()
+    grown = np.cumprod(1 + x)
+    assert one.max_drawdown == pytest.approx((1 - np.concatenate([[1], grown]) / np.maximum.accumulate(np.concatenate([[1], grown]))).max()) and one.ci_lower_bp < one.mean_daily_bp < one.ci_upper_bp
     flags = spark.createDataFrame([("a", True, False, True, True), ("a", True, True, False, False)], "label string, entry_maker1 boolean, entry_maker2 boolean, exit_maker1 boolean, exit_maker2 boolean")
     m = T.maker_shares(flags, ("label",)).first()
     assert (m.entry_share, m.entry_both, m.exit_share, m.exit_both) == (0.75, 0.5, 0.5, 0.5)

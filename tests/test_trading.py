@@ -115,7 +115,7 @@ def maker_bars(low1=None, high2=None, n=30, **kw):
 
 def test_maker_fills_need_a_trade_through():
     w = S.PairWalk(maker_bars(low1={1: 100.0, 2: 99.995, 3: 99.98}), 1.0, S.ExitRules(), execution=S.Execution("maker"))
-    assert w.rests(1, True, 100.0, 1, 3) == 3 and w.rests(1, True, 100.0, 1, 2) is None and w.rests(1, True, 100.0, 4, 3) is None
+    assert w.fills[0, 0, :4].tolist() == [3, 3, 3, S._NEVER] and (w.fills[1] == S._NEVER).all() and (w.fills[0, 1] == S._NEVER).all()
     z = np.full(30, -3.0)
     both = maker_bars(low1={6: 99.9}, high2={7: 100.1}, z=z, signal={5: 1})
     (t,) = walk(both, execution=S.Execution("maker"))
