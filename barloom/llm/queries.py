@@ -81,9 +81,11 @@ FROM f
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its surrogates, and how many surrogates of the corpus stand for several entities."""
     secret = spark.conf.get("spark.barloom.surrogate.key", "a key of your own")
     found = surrogates.pseudonymize(read_table(spark, sf_dir, "documents"), secret)
-    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"))
+    n = surrogates.collisions(found.select("entities")).count()
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"), F.lit(n).alias("n_collisions"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

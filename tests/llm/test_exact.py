@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -449,7 +450,7 @@ def test_surrogates_keep_type_format_and_identity():
         'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", 10.1.2.3, 43.21.141.162, SSN 123-45-6789, DE89 3704 0044 0532 0130 00'
     )
     new, spans = surrogates.replace(text, made)
-    of = {(k, text[s:e]): x for s, e, k, x in spans}
+    of = {(k, text[s:e]): x for s, e, k, x, _ in spans}
     for (kind, old), x in of.items():
         assert x != old and len(x) >= 3
         if kind != "person":
@@ -472,12 +473,56 @@ def test_surrogates_are_distinct(emails):
     assert len({made.of("email", x) for x in emails}) == len(emails)
 
 
+def one(made, text):
+    """The only entity's surrogate."""
+    ((_, _, _, x, _),) = surrogates.replace(text, made)[1]
+    return x
+
+
+def test_surrogates_of_every_kind():
+    made = surrogates.Surrogates("k")
+    for text in ("Hans Müller came", "Robin Weber came", "Fatima Hassan came", "Wei Zhang came", "William Johnson came", "Μαρία Παπαδοπούλου", "Señora Núñez", "Dr. Ýr Þórsdóttir"):
+        ((s, e, kind, new, _),) = surrogates.replace(text, made)[1]
+        assert kind == "person" and all(a != b for a, b in zip(text[s:e].split(), new.split(), strict=True))
+    assert made.of("email", "用户@例子.com") not in ("用户@例子.com",) and made.of("email", "用户@例子.com").endswith(".com")
+    assert len({one(made, f"{t} Robin Weber") for t in ("Mr", "Mrs", "Dr")}) == 3
+    assert len({one(made, f"{t} Zdenka Weber") for t in ("Mr", "Mrs", "Dr")}) == 3
+    assert one(made, "Mr Robin Weber").split()[0] in surrogates.GIVEN["", "latin"]
+    assert one(made, "Mrs Anna Weber") == one(made, "Anna Weber") == one(made, "Dr. Anna Weber")
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606"):
+        new = one(made, f"to {iban} now")
+        assert new != iban and new[:2] == iban[:2] and surrogates._mod97(new.replace(" ", "")) == 1
+        assert [c == " " for c in new] == [c == " " for c in iban]
+    assert surrogates.find("no DE88 3704 0044 0532 0130 00 and 4111 1111 1111 1112, 8687996969735503") == []
+    digits = lambda x: re.sub(r"\D", "", x)
+    phones = {digits(made.of("phone", x)) for x in ("+4915112345678", "+49 15112345678", "+49 (151) 123-45678")}
+    assert len(phones) == 1 and phones.pop().startswith("49") and made.of("phone", "+35912345678").startswith("+359")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.one_of(st.integers(0, 2**32 - 1), st.integers(10 << 24, (10 << 24) + 300), st.integers(172 << 24 | 16 << 16, 172 << 24 | 31 << 16), st.integers(192 << 24 | 168 << 16, (192 << 24 | 168 << 16) + 99)), max_size=30))
+def test_addresses_stay_in_their_range_and_apart(values):
+    import ipaddress
+
+    made = surrogates.Surrogates("k")
+    kind = lambda a: (a in ipaddress.ip_network("10.0.0.0/8"), a in ipaddress.ip_network("172.16.0.0/12"), a in ipaddress.ip_network("192.168.0.0/16"), a.is_loopback)
+    of = {x: ipaddress.ip_address(made.of("ip", str(ipaddress.ip_address(x)))) for x in values}
+    assert len(set(of.values())) == len(values)
+    assert all(kind(ipaddress.ip_address(x)) == kind(a) and int(a) != x for x, a in of.items())
+
+
+def test_collisions_are_counted(spark):
+    rows = [([("person", "A B", 1), ("person", "a b", 2)],), ([("ip", "1.1.1.1", 5), ("phone", "+1 2", 7)],), ([("phone", "+12", 7)],)]
+    frame = spark.createDataFrame(rows, "entities array<struct<kind string, surrogate string, entity bigint>>")
+    assert [tuple(r) for r in surrogates.collisions(frame).collect()] == [("person", "a b", 2)]
+
+
 def test_later_mentions_of_a_person_have_the_same_surrogate():
     made = surrogates.Surrogates("secret")
     text = "John Smith came. Smith left; John paid Mr. O'Hara's bill, SMITH's and Smith-Jones, not Smithson. O'Hara and Anna Weber's dog; Weber."
     new, spans = surrogates.replace(text, made)
-    assert [text[s:e] for s, e, _, _ in spans] == ["John Smith", "Smith", "John", "O'Hara", "SMITH", "Smith", "O'Hara", "Anna Weber", "Weber"]
-    of = {text[s:e]: x for s, e, _, x in spans}
+    assert [text[s:e] for s, e, *_ in spans] == ["John Smith", "Smith", "John", "O'Hara", "SMITH", "Smith", "O'Hara", "Anna Weber", "Weber"]
+    of = {text[s:e]: x for s, e, _, x, _ in spans}
     assert of["John Smith"] == of["John"] + " " + of["Smith"] and of["SMITH"] == of["Smith"].upper() and of["Anna Weber"].split()[1] == of["Weber"]
     assert new.count(of["Smith"]) == 3 and "not Smithson" in new
     assert surrogates.find("Smith left; John paid") == []
@@ -492,7 +537,7 @@ def test_secrets_need_no_digit_elsewhere(text):
 def test_no_entity_of_the_table_is_left(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = surrogates.pseudonymize(docs, "k")
-    assert surrogates.collisions(docs, found).count() == 0
+    assert surrogates.collisions(found).count() == 0
     new = {r.doc_id: r for r in found.collect()}
     n = 0
     for d in docs.collect():
