@@ -130,15 +130,12 @@ FROM d LEFT JOIN g USING (doc_id)
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a file of its language's folder in its source's folder."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     docs = read_table(spark, sf_dir, "documents")
-    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"))
-    found = licenses.scan(docs.select(path.alias("path"), "text"))
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "licence", "origin", "score", "n_passages")
+    return licenses.scan(docs.select("doc_id", F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text"), keep=("doc_id",))
 
 
-OP9_SQL = "SELECT string_split(path, '/')[-1]::BIGINT AS doc_id, path, licence, origin, score, n_passages FROM (" + licenses.oracle(
-    "SELECT source || '/' || lang || '/' || doc_id AS path, text FROM documents"
-) + ")"
+OP9_SQL = licenses.oracle("SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || coalesce(doc_id::VARCHAR, '-') AS path, text FROM documents")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

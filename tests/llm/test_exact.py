@@ -562,6 +562,23 @@ def test_licences_are_inherited_from_the_nearest_folder(spark):
     assert out["e/w.py"] == out["top"] == out[None] == (None, None)
 
 
+MIT_BODY = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + next(t for n, t in licenses._TEXTS if n == "MIT").replace(", ", ",\n")
+BSD_BODY = "Copyright 2019, A Company\nAll rights reserved.\n\n" + licenses._BSD_START.replace("following", "\nfollowing") + "\n\n" + licenses._BSD_THIRD + "\n\n" + licenses._BSD_END
+
+
+def test_licence_texts_and_spdx_lines(spark):
+    texts = {
+        "a/LICENSE": MIT_BODY, "a/x": "code", "b/LICENSE": BSD_BODY, "b/c/x": "code", "c/x": "# SPDX-License-Identifier: MIT\ncode", "d/x": "// SPDX-License-Identifier: Apache-2.0\nint x;",
+        "e/x": "# SPDX-License-Identifier: NoSuch-9.9\nx", "f/COPYING": "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n" + "Everyone may copy this text. " * 9, "f/y": "z", "g/x": "the license of a thing", "h/x": "# Copyright\n# " + dict(licenses._TEXTS)["Apache-2.0"].replace(". ", ".\n# ") + "\n\nint y = 3;\n" * 9,
+    }
+    files = spark.createDataFrame([(k, t) for k, t in texts.items()], "path string, text string")
+    found = {r.path: (r.licence, r.origin) for r in licenses.scan(files).collect()}
+    assert found == {
+        "a/LICENSE": ("MIT", "licence file"), "a/x": ("MIT", "inherited"), "b/LICENSE": ("BSD-3-Clause", "licence file"), "b/c/x": ("BSD-3-Clause", "inherited"), "c/x": ("MIT", found["c/x"][1]),
+        "d/x": ("Apache-2.0", found["d/x"][1]), "e/x": (None, None), "f/COPYING": ("GPL-3.0", "licence file"), "f/y": ("GPL-3.0", "inherited"), "g/x": (None, None), "h/x": ("Apache-2.0", found["h/x"][1]),
+    }
+
+
 # ---------------------------------------------------------------- quality
 
 
