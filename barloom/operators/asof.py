@@ -38,12 +38,27 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str],
     return seen.select(*keys, ts, *[F.col(f"_left.{c}").alias(c) for c in cells], *[F.col(f"_seen.{v}").alias(v) for v in values])
 
 
-def interval_sum(spans: DataFrame, events: DataFrame, keys: list[str], start: str, end: str, ts: str, value: str, name: str) -> DataFrame:
-    """Sum of the events' values with start < ts <= end for each span: running sums looked up at both ends."""
-    running = events.groupBy(*keys, ts).agg(F.sum(value).alias("_v")).withColumn("_sum", F.sum("_v").over(W.partitionBy(*keys).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)))
-    sums = running.select(*keys, F.col(ts).alias("_at"), "_sum")
+def running_sums(events: DataFrame, keys: list[str], ts: str, value: str, slice_ms: int | None = None) -> DataFrame:
+    """(keys, ts, _sum): the sum up to each time; slice_ms sums slice by slice and carries the slices' totals."""
+    own = events.groupBy(*keys, ts).agg(F.sum(value).alias("_v"))
+    if slice_ms is None:
+        return own.select(*keys, ts, F.sum("_v").over(W.partitionBy(*keys).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)).alias("_sum"))
+    by = [*keys, "_slice"]
+    own = own.withColumn("_slice", bucket(ts, slice_ms))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    totals = own.groupBy(*by).agg(F.sum("_v").alias("_v")).select(*by, F.coalesce(F.sum("_v").over(before), F.lit(0.0)).alias("_before"))  # a row for each slice
+    inside = own.withColumn("_in", F.sum("_v").over(W.partitionBy(*by).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)))
+    return inside.join(totals, by).select(*keys, ts, (F.col("_before") + F.col("_in")).alias("_sum"))
+
+
+def interval_sum(spans: DataFrame, events: DataFrame, keys: list[str], start: str, end: str, ts: str, value: str, name: str, slice_ms: int | None = None) -> DataFrame:
+    """Sum of the events' values with start < ts <= end for each span: running sums looked up at both ends.
+
+    slice_ms cuts long keys into time slices, for the sums and for the lookups.
+    """
+    sums = running_sums(events, keys, ts, value, slice_ms).withColumnRenamed(ts, "_at")
     out = spans
     for at, label in ((start, "_from"), (end, "_to")):
-        found = asof(out.withColumn("_at", F.col(at)), sums, keys, ["_sum"], ts="_at").drop("_at")
+        found = asof(out.withColumn("_at", F.col(at)), sums, keys, ["_sum"], ts="_at", slice_ms=slice_ms).drop("_at")
         out = found.withColumnRenamed("_sum", label)
     return out.withColumn(name, F.when(F.col(end) > F.col(start), F.coalesce("_to", F.lit(0.0)) - F.coalesce("_from", F.lit(0.0))).otherwise(0.0)).drop("_from", "_to")

@@ -25,30 +25,47 @@ def traded(rows: DataFrame, volume: str = "volume") -> DataFrame:
     return rows.where(F.col(volume) > 0)
 
 
-def validate(bars: DataFrame, bar_minutes: int = 1, seq: str | None = None) -> DataFrame:
+def gaps(rows: DataFrame, order: str, slice_ms: int, name: str) -> DataFrame:
+    """rows with the step of `order` from the symbol's row before, slice by slice: each slice's last value is carried to the next."""
+    by = ["symbol", "_slice"]
+    sliced = rows.withColumn("_slice", F.floor(F.col(order) / slice_ms))
+    ends = sliced.groupBy(*by).agg(F.max(order).alias("_end"))
+    ends = ends.select(*by, F.lag("_end").over(W.partitionBy("symbol").orderBy("_slice")).alias("_carried"))  # a row for each slice
+    inside = sliced.withColumn("_last", F.lag(order).over(W.partitionBy(*by).orderBy(order))).join(ends, by)
+    return inside.withColumn(name, F.col(order) - F.coalesce("_last", "_carried")).drop("_slice", "_last", "_carried")
+
+
+def validate(bars: DataFrame, bar_minutes: int = 1, seq: str | None = None, slice_ms: int = 30 * DAY_MS) -> DataFrame:
     """A row for each symbol: rows, duplicates, unsorted, bad_ohlc, non_positive, gaps, largest_gap_min, ok.
 
-    Unsorted rows are those earlier than the row before in seq. Gaps don't make a symbol bad.
+    Unsorted rows are those earlier than the row before in seq, a column in which the rows of a symbol were written
+    one after the other. Gaps don't make a symbol bad. A symbol's history is cut into slices of time, and of seq.
     """
     step = bar_minutes * MINUTE_MS
-    w = W.partitionBy("symbol").orderBy("ts_ms")
     bad = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
     low = F.least("open", "high", "low", "close") <= 0
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(w)
-    seen = bars.withColumn("_gap", gap)
-    back = F.lit(0)
-    if seq is not None:
-        seen = seen.withColumn("_back", F.col("ts_ms") < F.lag("ts_ms").over(W.partitionBy("symbol").orderBy(seq)))
-        back = F.sum(F.col("_back").cast("int"))
+    seen = gaps(bars, "ts_ms", slice_ms, "_gap")
     out = seen.groupBy("symbol").agg(
-        F.count("*").alias("n_rows"), F.sum((F.col("_gap") == 0).cast("int")).alias("duplicates"), back.alias("unsorted"),
+        F.count("*").alias("n_rows"), F.sum((F.col("_gap") == 0).cast("int")).alias("duplicates"),
         F.sum(bad.cast("int")).alias("bad_ohlc"), F.sum(low.cast("int")).alias("non_positive"),
         F.sum((F.col("_gap") > step).cast("int")).alias("gaps"), F.max(F.col("_gap") / MINUTE_MS).alias("largest_gap_min"),
     )
+    out = out.join(unsorted_rows(bars, seq), "symbol", "left") if seq is not None else out.withColumn("unsorted", F.lit(0))
     out = out.fillna(0, ["duplicates", "unsorted", "bad_ohlc", "non_positive", "gaps", "largest_gap_min"])
     return out.withColumn("ok", F.expr("duplicates = 0 AND unsorted = 0 AND bad_ohlc = 0 AND non_positive = 0"))
 
 
+def unsorted_rows(bars: DataFrame, seq: str, size: int = 1 << 20) -> DataFrame:
+    """(symbol, unsorted): rows earlier than the symbol's row before in seq, by slices of seq with their last time carried on."""
+    by = ["symbol", "_slice"]
+    rows = bars.select("symbol", "ts_ms", F.col(seq).alias("_seq"), F.floor(F.col(seq) / size).alias("_slice"))
+    ends = rows.groupBy(*by).agg(F.max_by("ts_ms", "_seq").alias("_end"))
+    ends = ends.select(*by, F.lag("_end").over(W.partitionBy("symbol").orderBy("_slice")).alias("_carried"))  # a row for each slice
+    last = F.coalesce(F.lag("ts_ms").over(W.partitionBy(*by).orderBy("_seq")), F.col("_carried"))
+    seen = rows.join(ends, by).withColumn("_back", F.col("ts_ms") < last)
+    return seen.groupBy("symbol").agg(F.coalesce(F.sum(F.col("_back").cast("int")), F.lit(0)).alias("unsorted"))
+
+
 def resample(bars: DataFrame, bar_minutes: int) -> DataFrame:
     """Bars of so many minutes: first open, highest high, lowest low, last close, summed volumes, n_minutes."""
     if bar_minutes == 1:

@@ -18,7 +18,7 @@ def by_day(events: DataFrame) -> DataFrame:
 
 def payments(legs: DataFrame, events: DataFrame) -> DataFrame:
     """legs (symbol, sign, notional, entry_ts, exit_ts, ...) with funding_cost: a long pays positive rates."""
-    paid = interval_sum(legs, events, ["symbol"], "entry_ts", "exit_ts", "ts_ms", "funding_rate", "_rates")
+    paid = interval_sum(legs, events, ["symbol"], "entry_ts", "exit_ts", "ts_ms", "funding_rate", "_rates", 90 * DAY_MS)
     return paid.withColumn("funding_cost", F.col("sign") * F.abs("notional") * F.col("_rates")).drop("_rates")
 
 

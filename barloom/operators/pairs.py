@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,17 +75,16 @@ def pair_statistics(closes: DataFrame, pairs: DataFrame, bar_minutes: int, least
 def choose_pairs(stats: DataFrame, top_k: int = 10, per_asset: int = 2, max_p: float = 0.05, min_half_life: float = 60.0, max_half_life: float = 4320.0, min_corr: float = 0.3) -> DataFrame:
     """Greedy choice by (p, asset1, asset2) with so many pairs an asset at most; rank starts at 0.
 
-    The choice is sequential, but over the pairs that pass the filters only, in one native fold.
+    Pairs are numbered in order in Spark; the driver reads them part by part and stops with the top_k-th choice.
     """
     fit = stats.where((F.col("beta") > 0) & (F.col("coint_pvalue") <= max_p) & F.col("half_life_minutes").between(min_half_life, max_half_life) & (F.col("return_corr") >= min_corr))
-    queue = fit.agg(F.sort_array(F.collect_list(F.struct("coint_pvalue", "asset1", "asset2", "pair"))).alias("q"))
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("chosen"))
-    times = lambda acc, a: F.size(F.filter(acc["used"], lambda x: x == a))
-
-    def take(acc, x):
-        free = (F.size(acc["chosen"]) < top_k) & (times(acc, x["asset1"]) < per_asset) & (times(acc, x["asset2"]) < per_asset)
-        more = F.struct(F.concat(acc["used"], F.array(x["asset1"], x["asset2"])).alias("used"), F.concat(acc["chosen"], F.array(x["pair"])).alias("chosen"))
-        return F.when(free, more).otherwise(acc)
-
-    chosen = queue.select(F.posexplode(F.aggregate("q", start, take, lambda acc: acc["chosen"])).alias("rank", "pair"))
-    return chosen.join(fit, "pair")
+    used: Counter = Counter()
+    chosen: list[tuple[int, str]] = []
+    for r in fit.select("coint_pvalue", "asset1", "asset2", "pair").orderBy("coint_pvalue", "asset1", "asset2").toLocalIterator():
+        if len(chosen) == top_k:
+            break
+        if max(used[r.asset1], used[r.asset2]) < per_asset:
+            chosen.append((len(chosen), r.pair))
+            used.update((r.asset1, r.asset2))
+    picked = stats.sparkSession.createDataFrame(chosen, "rank int, pair string")  # top_k rows at most
+    return picked.join(fit, "pair").select("rank", *stats.columns)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import DAY_MS
 from ..functions.costs import CostModel
 from .asof import interval_sum
 
@@ -21,12 +22,12 @@ class PortfolioConfig:
     max_gross_leverage: float = 1.0
 
 
-def with_funding(trades: DataFrame, pairs: DataFrame, funding: DataFrame) -> DataFrame:
-    """trades with rates1 and rates2: the sums of their legs' rates while they are open."""
-    out = trades.join(F.broadcast(pairs.select("pair", "asset1", "asset2")), "pair")
+def with_funding(trades: DataFrame, pairs: DataFrame, funding: DataFrame, slice_ms: int = 90 * DAY_MS) -> DataFrame:
+    """trades with rates1 and rates2: the sums of their legs' rates while they are open, a symbol's history cut into slices."""
+    out = trades.join(pairs.select("pair", "asset1", "asset2"), "pair")
     for n in (1, 2):
         own = out.withColumn("symbol", F.col(f"asset{n}"))
-        out = interval_sum(own, funding, ["symbol"], "entry_ts", "exit_ts", "ts_ms", "funding_rate", f"rates{n}").drop("symbol")
+        out = interval_sum(own, funding, ["symbol"], "entry_ts", "exit_ts", "ts_ms", "funding_rate", f"rates{n}", slice_ms).drop("symbol")
     return out
 
 

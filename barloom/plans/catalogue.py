@@ -140,11 +140,16 @@ def time_slice_traded(spark, sf_dir):
     return own.groupBy("symbol").agg(F.count("*").alias("n"), r6(F.sum("price"), "total"))
 
 
-@query(f"""WITH {BARS}, g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms) AS gap FROM bars)
-SELECT symbol, count(*) AS n_rows, count(*) FILTER (gap = 0) AS duplicates, 0 AS unsorted, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high)) AS bad_ohlc,
-count(*) FILTER (least(open, high, low, close) <= 0) AS non_positive, count(*) FILTER (gap > 3600000) AS gaps, coalesce(max(gap) / 60000.0, 0) AS largest_gap_min, true AS ok FROM g GROUP BY symbol""")
+@query(f"""WITH {TICKS}, bars AS (SELECT symbol, ts_ms - ts_ms % 3600000 AS ts_ms, price AS open, price + (seq % 7 - 1) AS high, price - 1 AS low, price AS close, seq FROM ticks), u AS (SELECT symbol, count(*) FILTER (ts_ms < before) AS unsorted FROM (SELECT symbol, ts_ms, lag(ts_ms) OVER (PARTITION BY symbol ORDER BY seq) AS before FROM bars) GROUP BY symbol),
+g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms) AS gap FROM bars JOIN u USING (symbol))
+SELECT symbol, count(*) AS n_rows, count(*) FILTER (gap = 0) AS duplicates, any_value(unsorted)::INTEGER AS unsorted, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high)) AS bad_ohlc,
+count(*) FILTER (least(open, high, low, close) <= 0) AS non_positive, count(*) FILTER (gap > 3600000) AS gaps, coalesce(max(gap) / 60000.0, 0) AS largest_gap_min, duplicates = 0 AND any_value(unsorted) = 0 AND bad_ohlc = 0 AND non_positive = 0 AS ok FROM g GROUP BY symbol""")
 def validate_bars(spark, sf_dir):
-    return B.validate(hourly(spark, sf_dir), 60)
+    """Every tick as a bar of its hour in the order of the events: duplicates, rows out of order and bad prices included."""
+    ticks = events_as_bars(spark, sf_dir)
+    price = F.col("price")
+    bars = ticks.select("symbol", C.bucket("ts_ms", HOUR).alias("ts_ms"), price.alias("open"), (price + (F.col("seq") % 7 - 1)).alias("high"), (price - 1).alias("low"), price.alias("close"), "seq")
+    return B.validate(bars, 60, "seq", slice_ms=7 * DAY)
 
 
 @query(f"WITH {PAIRS} SELECT pair, ts_ms, open1, close1, open2, close2 FROM legs")
@@ -225,7 +230,7 @@ def interval_sum(spark, sf_dir):
     by = W.partitionBy("user_id").orderBy("ts_ms", "seq")
     spans = ticks.where("symbol = 'signup'").select("user_id", "seq", F.col("ts_ms").alias("entry_ts"), F.lead("ts_ms").over(by).alias("exit_ts")).where("exit_ts IS NOT NULL")
     events = ticks.where("symbol = 'error'").select("user_id", "ts_ms", "price")
-    out = A.interval_sum(spans, events, ["user_id"], "entry_ts", "exit_ts", "ts_ms", "price", "rates")
+    out = A.interval_sum(spans, events, ["user_id"], "entry_ts", "exit_ts", "ts_ms", "price", "rates", slice_ms=7 * DAY)
     return out.select("user_id", "seq", F.round("rates", 4).alias("rates"))
 
 
@@ -277,7 +282,8 @@ _W24 = "WINDOW w AS (PARTITION BY pair ORDER BY ts_ms ROWS 23 PRECEDING)"
 
 @query(f"WITH {PAIRS} SELECT pair, ts_ms, round({_Z}, 6) AS z FROM rows {_W24}")
 def rolling_zscore(spark, sf_dir):
-    return aligned(spark, sf_dir).select("pair", "ts_ms", r6(X.zscore("spread", ["pair"], "ts_ms", 24), "z"))
+    rows = X.blocks(aligned(spark, sf_dir), ["pair"], "ts_ms", 24, 7 * DAY, 96)
+    return X.own_rows(rows.withColumn("z", X.zscore("spread", ["pair", "_block"], "ts_ms", 24))).select("pair", "ts_ms", r6(F.col("z"), "z"))
 
 
 _BARS_Z = BARS + """, q AS (SELECT symbol, ts_ms, close, ln(close) AS x FROM bars), zs AS (SELECT symbol, ts_ms, close, CASE WHEN count(x) OVER w >= 24 AND stddev_samp(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w END AS z
@@ -286,10 +292,11 @@ FROM q WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms ROWS 23 PRECEDING)), ls A
 
 @query(f"WITH {_BARS_Z} SELECT symbol, ts_ms, close, round(z, 6) AS z, CASE WHEN z < -1.5 AND zp >= -1.5 THEN 1 WHEN z > 1.5 AND zp <= 1.5 THEN -1 ELSE 0 END AS signal FROM ls")
 def cross_signal(spark, sf_dir):
-    """The flagship: ticks to hourly bars to a causal z-score of the log close to fresh crosses; one aggregate, one sort."""
+    """The flagship: ticks to hourly bars to a causal z-score of the log close to fresh crosses, block by block of a symbol's history."""
     bars = hourly(spark, sf_dir).select("symbol", "ts_ms", "close").withColumn("x", C.log("close"))
-    rows = bars.withColumn("z", X.zscore("x", ["symbol"], "ts_ms", 24))
-    return rows.withColumn("signal", X.crossing("z", ["symbol"], "ts_ms", 1.5)).select("symbol", "ts_ms", "close", r6(F.col("z"), "z"), "signal")
+    keys = ["symbol", "_block"]
+    rows = X.blocks(bars, ["symbol"], "ts_ms", 24, 7 * DAY, 96).withColumn("z", X.zscore("x", keys, "ts_ms", 24))
+    return X.own_rows(rows.withColumn("signal", X.crossing("z", keys, "ts_ms", 1.5))).select("symbol", "ts_ms", "close", r6(F.col("z"), "z"), "signal")
 
 
 _R12 = "r AS (SELECT *, ln(close1) - lag(ln(close1)) OVER p AS r1, ln(close2) - lag(ln(close2)) OVER p AS r2 FROM rows WINDOW p AS (PARTITION BY pair ORDER BY ts_ms))"
@@ -297,9 +304,11 @@ _R12 = "r AS (SELECT *, ln(close1) - lag(ln(close1)) OVER p AS r1, ln(close2) -
 
 @query(f"WITH {PAIRS}, {_R12} SELECT pair, ts_ms, CASE WHEN count(CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 1 END) OVER w >= 12 THEN round(corr(r1, r2) OVER w, 6) END AS corr FROM r WINDOW w AS (PARTITION BY pair ORDER BY ts_ms ROWS 11 PRECEDING)")
 def rolling_corr(spark, sf_dir):
-    by = W.partitionBy("pair").orderBy("ts_ms")
-    rows = aligned(spark, sf_dir).withColumns({f"r{n}": C.log(f"close{n}") - F.lag(C.log(f"close{n}")).over(by) for n in (1, 2)})
-    return rows.select("pair", "ts_ms", r6(X.rolling_corr("r1", "r2", ["pair"], "ts_ms", 12), "corr"))
+    keys = ["pair", "_block"]
+    by = W.partitionBy(*keys).orderBy("ts_ms")
+    rows = X.blocks(aligned(spark, sf_dir), ["pair"], "ts_ms", 13, 7 * DAY, 96)
+    rows = rows.withColumns({f"r{n}": C.log(f"close{n}") - F.lag(C.log(f"close{n}")).over(by) for n in (1, 2)})
+    return X.own_rows(rows.withColumn("corr", X.rolling_corr("r1", "r2", keys, "ts_ms", 12))).select("pair", "ts_ms", r6(F.col("corr"), "corr"))
 
 
 @query(f"""WITH {PAIRS}, u AS (SELECT *, (spread - lag(spread) OVER (PARTITION BY pair ORDER BY ts_ms)) / 1.5 AS unit FROM rows)
@@ -307,15 +316,16 @@ SELECT pair, ts_ms, round(CASE WHEN count(*) OVER w >= 24 THEN close1 / avg(clos
 round(CASE WHEN count(*) OVER s >= 4 THEN ln(sum(volume1 * close1) OVER s / (sum(volume2 * close2) OVER s + 1e-12)) END, 6) AS dollar_ratio
 FROM u WINDOW w AS (PARTITION BY pair ORDER BY ts_ms ROWS 23 PRECEDING), s AS (PARTITION BY pair ORDER BY ts_ms ROWS 3 PRECEDING)""")
 def rolling_trend_vol_volume(spark, sf_dir):
-    keys, ts = ["pair"], "ts_ms"
-    rows = aligned(spark, sf_dir)
+    keys, ts = ["pair", "_block"], "ts_ms"
+    rows = X.blocks(aligned(spark, sf_dir), ["pair"], ts, 25, 7 * DAY, 96)
     rows = rows.withColumn("unit", (F.col("spread") - F.lag("spread").over(W.partitionBy(*keys).orderBy(ts))) / 1.5)
     roll = lambda x, n, f: X.rolling(x, keys, ts, n, f)
     dollars = lambda n: roll(F.col(f"volume{n}") * F.col(f"close{n}"), 4, F.sum)
-    return rows.select(
-        "pair", "ts_ms", r6(C.ratio("close1", roll(F.col("close1"), 24, F.avg)) - 1, "trend1"),
-        r6(C.ratio(roll(F.col("unit"), 4, F.stddev_samp), roll(F.col("unit"), 24, F.stddev_samp)), "vol_ratio"), r6(C.log(dollars(1) / (dollars(2) + 1e-12)), "dollar_ratio"),
-    )
+    rows = rows.withColumns({
+        "trend1": C.ratio("close1", roll(F.col("close1"), 24, F.avg)) - 1, "vol_ratio": C.ratio(roll(F.col("unit"), 4, F.stddev_samp), roll(F.col("unit"), 24, F.stddev_samp)),
+        "dollar_ratio": C.log(dollars(1) / (dollars(2) + 1e-12)),
+    })
+    return X.own_rows(rows).select("pair", ts, *[r6(F.col(c), c) for c in ("trend1", "vol_ratio", "dollar_ratio")])
 
 
 @query(f"WITH {PAIRS} SELECT pair, ts_ms, round((lead(spread, 6) OVER (PARTITION BY pair ORDER BY ts_ms) - spread) / 1.5, 6) AS y FROM rows")
