@@ -6,10 +6,14 @@ consists of hash buckets and a bucket of words: a word's probability is that of
 bucket's share of the class, times the word's own share of the bucket. A document's score is the sum of the
 conditional log probabilities of all its words.
 
-Counts of all words of the corpus give the vocabulary, the classes (of equal mass, by frequency) and the
-shares. Every word's count is used: those of the HOT most frequent words go to every task, all others are
-joined to the distinct words of each document, by hash. The network is trained on every window of the
-corpus: each task passes once over all its documents, and the tasks' parameters are averaged by their words.
+One pass over the corpus counts all words and, for each bucket, how the SIGNS hash bits of the words next to
+its words fall: sums of signs that are a random projection of its neighbours' distribution. Buckets with like
+neighbours are one class (k-means over at most BUCKETS rows). Every word's count is used: those of the HOT
+most frequent words go to every task, all others are joined to the distinct words of each document, by hash.
+
+The network is trained on every window of the corpus. Documents are dealt by a hash of key and text into
+shards of about SHARD_WORDS words and into ROUNDS parts; in each round every shard of its part trains on from
+the average of the round before. Dealing and order don't depend on the files' layout, so scores don't either.
 """
 
 from __future__ import annotations
@@ -17,24 +21,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, texts_of
+from .common import claim, discard, materialize, texts_of
 from .textscan import Hasher, chunks, join, words
 
 SIDE = 2
 PLACES = 2 * SIDE
 INPUTS = 1024
-KNOWN = 767
+CLASSES = 48
+KNOWN = INPUTS - 1 - CLASSES
 BUCKETS = 1 << 16
-CLASSES = 32
+SIGNS = 16
 HIDDEN = 16
 HOT = 1 << 16
 BATCH = 8192
-RATE = 0.08
+RATE = 0.15
+ROUNDS = 3
+SHARD_WORDS = 4_000_000
+FAN = 32
 _U = np.uint64
 SIZES = (PLACES * INPUTS * HIDDEN, HIDDEN, HIDDEN * CLASSES, CLASSES)
 
@@ -47,33 +56,71 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(begins, starts, side="right") - 1, Hasher(folded)(starts, ends)
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, n): how often each word occurs in all documents."""
+def gather(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(h, n): how often each word occurs in all documents; (bucket, n, s0 ..): the signs of its words' neighbours.
+
+    Null and empty texts have no words; repeated rows count as often as they stand; an empty table gives none.
+    """
+    signs = [f"s{k}" for k in range(SIGNS)]
+    names = ["h", "n", *signs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("pseudo")
+        sums, pairs = np.zeros((SIGNS, BUCKETS), np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             held = [np.zeros(0, _U)]
             for _, raw in chunks(texts_of(batch.column(0))):
-                held.append(word_hashes(raw)[1])
+                doc, h = word_hashes(raw)
+                held.append(h)
+                inside = np.flatnonzero(doc[1:] == doc[:-1])
+                bucket = (h & _U(BUCKETS - 1)).astype(np.int64)
+                for k in range(SIGNS):  # the first half looks at the word before, the second at the word after
+                    own, other = (inside + 1, inside) if k < SIGNS // 2 else (inside, inside + 1)
+                    bit = (h[other] >> _U(32 + k) & _U(1)).astype(np.int64)
+                    sums[k] += 2 * np.bincount(bucket[own][bit == 1], minlength=BUCKETS) - np.bincount(bucket[own], minlength=BUCKETS)
+                pairs += np.bincount(bucket[inside], minlength=BUCKETS)
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            none = pa.nulls(len(h), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), *[none] * SIGNS], names=names)
+        seen = np.flatnonzero(np.abs(sums).sum(0) + pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(pairs[seen]), *[pa.array(x[seen]) for x in sums]], names=names)
+
+    raw = materialize(docs.select(F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names)), "gathered")
+    counts = materialize(raw.where("s0 IS NULL").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    near = materialize(raw.where("s0 IS NOT NULL").groupBy(F.col("h").alias("bucket")).agg(*[F.sum(c).alias(c) for c in names[1:]]), "neighbours")
+    discard(raw)
+    return counts, near
+
+
+def alike(points: np.ndarray, weights: np.ndarray, classes: int, rounds: int = 20, seed: int = 3) -> np.ndarray:
+    """The class of each weighted point by k-means, seeded and spread by squared distances."""
+    r = np.random.default_rng(seed)
+    centres = [points[int(np.argmax(weights))]]
+    far = ((points - centres[0]) ** 2).sum(1)
+    while len(centres) < classes and (far * weights).sum() > 0:
+        chance = far * weights
+        centres.append(points[r.choice(len(points), p=chance / chance.sum())])
+        far = np.minimum(far, ((points - centres[-1]) ** 2).sum(1))
+    own = np.array(centres)
+    for _ in range(rounds):
+        kind = ((own**2).sum(1) - 2 * points @ own.T).argmin(1)
+        mass = np.bincount(kind, weights=weights, minlength=len(own))
+        for k in range(points.shape[1]):
+            total = np.bincount(kind, weights=weights * points[:, k], minlength=len(own))
+            own[:, k] = np.where(mass > 0, total / np.maximum(mass, 1e-12), own[:, k])
+    return kind
 
 
 class Vocabulary:
     """Context ids, classes, buckets' shares and the hot words' own; those of all other words stay in the table of counts."""
 
-    def __init__(self, top: np.ndarray, counts: np.ndarray, buckets: np.ndarray):
-        """top: the HOT most frequent words, in order."""
+    def __init__(self, top: np.ndarray, counts: np.ndarray, buckets: np.ndarray, signs: np.ndarray, pairs: np.ndarray):
+        """top: the HOT most frequent words, in order; signs and pairs: of each bucket's neighbours."""
         known = top[:KNOWN]
         order = np.argsort(known)
         self.known, self.rank = known[order], order.astype(np.int64)
-        by_count = np.argsort(-buckets, kind="stable")
-        mass = np.cumsum(buckets[by_count]) - buckets[by_count]
-        self.kind = np.zeros(BUCKETS, np.int64)
-        self.kind[by_count] = np.minimum(CLASSES - 1, CLASSES * mass // max(1, buckets.sum()))
+        usual = signs.sum(0) / max(1, pairs.sum())
+        self.kind = alike((signs - pairs[:, None] * usual) / (pairs[:, None] + 20.0), buckets.astype(float), CLASSES).astype(np.int64)
         total = np.bincount(self.kind, weights=buckets, minlength=CLASSES) + np.bincount(self.kind, minlength=CLASSES)
         self.share = np.log((buckets + 1) / total[self.kind])
         self.buckets = buckets
@@ -90,8 +137,8 @@ class Vocabulary:
         return np.where(hot, self.hot_own[at], 0), hot
 
     def contexts(self, h: np.ndarray) -> np.ndarray:
-        """The last id is the boundary of a text; words beyond the known share the ids between."""
-        out = KNOWN + (h % _U(INPUTS - 1 - KNOWN)).astype(np.int64)
+        """The last id is the boundary of a text; words beyond the known have the id of their class."""
+        out = KNOWN + self.kind[(h & _U(BUCKETS - 1)).astype(np.int64)]
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             out = np.where(self.known[at] == h, self.rank[at], out)
@@ -109,24 +156,28 @@ class Vocabulary:
         return doc, (h & _U(BUCKETS - 1)).astype(np.int64), line[at[:, None] + np.array(around)]
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, near: DataFrame) -> Vocabulary:
+    """From the tables of gather(); without any word all buckets are one class."""
     top = counts.orderBy(F.desc("n"), "h").limit(HOT).collect()  # HOT rows at most
-    buckets = np.zeros(BUCKETS, np.int64)
+    buckets, table = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, SIGNS + 1))
     for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         buckets[r.b] = r.n
-    return Vocabulary(np.array([r.h for r in top], np.int64).view(_U), np.array([r.n for r in top], np.int64), buckets)
+    for r in near.collect():  # BUCKETS rows at most
+        table[r.bucket] = r[1:]
+    return Vocabulary(np.array([r.h for r in top], np.int64).view(_U), np.array([r.n for r in top], np.int64), buckets, table[:, 1:], table[:, 0])
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 5):
+    def __init__(self, flat: np.ndarray | None = None, seen: np.ndarray | None = None, prior: np.ndarray | None = None, seed: int = 5):
+        """flat: the parameters, seen: the sums of squared gradients that set the steps; prior: where the classes start."""
         if flat is None:
             r = np.random.default_rng(seed)
-            flat = np.concatenate([r.normal(0, 0.3, SIZES[0]), np.zeros(SIZES[1]), r.normal(0, 0.25, SIZES[2]), np.zeros(SIZES[3])])
+            flat = np.concatenate([r.normal(0, 0.3, SIZES[0]), np.zeros(SIZES[1]), r.normal(0, 0.25, SIZES[2]), np.zeros(SIZES[3]) if prior is None else prior])
         self.flat = flat.astype(np.float32)
         a, b, c, _ = np.split(self.flat, np.cumsum(SIZES)[:-1])
         self.table, self.bias, self.out = a.reshape(PLACES * INPUTS, HIDDEN), b, c.reshape(HIDDEN, CLASSES)
         self.prior = self.flat[-CLASSES:]
-        self.seen = np.full(len(self.flat), 1e-2, np.float32)
+        self.seen = np.full(len(self.flat), 1e-2, np.float32) if seen is None else seen.astype(np.float32)
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.bias + self.table[x[:, 0]]
@@ -159,36 +210,77 @@ class Network:
         self.flat -= RATE * g / np.sqrt(self.seen)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> Network:
-    """One pass of every task over all its documents, averaged; without any word the start network."""
+def _trained(vocab: Vocabulary, flat: np.ndarray, seen: np.ndarray):
+    """Of rows (shard, text), a shard after the other: (shard, n, total) with the parameters and steps after its n words, times n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, net = 0, Network()
+        claim("pseudo")
+        shard, n, net = None, 0, Network(flat, seen.copy())
+
+        def told() -> pa.RecordBatch:
+            total = n * np.concatenate([net.flat, net.seen]).astype(np.float64)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n]), pa.array([total], pa.list_(pa.float64()))], names=["shard", "n", "total"])
+
         for batch in batches:
-            for _, raw in chunks(texts_of(batch.column(0))):
-                _, bucket, x = vocab.windows(raw)
-                for k in range(0, len(x), BATCH):
-                    net.step(x[k : k + BATCH], vocab.kind[bucket[k : k + BATCH]])
-                n += len(x)
+            owners = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(owners)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a and owners[a] != shard:
+                    if n:
+                        yield told()
+                    shard, n, net = int(owners[a]), 0, Network(flat, seen.copy())
+                for _, raw in chunks(texts_of(batch.column(1).slice(a, b - a))):
+                    _, bucket, x = vocab.windows(raw)
+                    for k in range(0, len(x), BATCH):
+                        net.step(x[k : k + BATCH], vocab.kind[bucket[k : k + BATCH]])
+                    n += len(x)
         if n:
-            total = n * net.flat.astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["n", "total"])
+            yield told()
 
-    tasks = docs.select(F.col(text).alias("text")).mapInArrow(run, "n long, total array<double>")
-    sums = tasks.select("n", F.posexplode("total").alias("k", "v")).groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v"))
-    flat = Network().flat
-    for r in sums.collect():  # a row for each parameter
-        flat[r.k] = r.v
-    return Network(flat)
+    return run
+
+
+def _summed(states: DataFrame, shards: int) -> tuple[int, np.ndarray | None]:
+    """(words, sum of the totals), FAN shards at a time and level by level, so no task and no driver ever holds more than FAN."""
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        return pd.DataFrame({"shard": [int(key[0])], "n": [int(pdf.n.sum())], "total": [np.sum(np.stack(pdf.total.to_list()), axis=0)]})
+
+    while shards > FAN:
+        states = states.groupBy(F.floor(F.col("shard") / FAN).alias("above")).applyInPandas(add, "shard long, n long, total array<double>")
+        shards = -(-shards // FAN)
+    rows = sorted(states.collect(), key=lambda r: r.shard)  # FAN rows at most
+    return sum(r.n for r in rows), sum((np.array(r.total) for r in rows[1:]), np.array(rows[0].total)) if rows else None
+
+
+def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc_id") -> Network:
+    """One pass over all windows of the corpus in ROUNDS rounds, averaged by words after each.
+
+    Without any word the start network, which scores classes by their mass. Null keys and repeated rows train like any
+    other; ties in the hash of key and text are the same text, so their order doesn't matter.
+    """
+    mass = np.bincount(vocab.kind, weights=vocab.buckets, minlength=CLASSES) + 1
+    net = Network(prior=np.log(mass / mass.sum()))
+    shards = max(1, int(-(-vocab.buckets.sum() // (ROUNDS * SHARD_WORDS))))
+    place = F.xxhash64(F.col(key), F.col(text))
+    rows = docs.select(F.col(text).alias("text"), place.alias("at")).where("text IS NOT NULL")
+    for k in range(ROUNDS):
+        part = rows.where(F.pmod(F.shiftrightunsigned("at", 40), F.lit(ROUNDS)) == k).withColumn("shard", F.pmod("at", F.lit(shards)))
+        dealt = part.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "at", "text").select("shard", "text")
+        n, total = _summed(dealt.mapInArrow(_trained(vocab, net.flat, net.seen), "shard long, n long, total array<double>"), shards)
+        if n:
+            net = Network(*np.split(total / n, 2))
+    return net
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """(key, n_words, log_likelihood, per_word) of every row over its whole text.
 
-    counts: those of count_words(), by default of docs; a word that they lack counts as one of its bucket.
+    counts: those of gather(), by default of docs; a word that they lack counts as one of its bucket.
     """
     flat = net.flat
-    counts = materialize(count_words(docs, text), "words") if counts is None else counts
+    counts = gather(docs, text)[0] if counts is None else counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = Network(flat), TaskContext.get().partitionId() << 40
@@ -232,6 +324,6 @@ def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Null and empty texts have no words, log_likelihood 0 and a null per_word; null keys and repeated rows
     are scored like any other; an empty table gives no rows.
     """
-    counts = materialize(count_words(docs, text), "words")
-    vocab = vocabulary(counts)
-    return score(docs, vocab, train(docs, vocab, text), key, text, counts)
+    counts, near = gather(docs, text)
+    vocab = vocabulary(counts, near)
+    return score(docs, vocab, train(docs, vocab, text, key), key, text, counts)

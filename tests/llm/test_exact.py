@@ -332,9 +332,13 @@ def test_network_gradient():
 def test_scores_are_sums_of_conditionals(spark):
     texts = ["the cat sat on the mat", "the dog sat on the log the end", "zebra quark", ""] * 5
     docs = frame(spark, texts)
-    counts = pseudo.count_words(docs)
+    counts, near = pseudo.gather(docs)
     assert counts.agg(F.sum("n")).first()[0] == sum(len(t.split()) for t in texts)
-    vocab = pseudo.vocabulary(counts)
+    code = lambda w: int(pseudo.word_hashes([w.encode()])[1][0])
+    sat = near.where(F.col("bucket") == code("sat") % pseudo.BUCKETS).first()
+    sign = lambda w, k: 2 * (code(w) >> 32 + k & 1) - 1
+    assert sat.s0 == 5 * (sign("cat", 0) + sign("dog", 0)) and sat[f"s{pseudo.SIGNS - 1}"] == 10 * sign("on", pseudo.SIGNS - 1)
+    vocab = pseudo.vocabulary(counts, near)
     net = pseudo.train(docs, vocab)
     rows = {r.doc_id: r for r in pseudo.score(docs, vocab, net).collect()}
     for k, t in enumerate(texts[:4]):
@@ -350,11 +354,24 @@ def test_scores_are_sums_of_conditionals(spark):
     assert np.allclose(mass[np.unique(vocab.kind)], 1)
 
 
-def test_training_lowers_the_loss(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    vocab = pseudo.vocabulary(pseudo.count_words(docs))
-    mean = lambda net: pseudo.score(docs, vocab, net).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
-    assert mean(pseudo.train(docs, vocab)) > mean(pseudo.Network()) + 0.05
+def test_context_beats_word_counts_in_every_layout(spark, monkeypatch):
+    """The same scores from 1, 4 and 64 partitions and with many shards, well above those of word counts alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts, near = pseudo.gather(docs)
+    vocab = pseudo.vocabulary(counts, near)
+    total = sum(r.n for r in counts.collect())
+    unigram = sum(r.n * np.log(r.n / total) for r in counts.collect()) / total
+    per_word = lambda rows: sum(r.log_likelihood for r in rows.values()) / sum(r.n_words for r in rows.values())
+    first = None
+    for n in (1, 4, 64):
+        rows = {r.doc_id: r for r in pseudo.pseudo_likelihood(docs.repartition(n)).collect()}
+        assert per_word(rows) > unigram + 0.12
+        first = first or rows
+        assert max(abs(rows[k].per_word - r.per_word) for k, r in first.items() if r.n_words) < 1e-3
+    monkeypatch.setattr(pseudo, "SHARD_WORDS", 30_000)
+    monkeypatch.setattr(pseudo, "FAN", 2)
+    many = {r.doc_id: r for r in pseudo.score(docs, vocab, pseudo.train(docs, vocab), counts=counts).collect()}
+    assert per_word(many) > unigram
 
 
 @pytest.mark.parametrize("hot", [1, 1 << 16])
@@ -368,7 +385,7 @@ def test_words_of_one_bucket_have_their_own_shares(spark, monkeypatch, hot):
     often, rare = next(ws for ws in held.values() if len(ws) == 2)
     texts = [f"{often} " * 40 + rare, f"the {rare} the", f"the {often} the", "the", ""]
     docs = frame(spark, texts)
-    vocab, net = pseudo.vocabulary(pseudo.count_words(docs)), pseudo.Network()
+    vocab, net = pseudo.vocabulary(*pseudo.gather(docs)), pseudo.Network()
     rows = {r.doc_id: r for r in pseudo.score(docs, vocab, net).collect()}
     own = {often: 41 / 43, rare: 2 / 43, "the": 1.0}
     for k, t in enumerate(texts[:4]):
@@ -378,17 +395,11 @@ def test_words_of_one_bucket_have_their_own_shares(spark, monkeypatch, hot):
     assert rows[4].log_likelihood == 0
 
 
-def test_training_goes_on_without_restart(spark):
-    """One task over more texts than a round had: the same parameters as one pass by hand."""
-    texts = [f"a w{k % 7} b" for k in range(12_000)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    vocab = pseudo.vocabulary(pseudo.count_words(docs))
-    net = pseudo.Network()
-    for first in range(0, len(texts), 10_000):
-        _, bucket, x = vocab.windows([t.encode() for t in texts[first : first + 10_000]])
-        for k in range(0, len(x), pseudo.BATCH):
-            net.step(x[k : k + pseudo.BATCH], vocab.kind[bucket[k : k + pseudo.BATCH]])
-    assert np.allclose(pseudo.train(docs, vocab).flat, net.flat, atol=1e-4)
+def test_sums_of_many_shards(spark):
+    rows = [(k, k + 1, [float(k), 1.0]) for k in range(70)]
+    n, total = pseudo._summed(spark.createDataFrame(rows, "shard long, n long, total array<double>"), 70)
+    assert n == 70 * 71 // 2 and total.tolist() == [sum(range(70)), 70.0]
+    assert pseudo._summed(spark.createDataFrame([], "shard long, n long, total array<double>"), 1) == (0, None)
 
 
 # ---------------------------------------------------------------- rules
