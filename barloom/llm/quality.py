@@ -3,8 +3,8 @@
 A passage is PASSAGE bytes of the text; it is encoded by the frequencies of its byte-class bigrams and of
 words that recur a few words later, then by a dense layer. Gated attention weighs the passages of a
 document, learned from document labels alone, and the weighted representation is scored. Trained in numpy
-on at most TRAIN_DOCS labelled documents (those whose keys hash lowest), of each at most TRAIN_PASSAGES
-passages spread evenly; every document is scored over its whole text.
+on all passages of at most TRAIN_DOCS labelled documents (those whose keys hash lowest); every document is
+scored over its whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from .textscan import Hasher, chunks, join, words
 
 PASSAGE = 512
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 48
 THRESHOLD = 0.3
 LAGS = (1, 2, 3, 4, 6, 8)
 #: Byte classes with their bytes; other letters, punctuation and the bytes of longer characters by rule.
@@ -159,10 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             names, marks = batch.column("key").to_pylist(), batch.column("label").to_pylist()
             for first, raw in chunks(texts_of(batch.column("text"))):
                 x, count = passages(raw)
-                bags = []
-                for k, n in zip(np.cumsum(count) - count, count):
-                    at = np.unique(np.linspace(k, k + n - 1, min(n, TRAIN_PASSAGES)).astype(int))
-                    bags.append(x[at].astype(np.float16).tobytes())
+                bags = [x[k : k + n].astype(np.float16).tobytes() for k, n in zip(np.cumsum(count) - count, count)]
                 at = slice(first, first + len(raw))
                 yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in names[at]]), pa.array(marks[at], pa.float64()), pa.array(bags, pa.binary())], names=["key", "label", "bag"])
 
@@ -188,7 +184,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is at least threshold, with all their columns."""
+    """The rows whose score is at least threshold, with all their columns.
+
+    Null texts score as empty ones, null keys and repeated rows like any other; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
