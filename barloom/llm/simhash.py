@@ -28,6 +28,7 @@ from .common import claim, components, materialize
 MAX_BITS = 2
 SHINGLE = 3
 CELL_MAX = 128
+SALT = 16
 BLOCKS = (7, 7, 6, 6, 6)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -117,13 +118,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     their row and never name a component; repeated rows stay; an empty table gives no rows.
     """
     marks = materialize(add_fingerprints(docs, text, key), "fingerprints")
-    distinct = materialize(marks.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
+    distinct = materialize(marks.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "distinct")
     edges = links(distinct.select("fp"))
     linked = components(edges)
     named = linked.join(distinct, linked.id == distinct.fp).select("fp", "component", "first")
     names = named.groupBy("component").agg(F.min("first").alias("name"))
-    by_fp = distinct.join(named.join(names, "component").select("fp", "name"), "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"))
-    return marks.join(by_fp, "fp").select(key, "fp", "component_id")
+    shared = distinct.join(named.join(names, "component").select("fp", "name"), "fp", "left").where("n > 1 OR name IS NOT NULL")
+    shared = shared.select("fp", F.coalesce("name", "first").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    salted = marks.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))  # copies share a fingerprint, but not a key
+    return salted.join(shared, ["fp", "_salt"], "left").select(key, "fp", F.coalesce("component_id", key).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
