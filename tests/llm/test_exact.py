@@ -305,6 +305,26 @@ def test_short_items_are_caught_in_mid_sentence(spark):
     assert leaked(spark, "Tom sold nine old cars", "inly to Tom sold nine old cars As") == {0}
 
 
+def test_very_short_items_are_caught_verbatim(spark):
+    assert leaked(spark, "What is 2+2?", "so. What is 2+2? four", "what is 2 + 3", "What is it") == {0}
+    assert leaked(spark, "Capital of France?", "The capital of France is", "Capital of Spain") == {0}
+    assert leaked(spark, "Of what", "of what") == set()
+
+
+def test_windows_that_many_items_share(spark, monkeypatch):
+    """Items that differ behind a long common start: the same leaks whether common windows propose or not."""
+    start = "Choose the right answer to the following question about the old town and its river"
+    items = [(k, f"{start} where word{k} stands by other{k} near {'thing' * (k % 3 + 1)}{k} now") for k in range(12)] + [(50, start)]
+    docs = frame(spark, [f"x {items[3][1]} y", f"x {items[5][1]} {items[7][1]}", f"and {start} only", "nothing of it " * 9])
+    rows = spark.createDataFrame(items, "item_id long, text string")
+    plain = {tuple(r) for r in decontam.leaks(docs, rows).collect()}
+    monkeypatch.setattr(decontam, "COMMON", 4)
+    found = {tuple(r) for r in decontam.leaks(docs, rows).collect()}
+    own = {(0, 3), (1, 5), (1, 7), (2, 50)}
+    assert own <= {r[:2] for r in found} <= {r[:2] for r in plain} and {r for r in plain if r[:2] in own} <= found
+    assert not any(d == 3 for d, *_ in plain)
+
+
 def test_leaks_against_brute_force(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     own = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if i.text in d.text}
