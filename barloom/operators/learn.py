@@ -122,17 +122,28 @@ def accept_meta(trades: DataFrame, model: PipelineModel | None, columns: list[st
 
 
 def save_bundle(models: list[PipelineModel], meta: dict, path: str) -> None:
-    """Models and a description with a version; the description is one line of text in a folder of its own."""
+    """Models and a description with a version and the models' checksums, one line of text in a folder of its own."""
     for k, m in enumerate(models):
         m.write().overwrite().save(f"{path}/model-{k}")
     spark = SparkSession.active()
-    spark.createDataFrame([(json.dumps(meta | {"version": 1, "n_models": len(models)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
+    meta = meta | {"version": 1, "n_models": len(models), "digests": model_digests(spark, path)}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
+
+
+def model_digests(spark: SparkSession, path: str) -> dict[str, str]:
+    """SHA-256 of the data files of each model, by their place in the bundle; a bundle has a few."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{path}/model-*")
+    name = F.regexp_extract("path", r"(model-[0-9]+/.*)$", 1)
+    return {r.name: r.digest for r in files.select(name.alias("name"), F.sha2("content", 256).alias("digest")).orderBy("name").collect()}
 
 
 def load_bundle(spark, path: str) -> tuple[list[PipelineModel], dict]:
+    """The models and the description; a bundle that is incomplete or whose files have changed is refused."""
     meta = json.loads(spark.read.text(f"{path}/bundle").first().value)
     if meta.get("version") != 1 or not meta.get("pairs") or not meta.get("n_models"):
         raise ValueError("not a complete bundle of version 1")
+    if model_digests(spark, path) != meta.get("digests"):
+        raise ValueError("the bundle's models are not those that were saved")
     return [PipelineModel.load(f"{path}/model-{k}") for k in range(meta["n_models"])], meta
 
 

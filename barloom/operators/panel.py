@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,17 @@ def numbered_symbols(rows: DataFrame) -> DataFrame:
     return rows.select("symbol").distinct().withColumn("s_idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("symbol")) - 1)
 
 
+def symbol_union(*frames: DataFrame) -> DataFrame:
+    """(symbol): every symbol of any frame once; each frame gives its own before they meet."""
+    return reduce(DataFrame.unionByName, [f.select("symbol").distinct() for f in frames]).distinct()
+
+
+def uncovered_months(days: DataFrame, covered: DataFrame) -> DataFrame:
+    """(symbol, month): months with traded days (symbol, day_ms, quote_volume) that covered (symbol, month) lacks."""
+    traded = days.where("quote_volume > 0").select("symbol", F.date_format(F.timestamp_millis("day_ms"), "yyyy-MM").alias("month")).distinct()
+    return traded.join(covered.select("symbol", "month"), ["symbol", "month"], "left_anti")
+
+
 def build_panel(daily: DataFrame, funding: DataFrame | None, start_ms: int, end_ms: int) -> DataFrame:
     """Panel of daily rows (symbol, ts_ms or day_ms, close[, quote_volume, high]); days without volume count as not traded."""
     if "day_ms" not in daily.columns:

@@ -942,5 +942,36 @@ def learned_entries(spark, sf_dir):
     return scored.where(F.col("ts_ms") >= split).select("pair", "ts_ms", "pred_ret", "unc", "signal")
 
 
+@query()
+def learned_walk_forward(spark, sf_dir):
+    """Fit on the first days, thresholds on the next, trades on the last: hourly bars, trees of a few rounds."""
+    from ..operators import learn as L
+    from . import learned as LW
+
+    bars = hourly(spark, sf_dir).withColumn("taker_buy_volume", F.col("volume") * F.pmod(F.floor(F.col("ts_ms") / HOUR), F.lit(7)) / 7)
+    start = 1_704_067_200_000
+    plan = LW.Plan(L.LearnConfig(horizon=3, min_rows=200, rounds=3, ensemble=2, z_grid=(1.0, 1.5), cost_grid=(0.0, 0.5), penalty=0.0, val_fraction=0.4), ("z_4h", "z_12h", "z_24h", "z_mom_1"), 60, adf=False)
+    window = (0, start, start + 22 * DAY, start + 22 * DAY, start + 30 * DAY)
+
+    def fitted(end: int) -> DataFrame:
+        rows = P.log_pairs(B.time_slice(bars, start, end), event_pairs(bars))
+        fits = P.hedges(rows)
+        return event_pairs(bars).join(fits, "pair").join(P.half_life(rows, fits, 60), "pair").select("pair", "asset1", "asset2", "alpha", "beta", "half_life_minutes")
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{_scratch(spark)}/learned/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    names = ["grid_idx", "pair", "side", "entry_ts", "exit_ts", "exit_reason", "gross_ret", "net_ret", "edge", "unc"]
+    trades = LW.learned_window(bars, None, fitted(window[2]), fitted(start + int(0.6 * 22 * DAY)), window, 1, plan, keep)
+    if trades is None:
+        return spark.createDataFrame([], "grid_idx int, pair string, side int, entry_ts long, exit_ts long, exit_reason string, gross_ret double, net_ret double, edge double, unc double")
+    return rounded(trades.select(*names), 6, "gross_ret", "net_ret", "edge", "unc")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_signal(spark, sf_dir)
+
+
+from . import roundtrips  # noqa: E402, F401  registers the queries over files

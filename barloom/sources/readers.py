@@ -17,8 +17,8 @@ BASE_ALIASES = {"XBT": "BTC", "XDG": "DOGE"}
 
 
 def stem_of(path: Column, suffix: str) -> Column:
-    """The symbol in a file's name before the suffix."""
-    return F.regexp_extract(path, r"([^/]+)" + suffix + r"(?:\.[^/]*)?$", 1)
+    """The symbol before the suffix, in a file's name or in that of the folder that Spark writes for one."""
+    return F.regexp_extract(path, r"([^/=]+)" + suffix + r"(?:\.[^/]*)?(?:/[^/]*)?$", 1)
 
 
 def _files(spark: SparkSession, path: str, schema: str, suffix: str) -> DataFrame:

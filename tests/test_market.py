@@ -275,6 +275,36 @@ def test_learned_entries(spark, pair_bars, tmp_path):
     L.save_bundle(models, {"pairs": ["P0"], "valid_until_ms": 10}, f"file://{tmp_path}/b")
     again, meta = L.load_bundle(spark, f"file://{tmp_path}/b")
     assert len(again) == 2 and L.allows_entries(meta, 9) and not L.allows_entries(meta, 10)
+    L.fit_ensemble(train.where("z_4h > 0"), columns, 7, cfg)[0].write().overwrite().save(f"file://{tmp_path}/b/model-1")
+    with pytest.raises(ValueError, match="not those"):
+        L.load_bundle(spark, f"file://{tmp_path}/b")
+
+
+def test_choices_are_made_once(spark, tmp_path):
+    from barloom.plans.learned import cached
+
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert [cached(f"file://{tmp_path}", d, make).count() for d in ("x", "x", "y")] == [3, 3, 3] and len(made) == 2
+
+
+def test_blocks_equal_whole_histories(spark):
+    """Windows over blocks, gaps over slices and sums over slices against whole keys, with a hot key."""
+    r = np.random.default_rng(4)
+    rows = [("hot", int(t), float(x)) for t, x in zip(np.cumsum(r.integers(1, 9, 900)), r.normal(size=900))] + [(f"k{k}", k, 1.0) for k in range(5)]
+    frame = spark.createDataFrame(rows, "symbol string, ts_ms long, x double").repartition(5)
+    for size in (20, 64):
+        cut = X.blocks(frame, ["symbol"], "ts_ms", 20, 100, size)
+        assert cut.groupBy("symbol", "_block").count().agg(F.max("count")).first()[0] <= size + 20
+        z = lambda f, keys: f.withColumn("z", X.zscore("x", keys, "ts_ms", 20))
+        got = X.own_rows(z(cut, ["symbol", "_block"])).orderBy("symbol", "ts_ms").toPandas()
+        pd.testing.assert_frame_equal(got[["symbol", "ts_ms", "x", "z"]], z(frame, ["symbol"]).orderBy("symbol", "ts_ms").toPandas())
+    steps = {(a.symbol, a.ts_ms): a.gap for a in B.gaps(frame, "ts_ms", 50, "gap").collect()}
+    hot = sorted(t for s, t, _ in rows if s == "hot")
+    assert steps["hot", hot[0]] is None and all(steps["hot", b] == b - a for a, b in zip(hot, hot[1:]))
+    sums = {(a.symbol, a.ts_ms): a._sum for a in A.running_sums(frame, ["symbol"], "ts_ms", "x", 70).collect()}
+    total = np.cumsum([x for s, _, x in rows if s == "hot"])
+    assert all(abs(sums["hot", t] - v) < 1e-9 for t, v in zip(hot, total))
 
 
 def test_meta_filter(spark):
