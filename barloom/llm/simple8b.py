@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokens import encoder
@@ -184,10 +184,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: s
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files: ids are little-endian unsigned 32-bit words."""
     files = spark.read.schema(_SEGMENTS).parquet(path)
-    sums = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row for each file
-    bases, total = {}, 0
-    for part, n in sums:
-        bases[part], total = total, total + n
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    bases = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +195,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 raw = memoryview(ids.tobytes())
                 cells = [bytes(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                starts = bases[r["part"]] + r["before"] + ends - lengths
+                starts = r["base"] + r["before"] + ends - lengths
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts), pa.array(lengths), pa.array(cells, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return files.select("part", "before", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    placed = files.select("part", "before", "doc_ids", "lengths", "payload").join(F.broadcast(bases), "part")  # 12 bytes for each file
+    return placed.select("base", "before", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
