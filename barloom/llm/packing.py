@@ -123,8 +123,8 @@ _KINDS = [pa.int64()] * 6 + [pa.binary()]
 def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, windows: int = OPEN, gap: int = GAP) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of all documents, each id in one.
 
-    Null and empty texts hold the end id alone; null keys and repeated rows are documents of their own; an
-    empty table gives no rows. ids are little-endian unsigned 32-bit words. A sequence's pieces lie gapless
+    Keys are integers, any other that doesn't cast to one is an error. Null and empty texts hold the end id alone; null
+    keys and repeated rows are documents of their own; an empty table gives no rows. ids are little-endian unsigned 32-bit words. A sequence's pieces lie gapless
     from offset 0; a consumer pads it to capacity unless its length is a power of two.
     """
 

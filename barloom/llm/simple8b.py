@@ -146,7 +146,7 @@ _SEGMENTS = "part int, segment int, before long, n_ids long, doc_ids array<long>
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, append end_id, and write the ids in ascending order of key to files at path.
 
-    Null and empty texts hold the end id alone; a null key comes first; rows that repeat a key stay, in
+    Keys are integers, any other that doesn't cast to one is an error. Null and empty texts hold the end id alone; a null key comes first; rows that repeat a key stay, in
     order of their texts; an empty table writes a folder without segments.
     """
 
