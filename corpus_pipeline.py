@@ -10,27 +10,39 @@ from barloom.llm.queries import tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier doesn't reject."""
+    """The documents that the quality classifier doesn't reject.
+
+    Null and empty texts are scored like any other, null keys and repeated rows stay or go by their text; of several
+    labels of a key the smallest holds; without labels of both classes nothing is learnt and all scores are equal.
+    """
     return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines that repeat an earlier line; those left without a word go."""
+    """The documents without lines that repeat an earlier line; those left without a word go.
+
+    Rows with a null key keep their text; null and empty texts stay; rows that repeat key and text count as one
+    document and stay alike; of lines that tie the one with the smallest key, text hash and line number stays.
+    """
     return linededup.dedup_lines(docs).apply()
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
+    """The first document of each group of near copies: fingerprints of 3-word shingles within two bits.
+
+    Null and empty texts are one group, of which the smallest key stays; rows with a null key stay; rows that repeat the key that
+    stays all stay; an empty table gives none.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark passage."""
+    """The documents that hold no benchmark passage; null and empty texts and null keys stay, rows that repeat a key go together."""
     return decontam.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 4096 ids, with their ids."""
+    """The pieces of sequences of at most 4096 ids, with their ids; null texts hold the end id alone, every row is a document of its own."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
