@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Characters that end a word: space and \t \n \v \f \r.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
+#: How many tasks the nodes of one component are dealt to.
+SALT = 16
 _own_dir: str | None = None
 _swept: set[str] = set()
 _owner: tuple | None = None
@@ -106,8 +108,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("new"), F.col("component").alias("old"))
-        jump = step.select(F.col("id").alias("via"), F.col("new").alias("far"))
-        new = materialize(step.join(jump, step.new == jump.via, "left").select("id", F.least("new", F.coalesce("far", "new")).alias("component"), "old"), "labels")
+        jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
+        jump = step.select("new").distinct().join(jump, "new").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salted = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))  # a component's nodes share its label
+        new = materialize(salted.join(jump, ["new", "salt"], "left").select("id", F.least("new", F.coalesce("far", "new")).alias("component"), "old"), "labels")
         moved = new.where("component <> old").limit(1).count()
         discard(labels)
         labels = new.select("id", "component")
