@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import product_of_growth, ratio
+from ..functions.columns import bucket, product_of_growth, ratio
 from ..functions.normal import deflated_sharpe, probabilistic_sharpe
 
 YEAR = 365.0
@@ -50,18 +52,51 @@ def against_chance(rows: DataFrame, keys: tuple[str, ...], n_trials: int = 1, r:
     return stats.mapInPandas(run, f"{kinds}, psr double, dsr double")
 
 
-def drawdowns(points: DataFrame, keys: tuple[str, ...], order: str, equity: str = "equity", start: float | None = None) -> DataFrame:
-    """(keys, max_drawdown): the deepest fall from a peak, as a share of it; start is a peak before the first point."""
-    by = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    peak = F.max(equity).over(by)
-    if start is not None:
-        peak = F.greatest(peak, F.lit(start))
-    return points.withColumn("_fall", ratio(peak - F.col(equity), peak)).groupBy(*keys).agg(F.greatest(F.max("_fall"), F.lit(0.0)).alias("max_drawdown"))
+def _sliced(rows: DataFrame, ts: str, slice_ms: int | None) -> DataFrame:
+    """rows with _slice, the time slice of ts; a missing time comes before all others, as in a sort."""
+    return rows.withColumn("_slice", F.lit(0) if slice_ms is None else F.coalesce(bucket(ts, slice_ms), F.lit(-(1 << 62))))
+
+
+def _same(keys: tuple[str, ...]):
+    """Rows a and b of the same keys; missing keys are a group of their own."""
+    return reduce(lambda x, k: x & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), keys, F.lit(True))
+
+
+def _of_slices(rows: DataFrame, keys: tuple[str, ...], value, carried) -> DataFrame:
+    """rows with _before, carried() over the slices before their own of value, an aggregate of each slice."""
+    by = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "_slice").agg(value.alias("_v")).select(*keys, "_slice", carried("_v").over(by).alias("_before"))  # a row for each slice
+    return rows.alias("a").join(before.alias("b"), _same((*keys, "_slice"))).select("a.*", "b._before")
 
 
-def running_equity(trades: DataFrame, keys: tuple[str, ...], start: float, order: tuple[str, ...] = ("exit_ts", "pair")) -> DataFrame:
-    by = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return trades.withColumn("equity", F.lit(start) + F.sum("net_pnl").over(by))
+def drawdowns(points: DataFrame, keys: tuple[str, ...], order: str | tuple[str, ...], equity: str = "equity", start: float | None = None, slice_ms: int | None = None) -> DataFrame:
+    """(keys, max_drawdown): the deepest fall from a peak, as a share of it; start is a peak before the first point.
+
+    slice_ms cuts a long key into slices of that time of the first order column, and carries the peak from slice to slice.
+    """
+    order = (order,) if isinstance(order, str) else order
+    by = W.partitionBy(*keys, "_slice").orderBy(*order).rangeBetween(W.unboundedPreceding, W.currentRow)
+    own = _sliced(points, order[0], slice_ms)
+    if slice_ms is None:
+        own = own.withColumn("_before", F.lit(None).cast("double"))
+    else:
+        own = _of_slices(own, keys, F.max(equity), F.max)
+    peak = F.greatest(F.max(equity).over(by), F.col("_before"), F.lit(start).cast("double"))
+    return own.withColumn("_fall", ratio(peak - F.col(equity), peak)).groupBy(*keys).agg(F.greatest(F.max("_fall"), F.lit(0.0)).alias("max_drawdown"))
+
+
+def running_equity(trades: DataFrame, keys: tuple[str, ...], start: float, order: tuple[str, ...] = ("exit_ts", "pair"), slice_ms: int | None = None) -> DataFrame:
+    """trades with the equity after each; those that tie in all of order have the equity after the last of them.
+
+    slice_ms cuts a long key into slices of that time of the first order column, and carries the sum from slice to slice.
+    """
+    by = W.partitionBy(*keys, "_slice").orderBy(*order).rangeBetween(W.unboundedPreceding, W.currentRow)
+    own = _sliced(trades, order[0], slice_ms)
+    total = F.sum("net_pnl").over(by)
+    if slice_ms is not None:
+        own = _of_slices(own, keys, F.sum("net_pnl"), F.sum)
+        total = F.coalesce(F.col("_before") + total, "_before", total)
+    return own.withColumn("equity", F.lit(start) + total).drop("_slice", "_before")
 
 
 def _bootstrap(rows: DataFrame, keys: tuple[str, ...], r: str, draw) -> DataFrame:
