@@ -14,6 +14,8 @@ from ..functions.columns import bucket, product_of_growth, ratio
 from ..functions.normal import deflated_sharpe, probabilistic_sharpe
 
 YEAR = 365.0
+#: Values of a group that one task draws from, and distinct values of a slice of a larger one.
+RESAMPLED = 1 << 18
 
 
 def sharpe(r: str = "ret", periods: float = YEAR):
@@ -99,18 +101,26 @@ def running_equity(trades: DataFrame, keys: tuple[str, ...], start: float, order
     return own.withColumn("equity", F.lit(start) + total).drop("_slice", "_before")
 
 
+def _kinds(rows: DataFrame, keys: tuple[str, ...]) -> str:
+    return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+
 def _bootstrap(rows: DataFrame, keys: tuple[str, ...], r: str, draw) -> DataFrame:
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    times = [c for c in ("day_ms", "d_idx", "exit_ts") if c in rows.columns]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values([c for c in ("day_ms", "d_idx", "exit_ts") if c in pdf] or [r])[r].dropna().to_numpy(float)
+        x = pdf.sort_values([*times, r])[r].dropna().to_numpy(float)
         return pd.DataFrame([[*key, *draw(x)]], columns=[*keys, "mean", "lower", "upper"])
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, mean double, lower double, upper double")
+    return rows.select(*dict.fromkeys([*keys, *times, r])).groupBy(*keys).applyInPandas(run, f"{_kinds(rows, keys)}, mean double, lower double, upper double")
 
 
 def bootstrap_mean(rows: DataFrame, keys: tuple[str, ...], r: str = "ret", n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """(keys, mean, lower, upper): percentile interval of the mean from seeded resamples, drawn in bounded pieces."""
+    """(keys, mean, lower, upper): percentile interval of the mean from seeded resamples.
+
+    A group of at most RESAMPLED values is drawn from in one task, in order of time. Larger ones are cut into slices of
+    values: see _bootstrap_slices().
+    """
 
     def draw(x: np.ndarray) -> tuple:
         if not len(x):
@@ -121,7 +131,52 @@ def bootstrap_mean(rows: DataFrame, keys: tuple[str, ...], r: str = "ret", n_boo
             means.append(x[g.integers(0, len(x), size=(min(piece, n_boot - k), len(x)))].mean(axis=1))
         return (x.mean(), *np.quantile(np.concatenate(means), [alpha / 2, 1 - alpha / 2]))
 
-    return _bootstrap(rows, keys, r, draw)
+    held = rows.withColumn(r, F.when(~F.isnan(r), F.col(r)))
+    counts = held.groupBy(*keys, r).agg(F.count(r).alias("_c"))  # equal values meet before the shuffle
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(r).alias("_distinct"))
+    of = lambda own, kept: own.alias("a").join(F.broadcast(sizes.where(kept)).alias("b"), _same(keys))  # noqa: E731  # a row for each group
+    few = _bootstrap(of(held, F.col("_n") <= RESAMPLED).select("a.*"), keys, r, draw)
+    many = of(counts, F.col("_n") > RESAMPLED).where(F.col(r).isNotNull()).select(*[f"a.{c}" for c in keys], F.col(r).cast("double").alias("_x"), "_c", "_n", "_distinct")
+    return few.unionByName(_bootstrap_slices(many, keys, n_boot, seed, alpha))
+
+
+def _bootstrap_slices(counts: DataFrame, keys: tuple[str, ...], n_boot: int, seed: int, alpha: float) -> DataFrame:
+    """The same interval of large groups: counts has each value _x once with its count _c, the group's _n and _distinct.
+
+    Values are dealt to slices by their hash. A resample of n values takes a multinomial number of them from each slice, and then
+    that many from the slice's own values: the same distribution as n draws from all, and no task holds more than a slice.
+    """
+    sliced = counts.withColumn("_slice", F.pmod(F.xxhash64("_x"), F.ceil(F.col("_distinct") / RESAMPLED)))
+    kinds = _kinds(counts, keys)
+    by = [*keys, "_slice"]
+
+    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_slice")
+        weights = pdf["_w"].to_numpy(np.int64)
+        taken = np.random.default_rng([seed, 0]).multinomial(weights.sum(), weights / weights.sum(), size=n_boot)
+        return pdf[by].assign(_taken=list(taken.T))
+
+    def draw(key: tuple, pdf: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_x")
+        x, c = pdf["_x"].to_numpy(float), pdf["_c"].to_numpy(np.int64)
+        g, ends, sums = np.random.default_rng([seed, 1 + int(pdf["_slice"].iloc[0])]), np.cumsum(c), np.empty(n_boot)
+        for k, m in enumerate(taken["_taken"].iloc[0]):
+            if 8 * len(x) <= ends[-1]:  # few values, each many times
+                sums[k] = g.multinomial(m, c / ends[-1]) @ x
+            else:
+                at = g.integers(0, ends[-1], m)
+                sums[k] = x[at if ends[-1] == len(x) else np.searchsorted(ends, at, side="right")].sum()
+        return pdf[by][:1].assign(_total=float(c @ x), _n=int(ends[-1]), _sums=[sums])
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_slice")
+        n, means = pdf["_n"].sum(), np.add.reduce(pdf["_sums"].to_list()) / pdf["_n"].sum()
+        return pdf[list(keys)][:1].assign(mean=pdf["_total"].sum() / n).assign(**dict(zip(("lower", "upper"), np.quantile(means, [alpha / 2, 1 - alpha / 2]))))
+
+    weights = sliced.groupBy(*by).agg(F.sum("_c").alias("_w"))  # a row for each slice, as in all that follows
+    dealt = weights.groupBy(*keys).applyInPandas(deal, f"{kinds}, _slice long, _taken array<long>")
+    own = sliced.select(*by, "_x", "_c").groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(draw, f"{kinds}, _slice long, _total double, _n long, _sums array<double>")
+    return own.groupBy(*keys).applyInPandas(gather, f"{kinds}, mean double, lower double, upper double")
 
 
 def block_bootstrap_mean(rows: DataFrame, keys: tuple[str, ...], r: str = "ret", block: int = 10, n_boot: int = 5000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
@@ -163,13 +218,13 @@ def maker_shares(trades: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return trades.groupBy(*keys).agg(*[v.alias(k) for k, v in out.items()])
 
 
-def run_summary(trades: DataFrame, daily: DataFrame, keys: tuple[str, ...], start_equity: float, n_trials: int = 1, n_boot: int = 10_000, order: tuple[str, ...] = ("exit_ts", "pair")) -> DataFrame:
+def run_summary(trades: DataFrame, daily: DataFrame, keys: tuple[str, ...], start_equity: float, n_trials: int = 1, n_boot: int = 10_000, order: tuple[str, ...] = ("exit_ts", "pair"), slice_ms: int | None = None) -> DataFrame:
     """A run's whole summary: trade_summary() with the interval of the mean net return in bp, drawdown, and the ratios of its days.
 
-    daily: (keys, day_ms, ret) of every day of the run. A run without trades has zeros.
+    daily: (keys, day_ms, ret) of every day of the run. A run without trades has zeros. slice_ms cuts long runs as in drawdowns().
     """
     own = trade_summary(trades, keys, start_equity)
-    fall = drawdowns(running_equity(trades, keys, start_equity, order).withColumn("_at", F.struct(*order)), keys, "_at", start=start_equity)
+    fall = drawdowns(running_equity(trades, keys, start_equity, order, slice_ms), keys, order, start=start_equity, slice_ms=slice_ms)
     ci = bootstrap_mean(trades, keys, "net_ret", n_boot).select(*keys, (F.col("lower") * 1e4).alias("ci_lower_bp"), (F.col("upper") * 1e4).alias("ci_upper_bp"))
     chance = against_chance(daily, keys, n_trials).select(*keys, F.col("n").alias("n_days"), "psr", "dsr")
     ratios = daily.where("ret IS NOT NULL").groupBy(*keys).agg(sharpe().alias("sharpe"), sortino().alias("sortino"))

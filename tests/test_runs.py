@@ -1,6 +1,7 @@
 """Summaries of runs on tables that the driver's smallest ones don't show."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,3 +29,31 @@ def test_trades_that_tie_share_their_equity(spark):
     found = T.running_equity(rows, ("label",), 100.0)
     assert [r.equity for r in found.orderBy("exit_ts").collect()] == [98.0, 98.0, 99.0]
     assert T.drawdowns(found, ("label",), ("exit_ts", "pair"), start=100.0).first().max_drawdown == pytest.approx(0.02)
+
+
+def test_intervals_of_large_groups_are_drawn_by_slices(spark, monkeypatch):
+    """No task holds a large group: what its slices give has the mean and the spread of draws from all of it."""
+    r = np.random.default_rng(5)
+    own = {"few": r.integers(0, 9, 3000) / 100, "many": r.normal(0.01, 0.03, 3000), "small": r.normal(0, 1, 40), "none": np.array([None])}
+    rows = spark.createDataFrame([(k, i, None if v is None else float(v)) for k, x in own.items() for i, v in enumerate(x)], "label string, exit_ts long, ret double")
+    plain = {x.label: x for x in T.bootstrap_mean(rows, ("label",), n_boot=3000).collect()}
+    monkeypatch.setattr(T, "RESAMPLED", 100)
+    first, again = ({x.label: x for x in T.bootstrap_mean(rows, ("label",), n_boot=3000).collect()} for _ in range(2))
+    assert first == again and set(first) == set(own)
+    assert first["small"] == plain["small"] and first["none"][1:] == (0.0, 0.0, 0.0)
+    for k in ("few", "many"):
+        width = 2 * 1.96 * own[k].std() / 3000**0.5
+        assert first[k].mean == pytest.approx(own[k].mean()) and first[k].upper - first[k].lower == pytest.approx(width, rel=0.1)
+        assert first[k].lower == pytest.approx(plain[k].lower, abs=0.1 * width) and first[k] != plain[k]
+
+
+def test_runs_cut_into_time_slices(spark):
+    """The peak and the sum are carried from slice to slice; a missing time comes first."""
+    r = np.random.default_rng(6)
+    rows = [(k, None if i < 3 else int(t), str(i), float(v)) for k in ("a", None) for i, (t, v) in enumerate(zip(r.integers(-500, 500, 300), r.normal(0, 1, 300)))]
+    trades = spark.createDataFrame(rows, "label string, exit_ts long, pair string, net_pnl double")
+    found = [T.running_equity(trades, ("label",), 100.0, slice_ms=n) for n in (None, 50)]
+    whole, cut = (sorted((str(x.label), x.pair, round(x.equity, 9)) for x in f.collect()) for f in found)
+    assert whole == cut and len(whole) == 600
+    falls = [sorted(round(x.max_drawdown, 9) for x in T.drawdowns(found[0], ("label",), ("exit_ts", "pair"), start=100.0, slice_ms=n).collect()) for n in (None, 50)]
+    assert falls[0] == falls[1] and len(falls[0]) == 2
