@@ -180,26 +180,42 @@ def _hits(found: DataFrame, bench: DataFrame, *on: str) -> DataFrame:
     return met.select("doc_id", "item_id", "item_words", "width", "at", "named", (F.col("place") - F.col("at")).alias("shift"), F.arrays_zip("item_values", "values").alias("slots"))
 
 
-def _hits_by_rare_windows(found: DataFrame, bench: DataFrame, shared: DataFrame) -> DataFrame:
-    """The hits of passages that a rare window proposes; an item without one has its least common windows for rare."""
-    counted = bench.join(shared, ["h", "width"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    least = counted.groupBy("item_id").agg(F.greatest(F.min("n"), F.lit(COMMON)).alias("most"))
-    counted = materialize(counted.join(least, "item_id"), "counted")
-    rare, common = counted.where("n <= most").drop("n", "most"), counted.where("n > most").drop("n", "most")
+def _hits_of_pairs_and_classes(found: DataFrame, bench: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(hits, class hits, members, pairs): the hits of documents and items that a rare window joins, which are pairs; those of common windows with a class's first item; its items."""
+    marked = materialize(bench.join(shared, ["h", "width"], "left"), "marked")
+    rare, common = marked.where("n IS NULL").drop("n"), marked.where("n IS NOT NULL").drop("n")
     first = materialize(_hits(found, broadcast_if(rare, BROADCAST_MAX)), "rare-hits")
-    proposed = first.select("doc_id", "item_id").distinct()
-    of_common = found.join(common.select("h", "width").distinct(), ["h", "width"], "left_semi").join(proposed, "doc_id")
-    return first.unionByName(_hits(of_common, common, "item_id"))
+    pairs = first.select("doc_id", "item_id").distinct()
+    of_common = found.join(common.select("h", "width").distinct(), ["h", "width"], "left_semi")
+    parts = common.groupBy("item_id").agg(F.sort_array(F.collect_set(F.struct("at", "h", "width", "item_values", "named", "item_words"))).alias("part"))
+    members = materialize(parts.join(parts.groupBy("part").agg(F.min("item_id").alias("class"), F.count("*").alias("n_items")), "part").drop("part"), "classes")
+    reps = common.join(members.where("item_id = class"), "item_id", "left_semi")
+    hits = first.unionByName(_hits(of_common.join(pairs, "doc_id"), common, "item_id"))
+    return hits, _hits(of_common, broadcast_if(reps, BROADCAST_MAX)), members, pairs
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_windows, covered, n_slots) of every document and item with a consistent passage.
+def _judged(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, covered, n_slots): the largest consistent passage of each document and item."""
+    passage = hits.groupBy("doc_id", "item_id", "shift").agg(
+        F.max("item_words").alias("item_words"), F.max("width").alias("width"),
+        F.collect_set(F.when(~F.col("named"), F.col("at"))).alias("sure"), F.collect_set(F.when(~F.col("named"), F.col("slots"))).alias("slots"),
+        F.collect_set(F.when(F.col("named"), F.struct("at", "slots"))).alias("named"),
+    )  # fmt: skip  # each has a place for each word of the item at most
+    extra = F.filter("named", lambda x: ~F.array_contains("sure", x["at"]))
+    passage = passage.withColumns({"at": F.sort_array(F.array_union("sure", F.transform(extra, lambda x: x["at"]))), "slots": F.array_distinct(F.flatten(F.concat("slots", F.transform(extra, lambda x: x["slots"]))))})
+    gaps = F.transform("at", lambda x, k: F.least(F.col("width"), F.coalesce(F.get("at", k + 1) - x, F.col("width"))))
+    one = F.size(F.array_distinct(F.transform("slots", lambda x: x["item_values"])))
+    told = passage.select("doc_id", "item_id", "item_words", F.size("at").alias("n_windows"), F.aggregate(gaps, F.lit(0), lambda x, y: x + y).alias("covered"), F.size("slots").alias("n_slots"), (one == F.size("slots")).alias("one"))
+    told = told.where("one AND covered >= item_words")
+    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "covered", "n_slots")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), F.col("best.covered").cast("long").alias("covered"), F.col("best.n_slots").cast("long").alias("n_slots"))
 
-    Keys are integers, any other that doesn't cast to one is an error. Null and empty texts, null keys and items shorter than LEAST words never match; repeated rows count
-    once; where several passages of a document match an item the largest is told; no items, no rows.
-    """
+
+def _search(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(leaks, leaks of classes, members, pairs): those of classes hold for all members but the pairs, which leaks has; without common windows leaks has all."""
     spark: SparkSession = docs.sparkSession
-    bench = materialize(benchmark_windows(items, item_key, item_text), "benchmark")
+    windows = benchmark_windows(items, item_key, item_text)
+    bench = materialize(windows.withColumn("item_words", F.least("item_words", F.lit(COVER))), "benchmark")  # as many as a leak must cover
     bits = spark.sparkContext.broadcast(_bitmap(bench))
     widths = tuple(sorted(r.width for r in bench.select("width").distinct().collect()))  # at most WINDOW of them
 
@@ -217,25 +233,32 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = rows.mapInArrow(run, "doc_id long, place int, width int, h long, values array<long>")
     shared = materialize(bench.groupBy("h", "width").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") > COMMON), "shared")
-    if shared.limit(1).count():
-        hits = _hits_by_rare_windows(materialize(found, "found"), bench, shared)
-    else:
-        hits = _hits(found, broadcast_if(bench, BROADCAST_MAX))
-    passage = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("item_words").alias("item_words"), F.max("width").alias("width"),
-        F.collect_set(F.when(~F.col("named"), F.col("at"))).alias("sure"), F.collect_set(F.when(~F.col("named"), F.col("slots"))).alias("slots"),
-        F.collect_set(F.when(F.col("named"), F.struct("at", "slots"))).alias("named"),
-    )  # fmt: skip  # each has a place for each word of the item at most
-    extra = F.filter("named", lambda x: ~F.array_contains("sure", x["at"]))
-    passage = passage.withColumns({"at": F.sort_array(F.array_union("sure", F.transform(extra, lambda x: x["at"]))), "slots": F.array_distinct(F.flatten(F.concat("slots", F.transform(extra, lambda x: x["slots"]))))})
-    gaps = F.transform("at", lambda x, k: F.least(F.col("width"), F.coalesce(F.get("at", k + 1) - x, F.col("width"))))
-    one = F.size(F.array_distinct(F.transform("slots", lambda x: x["item_values"])))
-    told = passage.select("doc_id", "item_id", "item_words", F.size("at").alias("n_windows"), F.aggregate(gaps, F.lit(0), lambda x, y: x + y).alias("covered"), F.size("slots").alias("n_slots"), (one == F.size("slots")).alias("one"))
-    told = told.where("one AND covered >= least(item_words, %d)" % COVER)
-    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "covered", "n_slots")).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), F.col("best.covered").cast("long").alias("covered"), F.col("best.n_slots").cast("long").alias("n_slots"))
+    if not shared.limit(1).count():
+        return _judged(_hits(found, broadcast_if(bench, BROADCAST_MAX))), None, None, None
+    hits, of_classes, members, pairs = _hits_of_pairs_and_classes(materialize(found, "found"), bench, shared)
+    return _judged(hits), materialize(_judged(of_classes).withColumnRenamed("item_id", "class"), "class-leaks"), members, pairs
+
+
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_windows, covered, n_slots) of every document and item with a consistent passage.
+
+    Keys are integers, any other that doesn't cast to one is an error. Null and empty texts, null keys and items shorter than LEAST words never match; repeated rows count
+    once; where several passages of a document match an item the largest is told; no items, no rows.
+    """
+    own, of_classes, members, pairs = _search(docs, items, key, text, item_key, item_text)
+    if of_classes is None:
+        return own
+    every = of_classes.join(broadcast_if(members, BROADCAST_MAX), "class").join(pairs, ["doc_id", "item_id"], "left_anti")
+    return own.unionByName(every.drop("class", "n_items"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a leak, with all columns; rows with a null key stay."""
-    return docs.join(leaks(docs, items, key, text).select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    """The documents without a leak, with all columns; rows with a null key stay. Classes aren't expanded into their items."""
+    own, of_classes, members, pairs = _search(docs, items, key, text, "item_id", "text")
+    found = own.select("doc_id")
+    if of_classes is not None:
+        judged = pairs.join(members, "item_id").groupBy("doc_id", "class").agg(F.count("*").alias("n_judged"))
+        sizes = members.select("class", "n_items").distinct()
+        rest = of_classes.join(sizes, "class").join(judged, ["doc_id", "class"], "left").where("n_items > coalesce(n_judged, 0)")
+        found = found.unionByName(rest.select("doc_id"))
+    return docs.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")

@@ -325,6 +325,24 @@ def test_windows_that_many_items_share(spark, monkeypatch):
     assert not any(d == 3 for d, *_ in plain)
 
 
+def test_windows_that_many_items_share_find_all_of_them(spark, monkeypatch):
+    """Nothing is lost to common windows: classes of items give what each item against each document gives."""
+    start = "Choose the right answer to the following question about the old town and its river"
+    sums = "Tom has 5 apples and buys 7 more apples at the market in Rome before he sells 5 apples"
+    items = [(k, f"{start} where word{k} stands by other{k}") for k in range(150)] + [(200 + k, f"{sums} then thing{k} follows") for k in range(150)]
+    items += [(400 + k, sums) for k in range(3)] + [(500 + k, "old town and its river where a man sells 5 apples") for k in range(300)] + [(900, start), (900, sums)]
+    texts = [f"and {start} only", f"x {items[3][1]} y", sums.replace("5", "8").replace("Rome", "Bonn"), sums.replace("5", "8", 1), f"{start} x {sums}", f"so {items[160][1]} x".replace("5", "9", 1), "old town and its river where a man sells 9 apples", "nothing of it " * 9]
+    docs, rows = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "COMMON", 1 << 30)
+    plain = sorted(map(tuple, decontam.leaks(docs, rows).collect()))
+    kept = {r.doc_id for r in decontam.drop_leaks(docs, rows).collect()}
+    assert len({r for r in plain if r[0] == 0}) >= 151 and len(plain) > 900
+    for most in (256, 100, 2):
+        monkeypatch.setattr(decontam, "COMMON", most)
+        assert sorted(map(tuple, decontam.leaks(docs, rows).collect())) == plain
+        assert {r.doc_id for r in decontam.drop_leaks(docs, rows).collect()} == kept == {r.doc_id for r in docs.collect()} - {r[0] for r in plain}
+
+
 def test_leaks_against_brute_force(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     own = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if i.text in d.text}
