@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from string import punctuation
 
 import numpy as np
 
@@ -52,6 +53,7 @@ class TextEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.cut = self.tok.model.tokenize  # each look at .model wraps it anew
         named = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.named = re.compile("|".join(map(re.escape, named)) if named else r"(?!)", re.IGNORECASE)
         self.mark = os.path.commonprefix(named)
@@ -61,15 +63,17 @@ class TextEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         plain = [chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c))]
         self.bytes_as = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
-        self.pieces = _Pieces(self._lowered if self.lower else self._spaced, MEMO)
+        # words that are lowered or cut off from others are fewer, and packing holds its windows beside them
+        self.pieces = _Pieces(self._lowered, MEMO) if self.lower else _Pieces(self._spaced, 2 * MEMO)
         self.parts = _Pieces(self._model, MEMO // 8)
+        self.marks = {c: self._model(c) for c in punctuation}
 
     def _model(self, part: str) -> bytes:
         if part.isascii():  # all its bytes but space and newline stand for themselves
             spelt = part.replace(" ", self.bytes_as[32]).replace("\n", self.bytes_as[10])
         else:
             spelt = part.translate(self.bytes_as)
-        return array("H", [t.id for t in self.tok.model.tokenize(spelt)]).tobytes()
+        return array("H", [t.id for t in self.cut(spelt)]).tobytes()
 
     def _whole(self, piece: str) -> bytes:
         return array("H", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -78,6 +82,8 @@ class TextEncoder:
         """Of a piece that follows a space, the space included; words inside longer pieces share the memo."""
         if _LETTERS(word):
             return self._model(" " + word)
+        if word[-1:] in self.marks and _LETTERS(word, 0, len(word) - 1):  # a word and one mark are two pre-tokens
+            return self.pieces[word[:-1]] + self.marks[word[-1]]
         if not _PLAIN.fullmatch(word):
             return self._whole(" " + word)
         first, *rest = _BYTE_CUT.findall(" " + word)
@@ -102,7 +108,8 @@ class TextEncoder:
         if "  " in text:  # a run of spaces is cut by what stands around it
             return np.frombuffer(self._whole(text), "<u2")
         first, *rest = text.split(" ")
-        return np.frombuffer(self._whole(first) + b"".join(map(self.pieces.__getitem__, rest)), "<u2")
+        head = self.parts[first] if _LETTERS(first) else self._whole(first)
+        return np.frombuffer(head + b"".join(map(self.pieces.__getitem__, rest)), "<u2")
 
 
 _made: dict[str, TextEncoder] = {}

@@ -72,6 +72,23 @@ def test_special_literals_in_queries(spark, tmp_path, encoders):
     assert got == own(TOKENIZERS[1], 2)
 
 
+def test_recurring_words_are_cut_once(monkeypatch):
+    """The memo of whole words holds two generations of twice MEMO; a word with a mark is the word and the mark."""
+    from string import punctuation
+
+    from barloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    enc, cut = tokens.TextEncoder(queries.tokenizer_path("byte_bpe_50k.json")), []
+    one = enc.pieces.encode
+    enc.pieces.encode = lambda w: cut.append(w) or one(w)
+    text = " ".join(["Start", *[f"wo{chr(97 + k % 26)}r{chr(97 + k // 26)}" for k in range(90)]])
+    first, again = enc.ids(text), enc.ids(text)
+    assert first.tolist() == again.tolist() == enc.tok.encode(text, add_special_tokens=False).ids and len(cut) == 90
+    for text in [f"{head} river{c} old{c}town é{c} {c} {c}{c} x{c}\n{c}y 7{c} don{c}t" for c in punctuation for head in ("A", "", "Über", f"a{c}")]:
+        assert enc.ids(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_simple8b_packs_by_width():
     words = lambda ids: simple8b._HEAD.unpack_from(simple8b.encode(np.array(ids, np.uint64)))[3]
     assert words([1] * 60) == 1 and words([1000] * 12) == 2 and words([2**61]) == 2
