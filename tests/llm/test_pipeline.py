@@ -82,3 +82,11 @@ def test_every_id_is_packed(outputs):
     for r in outputs[5].collect():
         got.setdefault(r.doc_id, []).append((r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()))
     assert {k: sum((x for _, x in sorted(p)), []) for k, p in got.items()} == {k: [*enc.ids(t).tolist(), 2] for k, t in want.items()}
+
+
+def test_texts_with_the_common_start_of_many_items_go(spark, tmp_path):
+    start = "Choose the right answer to the following question about the old town and its river"
+    items = [(k, f"{start} where word{k} stands by other{k}") for k in range(300)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(0, f"and {start} only"), (1, "Choose the right answer to the following question"), (2, items[3][1]), (None, start)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.without_benchmarks(spark, docs, str(tmp_path)).collect()} == {1, None}
