@@ -71,17 +71,19 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         for width in WIDTHS:
             need += v >> _U(width) != 0
     sel = _selectors(need, block)
-    take = np.array(COUNTS)[sel]
     at = np.arange(0, n, block)
-    ends = np.minimum(at + block, n)
-    steps = []
-    live = at
-    while len(live):
-        steps.append(live)
-        moved = live + take[live]
-        keep = moved < ends
-        live, ends = moved[keep], ends[keep]
-    starts = np.sort(np.concatenate(steps)) if steps else np.zeros(0, np.int64)
+    take = np.zeros(len(at) * block, np.int64)
+    take[:n] = np.array(COUNTS)[sel]
+    after = np.arange(len(at) * (block + 1)).reshape(-1, block + 1)  # the next word's place; a block that is done stays where it ends
+    after[:, :block] += take.reshape(-1, block)
+    after = after.reshape(-1)
+    live = np.arange(len(at)) * (block + 1)
+    steps = [live]
+    while not np.array_equal(live, moved := after[live]):  # a step of all blocks at once
+        steps.append(live := moved)
+    walked = np.stack(steps, axis=1).reshape(-1)
+    walked = walked[after[walked] > walked]
+    starts = walked - walked // (block + 1)
     chosen = sel[starts]
     size = np.where(chosen == 0, 2, 1)
     place = np.cumsum(size) - size
@@ -91,8 +93,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         if s == 0:
             words[place[own] + 1] = v[starts[own]]
             continue
-        rows = v[starts[own][:, None] + np.arange(COUNTS[s])] << (np.arange(COUNTS[s], dtype=_U) * _U(WIDTHS[s]))
-        words[place[own]] = np.bitwise_or.reduce(rows, axis=1) | (_U(s) << _U(60))
+        first = starts[own]
+        word = v[first] | (_U(s) << _U(60))
+        for k in range(1, COUNTS[s]):
+            word |= v[first + k] << _U(k * WIDTHS[s])
+        words[place[own]] = word
     firsts = place[np.searchsorted(starts, at)] if n else np.zeros(0, np.int64)
     return _HEAD.pack(MAGIC, block, n, len(words)) + firsts.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
@@ -125,7 +130,9 @@ def _unpack(words: np.ndarray) -> np.ndarray:
             out[place[own]] = words[own + 1]
             continue
         mask = _U((1 << WIDTHS[s]) - 1)
-        out[place[own][:, None] + np.arange(COUNTS[s])] = words[own][:, None] >> (np.arange(COUNTS[s], dtype=_U) * _U(WIDTHS[s])) & mask
+        first, word = place[own], words[own]
+        for k in range(COUNTS[s]):
+            out[first + k] = word >> _U(k * WIDTHS[s]) & mask
     return out
 
 
@@ -193,10 +200,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = decode(r["payload"]).astype("<u4")
                 lengths = np.array(r["lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                raw = memoryview(ids.tobytes())
-                cells = [bytes(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+                places = pa.array(np.concatenate([[0], 4 * ends]), pa.int32())
+                cells = pa.Array.from_buffers(pa.binary(), len(ends), [None, places.buffers()[1], pa.py_buffer(ids)])
                 starts = r["base"] + r["before"] + ends - lengths
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts), pa.array(lengths), pa.array(cells, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts), pa.array(lengths), cells], names=["doc_id", "start", "n_tokens", "ids"])
 
     placed = files.select("part", "before", "doc_ids", "lengths", "payload").join(F.broadcast(bases), "part")  # 12 bytes for each file
     return placed.select("base", "before", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

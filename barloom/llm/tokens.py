@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from string import punctuation
 
 import numpy as np
@@ -24,7 +25,8 @@ _PLAIN = re.compile(rf"[ \n!-~{LATIN}]*")
 _LETTERS = re.compile(rf"[{LATIN}]+").fullmatch
 _BYTE_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 _WORD_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
-MEMO = 400_000
+#: A memo's generation holds twice MEMO pieces, or LOWERED where words are lowered; two full ones of 500,000 take some 160 MB of a worker.
+MEMO, LOWERED = 250_000, 400_000
 
 
 class _Pieces(dict):
@@ -61,19 +63,16 @@ class TextEncoder:
             raise ValueError("ids must fit 16 bits")
         self.lower = self.tok.normalizer is not None
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        plain = [chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c))]
-        self.bytes_as = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
-        # words that are lowered or cut off from others are fewer, and packing holds its windows beside them
-        self.pieces = _Pieces(self._lowered, MEMO) if self.lower else _Pieces(self._spaced, 2 * MEMO)
-        self.parts = _Pieces(self._model, MEMO // 8)
-        self.marks = {c: self._model(c) for c in punctuation}
+        spelt = {b: c for x in map(chr, range(256)) for b, c in zip(x.encode(), level.pre_tokenize_str(x)[0][0])}
+        self.bytes_as = "".join(spelt.get(b, "\ufffe") for b in range(256))  # what charmap_decode takes for undefined
+        self.space = self.bytes_as[32]
+        self.raw = [array("H", [k]).tobytes() for k in range(self.tok.get_vocab_size())]
+        self.pieces = _Pieces(self._lowered, LOWERED) if self.lower else _Pieces(self._spaced, 2 * MEMO)
+        self.parts = _Pieces(self._model, MEMO // 5)
 
     def _model(self, part: str) -> bytes:
-        if part.isascii():  # all its bytes but space and newline stand for themselves
-            spelt = part.replace(" ", self.bytes_as[32]).replace("\n", self.bytes_as[10])
-        else:
-            spelt = part.translate(self.bytes_as)
-        return array("H", [t.id for t in self.cut(spelt)]).tobytes()
+        spelt, _ = charmap_decode(part.encode(), "strict", self.bytes_as)
+        return b"".join([self.raw[t.id] for t in self.cut(spelt)])
 
     def _whole(self, piece: str) -> bytes:
         return array("H", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -81,9 +80,12 @@ class TextEncoder:
     def _spaced(self, word: str) -> bytes:
         """Of a piece that follows a space, the space included; words inside longer pieces share the memo."""
         if _LETTERS(word):
+            if word.isascii():  # its bytes stand for themselves
+                return b"".join([self.raw[t.id] for t in self.cut(self.space + word)])
             return self._model(" " + word)
-        if word[-1:] in self.marks and _LETTERS(word, 0, len(word) - 1):  # a word and one mark are two pre-tokens
-            return self.pieces[word[:-1]] + self.marks[word[-1]]
+        stem = word.rstrip(punctuation)
+        if stem != word and _LETTERS(stem):  # a word and the marks after it are two pre-tokens
+            return self.pieces[stem] + self.parts[word[len(stem) :]]
         if not _PLAIN.fullmatch(word):
             return self._whole(" " + word)
         first, *rest = _BYTE_CUT.findall(" " + word)

@@ -89,6 +89,26 @@ def test_recurring_words_are_cut_once(monkeypatch):
         assert enc.ids(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_full_memo_leaves_an_executor_room():
+    """Two workers' memos stand beside an executor's heap; a word and several marks are two pre-tokens."""
+    import sys
+
+    from barloom.llm import tokens
+
+    enc = tokens.TextEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    one, enc.pieces.encode = enc.pieces.encode, str.encode
+    most = 0
+    for k in range(3 * enc.pieces.most):
+        enc.pieces[f"word{k:06d}"]
+        most = max(most, len(enc.pieces) + len(enc.pieces.old))
+    assert most <= 2 * enc.pieces.most
+    held = sum(sys.getsizeof(x) + sys.getsizeof(y) for x, y in enc.pieces.old.items()) + sys.getsizeof(enc.pieces.old)
+    assert 2 * held < 160e6
+    enc.pieces.encode = one
+    for text in [f"Über town{a}{b} é{b}{a} x{a}{b}{c} {a}{b}x" for a in "'.,$" for b in "\"'-)" for c in "!\n7s"]:
+        assert enc.ids(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_simple8b_packs_by_width():
     words = lambda ids: simple8b._HEAD.unpack_from(simple8b.encode(np.array(ids, np.uint64)))[3]
     assert words([1] * 60) == 1 and words([1000] * 12) == 2 and words([2**61]) == 2
