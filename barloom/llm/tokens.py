@@ -26,7 +26,7 @@ _LETTERS = re.compile(rf"[{LATIN}]+").fullmatch
 _BYTE_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 _WORD_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
 #: A memo's generation holds twice MEMO pieces, or LOWERED where words are lowered; two full ones of 500,000 take some 160 MB of a worker.
-MEMO, LOWERED = 250_000, 400_000
+MEMO, LOWERED = 250_000, 250_000
 
 
 class _Pieces(dict):
